@@ -22,7 +22,7 @@ from hanstrata.runtime import checkpoint, require_columns
 
 BUCKETS = 1 << 12
 CELLS = 8
-COUNTERS = 1 << 18
+COUNTERS = 1 << 16
 EVICT_VOTES = 8
 #: Rows that are pre-aggregated before they enter the sketch.
 ROWS_PER_STEP = 1 << 17

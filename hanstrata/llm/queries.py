@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanstrata.llm.heavy_hitters import top_values
+from hanstrata.llm.leakage import leaked_items
 from hanstrata.llm.top_items import top_items
+from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs
 from hanstrata.runtime import table
 
 TOP_VALUES = 20
@@ -33,7 +35,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("run_name", "time_window_id", "frequency_rank_in_window", "wordform_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = lookalike_pairs(table(spark, folder, "raw_documents"), "id", "text")
+    vowels = inconsistent_vowels(table(spark, folder, "token_rows"), "token_row_id", "vowels")
+    vowels = vowels.select(F.lit("vowels").alias("field_name"), F.col("key").cast("string").alias("key_a"), F.col("form").alias("key_b"))
+    return texts.select(F.lit("text").alias("field_name"), "key_a", "key_b").unionByName(vowels)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage").select("doc_id", "item_id")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (
