@@ -28,6 +28,10 @@ BLOCK = 64
 #: Dimensions of the latent space, and those added while the basis is sought.
 RANK, OVERSAMPLING, POWER_ITERATIONS = 384, 16, 2
 MIN_SCORE = 0.35
+#: Columns of the TF-IDF matrix; the vocabulary's n-grams are hashed to them.
+COLUMNS = 1 << 13
+#: Passages of a task that works on their matrix.
+PASSAGES_PER_TASK = 512
 #: Shortest stretch of letters that counts, in alphabets and in syllables or ideographs; letters that a replaced word may have.
 MIN_STRETCH = {True: 24, False: 8}
 MAX_GAP = {True: 24, False: 8}
@@ -67,6 +71,7 @@ class Vocabulary:
         self.hashes = np.unique(hashes)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
+        self.column = (self.hashes % np.uint64(COLUMNS)).astype(np.int64)
 
     def find(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the n-grams that are in the vocabulary, and their positions."""
@@ -109,15 +114,17 @@ def tfidf_rows(points: np.ndarray, offsets: np.ndarray, v: Vocabulary, idf: np.n
     index, at = v.find(*grams(points, offsets))
     row = np.searchsorted(offsets, at, side="right") - 1
     cell, tf = np.unique(row * len(v.hashes) + index, return_counts=True)
-    row, column = np.divmod(cell, max(1, len(v.hashes)))
-    return row, column, (tf * idf[column]).astype(np.float32)
+    row, gram = np.divmod(cell, max(1, len(v.hashes)))
+    return row, v.column[gram], (tf * idf[gram]).astype(np.float32)
 
 
 def _times(row, column, weight, n_rows: int, right: np.ndarray) -> np.ndarray:
+    """The product of a sparse matrix, by rows, and a dense one; in steps that stay in the processor's cache."""
     out = np.zeros((n_rows, right.shape[1]), np.float32)
-    for a in range(0, len(row), 1 << 15):
-        r, start = np.unique(row[a : a + (1 << 15)], return_index=True)
-        out[r] += np.add.reduceat(right[column[a : a + (1 << 15)]] * weight[a : a + (1 << 15), None], start)
+    for a in range(0, len(row), 1 << 11):
+        z = a + (1 << 11)
+        r, start = np.unique(row[a:z], return_index=True)
+        out[r] += np.add.reduceat(right[column[a:z]] * weight[a:z, None], start)
     return out
 
 
@@ -162,7 +169,7 @@ def _gram_product(passages: DataFrame, vocabulary, idf, to, basis, shape: tuple[
 def latent_basis(passages: DataFrame, vocabulary, idf, to, n_passages: int, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """Right singular vectors of the passages' TF-IDF matrix, by a randomised SVD with power iterations."""
     sc = passages.sparkSession.sparkContext
-    size = len(vocabulary.value.hashes)
+    size = COLUMNS
     width = max(1, min(rank + OVERSAMPLING, n_passages, size))
     basis = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     for _ in range(1 + POWER_ITERATIONS):
@@ -181,7 +188,7 @@ class Items:
 
     def __init__(self, ids: np.ndarray, points, offsets, v: Vocabulary, idf: np.ndarray, idf_other: float, basis: np.ndarray):
         self.ids, self.vocabulary = ids, v
-        self.weighted = basis * idf[:, None].astype(np.float32)
+        self.basis, self.idf = basis, idf.astype(np.float32)
         self.square, self.other = (idf**2).astype(np.float32), float(idf_other**2)
         row, column, weight = tfidf_rows(points, offsets, v, idf)
         self.latent = _times(row, column, weight, len(ids), basis)
@@ -213,10 +220,7 @@ def candidates(points: np.ndarray, offsets: np.ndarray, items: Items, min_score:
     index, at = items.vocabulary.find(hashes, start)
     where = lambda p: (lambda d: first[d] + (p - offsets[d]) // BLOCK)(np.searchsorted(offsets, p, side="right") - 1)
     block = where(at)
-    latent = np.zeros((first[-1], items.weighted.shape[1]), np.float32)
-    for a in range(0, len(block), 1 << 14):
-        b, cut = np.unique(block[a : a + (1 << 14)], return_index=True)
-        latent[b] += np.add.reduceat(items.weighted[index[a : a + (1 << 14)]], cut)
+    latent = _times(block, items.vocabulary.column[index], items.idf[index], first[-1], items.basis)
     norm = items.other * np.bincount(where(start), minlength=first[-1]).astype(np.float32)
     norm += np.bincount(block, weights=items.square[index] - items.other, minlength=first[-1]).astype(np.float32)
     last = np.zeros(first[-1], bool)
@@ -324,7 +328,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
         return spark.createDataFrame([], out)
     df, n_docs = document_frequencies(rows.select("text"), v, to)
     idf = np.log((n_docs + 1) / (df + 1)) + 0.1
-    basis = latent_basis(held.repartition(max(1, min(len(local) // 64, sc.defaultParallelism))), v, sc.broadcast(idf), to, len(local), rank)
+    basis = latent_basis(held.repartition(-(-len(local) // PASSAGES_PER_TASK)), v, sc.broadcast(idf), to, len(local), rank)
     known = sc.broadcast(Items(local["id"].to_numpy(), points, offsets, v.value, idf, float(np.log(n_docs + 1) + 0.1), basis))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
