@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hanstrata.llm.heavy_hitters import top_values
 from hanstrata.llm.leakage import leaked_items
+from hanstrata.llm.residue import residue_documents
 from hanstrata.llm.top_items import top_items
 from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs
 from hanstrata.runtime import table
@@ -46,7 +47,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage").select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue_documents(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (
