@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanstrata.llm.heavy_hitters import top_values
+from hanstrata.llm.language import label_repairs
 from hanstrata.llm.leakage import leaked_items
 from hanstrata.llm.residue import residue_documents
 from hanstrata.llm.top_items import top_items
@@ -51,7 +52,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue_documents(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = label_repairs(table(spark, folder, "raw_documents"), "id", "text", "language", table(spark, folder, "language_names"))
+    return found.select("id", "segment_no", "language")
+
+
+QUERIES = {"p1_found": p1_found, "p8_found": p8_found, "p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (
