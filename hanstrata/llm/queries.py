@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hanstrata.llm.heavy_hitters import top_values
 from hanstrata.llm.language import label_repairs
 from hanstrata.llm.leakage import leaked_items
+from hanstrata.llm.mixing import mix, mix_records, mix_report
 from hanstrata.llm.residue import residue_documents
 from hanstrata.llm.top_items import top_items
 from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs
@@ -57,7 +58,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "segment_no", "language")
 
 
-QUERIES = {"p1_found": p1_found, "p8_found": p8_found, "p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"))
+
+
+def p7_mix_records(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_records(_mix(spark, folder)[0])
+
+
+def p7_mix_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(*_mix(spark, folder))
+
+
+QUERIES = {"p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p8_found": p8_found, "p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (
