@@ -172,7 +172,8 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame
     parts = placed.select("source", "doc_id", "start", "n_tokens", span.alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * block)
     parts = parts.select("source", "block", "doc_id", (begin - F.col("start")).alias("from_token"), (F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * block) - begin).alias("n_tokens"))
-    pieces = slots.join(parts, ["source", "block"]).select("mix_name", "shard", "slot", "source", "block", "repeat", "doc_id", "from_token", "n_tokens")
+    # both sides grow with the texts, and the size of what Python makes is unknown to the planner: never broadcast
+    pieces = slots.hint("merge").join(parts.hint("merge"), ["source", "block"]).select("mix_name", "shard", "slot", "source", "block", "repeat", "doc_id", "from_token", "n_tokens")
     report = plan.assign(available_tokens=[tokens.get(s, 0) for s in plan["source"]], limit_tokens=plan["limit"] * block, planned_tokens=plan["slots"] * block)
     columns = ["mix_name", "source", "target_share", "share", "max_repeats", "available_tokens", "limit_tokens", "planned_tokens"]
     kind = "mix_name string, source string, target_share double, share double, max_repeats int, available_tokens bigint, limit_tokens bigint, planned_tokens bigint"
