@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hanstrata.functions.inventory import NOT_COUNTED, SCRIPT_CLASSES
 
@@ -14,12 +18,55 @@ from hanstrata.functions.inventory import NOT_COUNTED, SCRIPT_CLASSES
 _STRIP = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in function for it. Null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@cache
+def _script_tables() -> dict[str, np.ndarray]:
+    """For each code point, whether it counts for a script class."""
+    import regex
+
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, sys.maxunicode + 1)))
+    hits = lambda pattern: {m.start() for m in regex.finditer(pattern, every)}
+    left_out = hits(r"[\p{P}\p{Z}\s\d\x{119E}\x{318D}]".replace(r"\x{119E}\x{318D}", "\u119e\u318d"))
+    out = {}
+    for name, pattern in SCRIPT_CLASSES.items():
+        own = regex.sub(r"\\x\{(\w+)\}", lambda m: regex.escape(chr(int(m[1], 16))), pattern)
+        own = regex.sub(r"\\p\{Is(\w+)\}", r"\\p{Script=\1}", own)
+        table = np.zeros(sys.maxunicode + 1, bool)
+        table[list(hits(own) - left_out)] = True
+        out[name] = table
+    return out
+
+
+_PROFILED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k in SCRIPT_CLASSES)])
+
+
+@F.pandas_udf(_PROFILED)
+def _profiled(text: pd.Series) -> pd.DataFrame:
+    """Compatibility form of texts and its characters of each script class, in one pass over the batch."""
+    forms = text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    given = [f if isinstance(f, str) else "" for f in forms]
+    points = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(given)), [len(f) for f in given])
+    return pd.DataFrame({"text": forms} | {f"n_{k}": np.bincount(owner[table[points]], minlength=len(given)) for k, table in _script_tables().items()})
+
+
+def with_normal_text(df: DataFrame, text: str = "text", prefix: str = "script_") -> DataFrame:
+    """df with texts in their stored form, and the share of each script class.
+
+    The form and the counts are made in one Arrow pass, as the form needs Python anyway; what
+    filters later look at is then an output of that pass, and no count is made twice.
+    """
+    df = df.withColumn("_p", _profiled(F.col(text)))
+    total = F.col("_p.n_kor") + F.col("_p.n_jpn") + F.col("_p.n_han") + F.col("_p.n_lat")
+    shares = {prefix + k: F.when(total > 0, F.col(f"_p.n_{k}").cast("double") / total).otherwise(F.lit(0.0)) for k in SCRIPT_CLASSES}
+    return df.withColumns({text: remove_controls(squeeze_space(F.col("_p.text")))} | shares).drop("_p")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{_STRIP}]+|[{_STRIP}]+$", "")
 
@@ -47,20 +94,21 @@ def letters_only(c: Column) -> Column:
     return F.regexp_replace(nfkc(c), r"[^\p{L}]", "")
 
 
-def script_counts(c: Column) -> dict[str, Column]:
-    """Characters of each script class; `c` is in its normal form."""
-    cleaned = F.regexp_replace(c, NOT_COUNTED, "")
-    return {name: F.coalesce(F.regexp_count(cleaned, F.lit(pattern)), F.lit(0)) for name, pattern in SCRIPT_CLASSES.items()}
+#: The columns of script shares: kor, oko, jpn, han and lat.
+SCRIPTS = tuple(SCRIPT_CLASSES)
 
 
-def script_ratios(c: Column) -> Column:
-    """struct(kor, oko, jpn, han, lat) of shares in kor + jpn + han + lat; zeros for texts without them and for null.
+def with_script_ratios(df: DataFrame, text: str, prefix: str = "script_") -> DataFrame:
+    """df with a share of each script class in kor + jpn + han + lat; zeros for texts without them and for null.
 
-    oko, old Hangul, is a part of kor.
+    oko, old Hangul, is a part of kor. The text is in its normal form. The steps are columns of
+    their own, so that no later use of a share counts characters again.
     """
-    n = script_counts(c)
-    total = n["kor"] + n["jpn"] + n["han"] + n["lat"]
-    return F.struct(*(F.when(total > 0, k.cast("double") / total).otherwise(F.lit(0.0)).alias(name) for name, k in n.items()))
+    df = df.withColumn("_c", F.regexp_replace(F.col(text), NOT_COUNTED, ""))
+    df = df.withColumns({f"_n_{k}": F.coalesce(F.regexp_count("_c", F.lit(p)), F.lit(0)) for k, p in SCRIPT_CLASSES.items()})
+    df = df.withColumn("_n", F.col("_n_kor") + F.col("_n_jpn") + F.col("_n_han") + F.col("_n_lat"))
+    df = df.withColumns({prefix + k: F.when(F.col("_n") > 0, F.col(f"_n_{k}").cast("double") / F.col("_n")).otherwise(F.lit(0.0)) for k in SCRIPTS})
+    return df.drop("_c", "_n", *(f"_n_{k}" for k in SCRIPTS))
 
 
 def valid_script_counts(c: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hanstrata.operators import learner as L
 from hanstrata.runtime import require_columns
@@ -56,7 +58,8 @@ def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progres
     fit = L.learn_progressive if mode == "progressive" else L.learn_bidirectional
     distinct = pairs.groupBy(F.col(window).alias("window"), F.col(ur).alias("ur"), F.col(sr).alias("sr")).agg(F.sum(weight).alias("weight"), F.min(weight).alias("least"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    def one(table: pa.Table) -> pa.Table:
+        group = table.to_pandas()
         row = {"window": group["window"].iloc[0], "lexical_wordforms_represented": int(group["weight"].sum()), "unique_structural_pairs": len(group), "d2l_TP_pass": False, "tier_was_induced": False, "trace": [], "events": [], "predictions": []}
         try:
             if group["least"].min() <= 0:
@@ -65,10 +68,10 @@ def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progres
             targets = sum(w * sum(s in L.V.TARGET_PAIRS for s in u[1:]) for (u, _), w in merged.items())
             row["declared_weighted_target_count"] = targets
             if not targets:
-                return pd.DataFrame([row | {"status": "NO_D2L_TARGETS"}], columns=columns)
+                return made(row | {"status": "NO_D2L_TARGETS"})
             found = fit(merged)
         except Exception as error:  # a window that can't be learned from is reported, not fatal
-            return pd.DataFrame([row | {"status": "ERROR", "error_type": type(error).__name__, "error_message": str(error)}], columns=columns)
+            return made(row | {"status": "ERROR", "error_type": type(error).__name__, "error_message": str(error)})
         row |= {"trace": [{k: t.get(k) for k in TRACE} for t in found.trace], "events": [{k: e.get(k) for k in EVENTS} for e in found.events], "status": "NO_PRODUCTIVE_RULE"}
         if found.rule is not None:
             n, m = found.rule.counts(merged)
@@ -80,20 +83,28 @@ def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progres
                 "d2l_prediction_N": n, "d2l_prediction_correct": m, "d2l_prediction_exceptions": n - m, "d2l_exception_rate": (n - m) / n if n else None, "d2l_theta_N": theta, "d2l_theta_rate": theta / n if theta else None, "d2l_TP_pass": L.productive(n, m),
                 "weighted_prediction_accuracy": m / n if n else None, "weighted_full_form_accuracy": L.full_form_accuracy(found.rule, merged), "predictions": L.pair_predictions(found.rule, merged),
             }
-        return pd.DataFrame([row], columns=columns).astype({k: "Int64" for k, t in SUMMARY.items() if t == _COUNT})
+        return made(row)
 
-    columns = ["window", *SUMMARY, "trace", "events", "predictions"]
     kind = dict(pairs.dtypes)[window]
     schema = f"window {kind}, " + ", ".join(f"{k} {t}" for k, t in SUMMARY.items()) + f", trace {_struct(TRACE)}, events {_struct(EVENTS)}, predictions {_struct(PREDICTIONS)}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def made(row: dict) -> pa.Table:
+        return pa.Table.from_pylist([{k: row.get(k) for k in arrow.names}], schema=arrow)
+
     start, end = window_bounds(F.col(window).cast("string"))
-    return distinct.groupBy("window").applyInPandas(one, schema).withColumnRenamed("window", window).withColumns({"time_window_start": start, "time_window_end": end})
+    return distinct.groupBy("window").applyInArrow(one, schema).withColumnRenamed("window", window).withColumns({"time_window_start": start, "time_window_end": end})
+
+
+def _of(branch: str):
+    return lambda step: step["branch"] == branch
 
 
 def results(learned: DataFrame) -> DataFrame:
     """The learner's figures for each window, with first and last step of each branch."""
     fields = {}
     for branch in ("harmony", "disharmony"):
-        steps = F.filter("trace", lambda t, b=branch: t["branch"] == b)
+        steps = F.filter("trace", _of(branch))
         first, last = F.try_element_at(steps, F.lit(1)), F.try_element_at(steps, F.lit(-1))
         fields[f"{branch}_num_attempts"] = F.size(steps)
         fields |= {f"{branch}_initial_{k}": first[c] for k, c in {"direction": "selected_direction", "prediction_N": "selected_prediction_N", "prediction_correct": "selected_prediction_correct", "prediction_exceptions": "selected_prediction_exceptions", "theta_N": "theta_N", "TP_pass": "TP_pass"}.items()}

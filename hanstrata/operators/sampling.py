@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hanstrata.functions.text import strip
 from hanstrata.runtime import require_columns
 
 
@@ -66,13 +67,13 @@ def year_windows(year: Column, anchor: int, width: int, step: int) -> Column:
 
 
 def parse_vowels(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(c, ","), strip), lambda v: v != "")
 
 
 def clean_rows(rows: DataFrame, settings: Sampling) -> DataFrame:
     """Rows that count, with year cut to a whole number, token trimmed, vowel_seq and num_vowels_normalized."""
     year = _year(F.col(settings.year_col))
-    rows = rows.withColumns({"_y": year, "_t": F.trim(F.col(settings.token_col)), "_v": parse_vowels(F.col(settings.vowels_col))})
+    rows = rows.withColumns({"_y": year, "_t": strip(F.col(settings.token_col)), "_v": parse_vowels(F.col(settings.vowels_col))})
     keep = F.col("_y").isNotNull() & (F.col("_t") != "") & (F.size("_v") >= settings.min_word_vowels)
     if settings.start_year is not None:
         keep = keep & (F.col("_y") >= settings.start_year)

@@ -103,8 +103,7 @@ def _rows(candidates: DataFrame, settings: Extraction) -> DataFrame:
         "arae_noninitial_phase": H.event_phase(year, *settings.arae_noninitial_merger),
         "arae_initial_phase": H.event_phase(year, *settings.arae_initial_merger),
         "lmk_emk_transition_phase": H.event_phase(year, *settings.lmk_emk_transition),
-        "script_kor": F.col("script_ratio.kor"), "script_oko": F.col("script_ratio.oko"), "script_han": F.col("script_ratio.han"),
-        "sino_proxy": sino_proxy(F.col("token_source"), F.col("token_context"), F.col("language"), F.col("category"), F.col("script_ratio.han")),
+        "sino_proxy": sino_proxy(F.col("token_source"), F.col("token_context"), F.col("language"), F.col("category"), F.col("script_han")),
     } | vowel_columns(F.col("v"))
     for c in COLUMNS:
         if c.startswith("idu_is_"):

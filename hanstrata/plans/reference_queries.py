@@ -1,0 +1,538 @@
+"""Queries of the analysis stages over the given tables, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hanstrata.functions import harmony as H
+from hanstrata.functions import text as X
+from hanstrata.operators import documents as D
+from hanstrata.operators import learning, lexicon, pairs, sampling, tokens
+from hanstrata.runtime import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- texts ----
+
+_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WS_LINE = _WS.replace(r"\t-\r", r"\t\x{0b}-\r")
+_STRIP = rf"[{_WS}\x{{1c}}-\x{{1f}}]"
+
+
+def _replace(c: str, pattern: str, to: str = "''") -> str:
+    return f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+
+
+def _strip_sql(c: str) -> str:
+    return _replace(_replace(c, f"^{_STRIP}+"), f"{_STRIP}+$")
+
+
+_SQUEEZED = _strip_sql(_replace(_replace(_replace("text", rf"[{_WS_LINE}]*\n[{_WS_LINE}]*", "chr(10)"), r"\n+", "chr(10)"), rf"[{_WS_LINE}]+", "' '"))
+_UNCONTROLLED = _replace("text", r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]")
+
+
+@query(f"SELECT id, {_SQUEEZED} AS squeezed, {_strip_sql(_replace('text', f'[{_WS}]+', chr(39) + ' ' + chr(39)))} AS one_line FROM raw_documents")
+def squeeze_whitespace(spark, folder):
+    return table(spark, folder, "raw_documents").select("id", X.squeeze_space(F.col("text")).alias("squeezed"), X.squeeze_space(F.col("text"), keep_lines=False).alias("one_line"))
+
+
+@query(f"SELECT id, {_UNCONTROLLED} AS stripped FROM raw_documents")
+def control_strip(spark, folder):
+    return table(spark, folder, "raw_documents").select("id", X.remove_controls(F.col("text")).alias("stripped"))
+
+
+_OLD = r"\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{302E}-\x{302F}\x{E0BC}-\x{EFFF}\x{F100}-\x{F66E}\x{F784}-\x{F800}\x{F806}-\x{F864}\x{F86A}-\x{F8F7}\x{E001}-\x{E0A0}"
+_CLASS = {"kor": rf"\p{{Hangul}}\x{{3130}}-\x{{318F}}{_OLD}", "oko": _OLD, "jpn": r"\p{Hiragana}\p{Katakana}", "han": r"\p{Han}", "lat": r"\p{Latin}"}
+_CLEANED = _replace("text", rf"[\p{{P}}\p{{Z}}{_WS}\p{{Nd}}\x{{119E}}\x{{318D}}]+")
+_PROFILE = f"""
+    counted AS (SELECT *, {', '.join(f"length({_replace('cleaned', f'[^{c}]')}) AS n_{k}" for k, c in _CLASS.items())}
+                FROM (SELECT *, {_CLEANED} AS cleaned FROM raw_documents)),
+    profiled AS (SELECT * EXCLUDE (cleaned), {', '.join(f"CASE WHEN n_kor + n_jpn + n_han + n_lat > 0 THEN n_{k} / (n_kor + n_jpn + n_han + n_lat)::DOUBLE ELSE 0 END AS {k}" for k in _CLASS)} FROM counted)"""
+
+
+@query(f"WITH {_PROFILE} SELECT id, {', '.join(f'round({k}, 9) AS {k}' for k in _CLASS)} FROM profiled")
+def script_ratios(spark, folder):
+    found = X.with_script_ratios(table(spark, folder, "raw_documents"), "text", "_r_")
+    return found.select("id", *(F.round(f"_r_{k}", 9).alias(k) for k in _CLASS))
+
+
+_KEPT = _replace("text", r"[\p{N}\p{Zs}]")
+
+
+@query(f"""
+    SELECT id, n_all, n_valid, n_all - n_valid AS n_other FROM (
+      SELECT id, coalesce(length(kept), 0) AS n_all, coalesce(length({_replace('kept', '[^' + ''.join(_CLASS.values()) + ']')}), 0) AS n_valid FROM (SELECT id, {_KEPT} AS kept FROM raw_documents))""")
+def valid_script_counts(spark, folder):
+    return table(spark, folder, "raw_documents").select("id", X.valid_script_counts(F.col("text")).alias("n")).select("id", *(F.col(f"n.{k}").cast("bigint").alias(k) for k in ("n_all", "n_valid", "n_other")))
+
+
+@query()
+def normalized_texts(spark, folder):
+    return table(spark, folder, "raw_documents").select("id", X.normalize(F.col("text")).alias("text"))
+
+
+@query()
+def letters_only(spark, folder):
+    return table(spark, folder, "raw_documents").select("id", X.letters_only(F.col("text")).alias("letters"))
+
+
+# ---- documents ----
+
+_NUM = rf"^[\p{{N}}\p{{P}}\p{{Z}}{_WS}]+$"
+_GLOSS = r"(?:\p{Hangul}+[\t-\r ]*[(\[]\p{Han}+[)\]]|\p{Han}+[\t-\r ]*[(\[]\p{Hangul}+[)\]])"
+_CATEGORY = f"""
+    stripped AS (SELECT *, split_part(id, ':', 1) AS src, {_strip_sql('text')} AS bare,
+                        coalesce(list_sum(list_transform(regexp_extract_all(text, '{_GLOSS}'), lambda g: length(g))), 0) AS glossed FROM profiled),
+    ruled AS (SELECT *, CASE
+        WHEN regexp_matches(bare, '{_NUM}') THEN 'num' WHEN bare = '' THEN 'empty'
+        WHEN src IN ('bibyeonsa', 'goryeosa', 'ilseongnok', 'sagi', 'sillok', 'sjw') THEN 'hj'
+        WHEN src IN ('kisu_journal', 'kisu_literary') THEN 'nko'
+        WHEN src = 'kcna_jp' THEN CASE language WHEN 'kor_Hang' THEN 'nko' WHEN 'eng_Latn' THEN 'en' WHEN 'spa_Latn' THEN 'es' END
+        WHEN src IN ('klc', 'gaksa', 'gaksa_modern') THEN CASE
+            WHEN han >= 1 THEN 'hj' WHEN kor > 0 AND han > 0 AND oko = 0 THEN CASE WHEN contains(text, '주-D') THEN 'hj' ELSE 'hj+oko' END
+            WHEN oko > 0 THEN 'hj+oko' WHEN kor > 0 AND han = 0 THEN 'ko' WHEN jpn > 0 AND kor = 0 THEN 'ja' ELSE 'hj' END
+        WHEN src = 'jpn_records' THEN CASE
+            WHEN language IN ('jpn_Jpan', 'zho_Hani') AND jpn > 0 THEN 'ja' WHEN language = 'eng_Latn' AND lat > 0 THEN 'en' WHEN language = 'fra_Latn' AND lat > 0 THEN 'fr'
+            WHEN jpn > 0 THEN 'hj' WHEN oko > 0 AND han > 0 THEN 'hj+oko' WHEN oko > 0 THEN 'oko'
+            WHEN kor > 0 AND han > 0 THEN CASE WHEN contains(text, '문서제목') THEN 'hj' ELSE 'hj+ko' END WHEN kor > 0 THEN 'ko' ELSE 'hj' END
+        WHEN src = 'magazine' THEN CASE
+            WHEN language = 'jpn_Jpan' AND jpn > 0 THEN 'ja' WHEN han >= 1 THEN 'hj' WHEN han > 0 AND kor > 0 AND oko = 0 THEN 'hj+ko' WHEN han > 0 AND oko > 0 THEN 'hj+oko'
+            WHEN language = 'eng_Latn' AND lat > 0 THEN 'en' WHEN oko > 0 THEN 'oko' WHEN kor > 0 AND han = 0 THEN 'ko' WHEN jpn > 0 THEN 'ja' ELSE 'hj' END
+        WHEN src IN ('news_archive', 'newslibrary') THEN CASE
+            WHEN han >= 1 THEN 'hj' WHEN han > 0 AND kor > 0 AND oko = 0 THEN 'hj+ko' WHEN han > 0 AND oko > 0 THEN 'hj+oko' WHEN kor > 0 AND han = 0 THEN 'ko' WHEN oko > 0 THEN 'oko'
+            WHEN language = 'eng_Latn' AND lat > 0 THEN 'en' WHEN jpn > 0 THEN 'ja' WHEN lat >= 1 THEN 'en' WHEN lat > 0 AND han > 0 THEN 'hj+en' ELSE 'zxx' END
+        WHEN src = 'gongu' THEN CASE
+            WHEN glossed > 0 AND glossed / length(text) >= 0.7 THEN 'hj' WHEN kor > 0 AND han = 0 AND oko = 0 THEN 'ko' WHEN oko > 0 AND han = 0 THEN 'oko' WHEN jpn > 0 AND kor = 0 AND oko = 0 THEN 'ja'
+            WHEN han > 0 AND kor = 0 AND oko = 0 THEN 'hj' WHEN language = 'eng_Latn' AND lat > 0 THEN 'en' WHEN han > 0 AND kor > 0 AND oko = 0 THEN 'hj+ko' WHEN han > 0 AND oko > 0 THEN 'hj+oko' ELSE 'unk' END
+        WHEN src IN ('aks_book', 'aks_collection', 'aks_letter', 'aks_royal', 'kyu_old', 'nhm_archive') THEN CASE
+            WHEN han >= 1 THEN 'hj' WHEN han > 0 AND oko > 0 THEN 'hj+oko' WHEN han > 0 AND kor > 0 AND oko = 0 THEN CASE WHEN src IN ('kyu_old', 'aks_collection') THEN 'hj' ELSE 'hj+ko' END
+            WHEN oko > 0 THEN 'oko' WHEN kor > 0 AND han = 0 THEN 'ko' WHEN language = 'jpn_Jpan' AND jpn > 0 THEN 'ja' WHEN language = 'eng_Latn' AND lat > 0 THEN 'en'
+            WHEN han > 0 AND kor = 0 AND oko = 0 THEN 'hj' ELSE 'zxx' END
+        END AS category FROM stripped)"""
+
+
+def _category(df: DataFrame) -> DataFrame:
+    found = X.with_script_ratios(df, "text")
+    return found.withColumn("category", D.category(D.source_id(F.col("id")), D.shares(), F.col("language"), F.col("text")))
+
+
+@query(f"WITH {_PROFILE}, {_CATEGORY} SELECT id, category FROM ruled")
+def document_categories(spark, folder):
+    return _category(table(spark, folder, "raw_documents")).select("id", "category")
+
+
+@query(f"""
+    WITH {_PROFILE}, {_CATEGORY}, kept AS (
+      SELECT *, CASE WHEN contains(category, 'ko') AND year < 1446 THEN replace(replace(category, '+oko', ''), '+ko', '') ELSE category END AS c FROM ruled WHERE category IS NULL OR category NOT IN ('empty', 'num', 'zxx'))
+    SELECT id, c AS category,
+      CASE WHEN c IN ('oko', 'hj+oko', 'hj+ko', 'ko') THEN CASE WHEN year IS NULL THEN 'Korean' WHEN year >= 918 AND year < 1600 THEN CASE WHEN han > 0.8 THEN 'Hanmun' ELSE 'Middle Korean' END
+             WHEN year >= 1600 AND year < 1894 THEN 'Early Modern Korean' WHEN year >= 1894 THEN 'Modern Korean' END
+           ELSE CASE c WHEN 'hj' THEN 'Hanmun' WHEN 'hj+en' THEN 'Hanmun' WHEN 'nko' THEN 'North Korean' WHEN 'en' THEN 'English' WHEN 'ja' THEN 'Japanese' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' END END AS language,
+      CASE c WHEN 'hj' THEN 'Hanja' WHEN 'hj+oko' THEN 'Hanja, Old Hangeul' WHEN 'hj+ko' THEN 'Hanja, Hangeul' WHEN 'nko' THEN 'Hangeul' WHEN 'ko' THEN 'Hangeul' WHEN 'en' THEN 'Latin' WHEN 'ja' THEN 'Kanji, Kana'
+             WHEN 'es' THEN 'Latin' WHEN 'hj+en' THEN 'Hanja, Latin' WHEN 'oko' THEN 'Old Hangeul' WHEN 'fr' THEN 'Latin' END AS script
+    FROM kept""")
+def classified_documents(spark, folder):
+    df = _category(table(spark, folder, "raw_documents")).where(~F.coalesce(F.col("category").isin(*D.DROPPED), F.lit(False)))
+    df = df.withColumn("category", D.before_hangul(F.col("category"), F.col("year")))
+    return df.select("id", "category", D.period_language(F.col("category"), F.col("year"), F.col("script_han")).alias("language"), D.category_script(F.col("category")).alias("script"))
+
+
+@query()
+def processed_documents(spark, folder):
+    """Stage 01 as a whole: normal texts, profiles, languages and categories."""
+    return D.classify(D.profile(table(spark, folder, "raw_documents")))
+
+
+# ---- tokens and vowels ----
+
+
+@query(r"SELECT token, count(*) AS n_tokens FROM (SELECT unnest(regexp_extract_all(text, '\p{Hangul}+')) AS token FROM raw_documents) GROUP BY token")
+def hangul_tokens(spark, folder):
+    found = table(spark, folder, "raw_documents").select(F.explode(tokens.hangul_tokens(F.col("text"))).alias("token"))
+    return found.groupBy("token").agg(F.count("*").alias("n_tokens"))
+
+
+@query()
+def token_contexts(spark, folder):
+    """Tokens by context; look-around has no SQL, so this one is tested against brute force."""
+    found = table(spark, folder, "raw_documents").select("id", F.explode(tokens.tokens_in_context(F.col("text"))).alias("t"))
+    return found.groupBy("id", "t.token_context").agg(F.count("*").alias("n_tokens"))
+
+
+_CODE = "unicode(c)"
+_LETTERS = "'ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ'"
+_IS_VOWEL = f"({_CODE} BETWEEN 44032 AND 55203 OR {_CODE} BETWEEN 4448 AND 4519 OR {_CODE} BETWEEN 55216 AND 55238 OR contains({_LETTERS} || 'ㆍㆎ', c))"
+_ONE_VOWEL = f"CASE WHEN {_CODE} BETWEEN 44032 AND 55203 THEN {_LETTERS}[((({_CODE} - 44032) % 588) // 28) + 1] WHEN {_CODE} BETWEEN 4449 AND 4469 THEN {_LETTERS}[{_CODE} - 4448] WHEN {_CODE} = 4510 THEN 'ㆍ' ELSE c END"
+
+
+@query(f"""
+    SELECT token, array_to_string(list_transform(list_filter(string_split(token, ''), lambda c: c <> '' AND {_IS_VOWEL}), lambda c: {_ONE_VOWEL}), ',') AS vowels
+    FROM (SELECT DISTINCT token FROM token_rows WHERE token IS NOT NULL)""")
+def vowel_sequences(spark, folder):
+    found = table(spark, folder, "token_rows").where(F.col("token").isNotNull()).select("token").distinct()
+    return found.select("token", F.array_join(H.vowels(F.col("token")), ",").alias("vowels"))
+
+
+_CLEAN = "regexp_matches(vowels, '^[ㅏ-ㅣㆍㆎ](,[ㅏ-ㅣㆍㆎ])*$')"
+
+
+def _clean_vowels(spark, folder) -> DataFrame:
+    return table(spark, folder, "token_rows").where(F.col("vowels").rlike("^[ㅏ-ㅣㆍㆎ](,[ㅏ-ㅣㆍㆎ])*$")).withColumn("v", F.split("vowels", ","))
+
+
+@query(f"SELECT token_row_id, vowel_classes_core, harmony_status_core, vowel_classes_expanded, harmony_status_expanded, vowel_classes, num_vowels, harmony_status FROM token_rows WHERE {_CLEAN}")
+def vowel_classes(spark, folder):
+    made = tokens.vowel_columns(F.col("v"))
+    return _clean_vowels(spark, folder).select("token_row_id", *(made[c].alias(c) for c in ("vowel_classes_core", "harmony_status_core", "vowel_classes_expanded", "harmony_status_expanded", "vowel_classes", "num_vowels", "harmony_status")))
+
+
+@query(f"SELECT token_row_id, has_arae_a, has_a, has_eu, has_initial_a, has_noninitial_eu, greatest(has_arae_a, has_a, has_eu) AS has_any_arae_related FROM token_rows WHERE {_CLEAN}")
+def arae_flags(spark, folder):
+    return _clean_vowels(spark, folder).select("token_row_id", *(c.alias(k) for k, c in H.arae_flags(F.col("v")).items()))
+
+
+def _phase_sql(start: int, end: int) -> str:
+    return f"CASE WHEN year IS NULL OR isnan(year) THEN 'unknown' WHEN trunc(year) < {start} THEN 'before' WHEN trunc(year) <= {end} THEN 'during' ELSE 'after' END"
+
+
+@query(f"SELECT token_row_id, {_phase_sql(1500, 1599)} AS arae_noninitial_phase, {_phase_sql(1700, 1750)} AS arae_initial_phase, {_phase_sql(1590, 1650)} AS lmk_emk_transition_phase FROM token_rows")
+def event_phases(spark, folder):
+    s = tokens.Extraction()
+    phases = {"arae_noninitial_phase": s.arae_noninitial_merger, "arae_initial_phase": s.arae_initial_merger, "lmk_emk_transition_phase": s.lmk_emk_transition}
+    return table(spark, folder, "token_rows").select("token_row_id", *(H.event_phase(F.col("year"), *b).alias(k) for k, b in phases.items()))
+
+
+@query("""
+    SELECT token_row_id, CASE WHEN token_source = 'idu_dictionary_hangul_correspondence' OR token_context = 'parenthetical_hanja_reading' OR language = 'Hanmun'
+             OR category IN ('hj', 'hj+ko', 'hj+oko') OR script_han > 0 THEN 1 ELSE 0 END AS sino_proxy FROM token_rows""")
+def sino_proxy(spark, folder):
+    return table(spark, folder, "token_rows").select("token_row_id", tokens.sino_proxy(*map(F.col, ("token_source", "token_context", "language", "category", "script_han"))).alias("sino_proxy"))
+
+
+def _token_rows(spark, folder) -> DataFrame:
+    docs = D.classify(D.profile(table(spark, folder, "raw_documents").dropDuplicates(["id"])))
+    return tokens.token_rows(docs)
+
+
+@query()
+def extracted_token_rows(spark, folder):
+    """Stages 01 and 02: token rows of raw documents, all columns."""
+    return _token_rows(spark, folder)
+
+
+# ---- windows and samples ----
+
+_SETTINGS = sampling.Sampling(min_window_wordforms=100, target_wordforms_per_window=50)
+_STRICT = sampling.Sampling(sampling_mode="strict-balanced", min_window_wordforms=20, min_window_tokens=50, exclude_windows=("1893-1992",))
+_ROWS = f"""
+    cleaned AS (SELECT *, CAST(trunc(year) AS INTEGER) AS y, {_strip_sql('token')} AS t, list_filter(list_transform(string_split(vowels, ','), lambda v: {_strip_sql('v')}), lambda v: v <> '') AS v FROM token_rows
+                WHERE year IS NOT NULL AND year >= 1443 AND token IS NOT NULL AND vowels IS NOT NULL),
+    usable AS (SELECT *, array_to_string(v, ' ') AS vs, t || ' || ' || array_to_string(v, ' ') AS wf FROM cleaned WHERE t <> '' AND len(v) BETWEEN 2 AND 5),
+    windowed AS (SELECT *, s AS ws, s + 99 AS we, s || '-' || (s + 99) AS wid FROM (
+                   SELECT *, unnest([x for x in [1443 + ((y - 1443) // 50) * 50 - 50, 1443 + ((y - 1443) // 50) * 50] if x >= 1443 and x + 99 >= y]) AS s FROM usable)),
+    counted AS (SELECT ws AS time_window_start, we AS time_window_end, wid AS time_window_id, wf AS wordform_id, t AS token, vs AS vowel_seq, count(*) AS token_count_in_window,
+                       min(y) AS first_observed_year_in_window, max(y) AS last_observed_year_in_window, CAST(min(len(v)) AS INTEGER) AS num_vowels_normalized,
+                       array_to_string(list_sort(list(DISTINCT coalesce(token_source, 'nan'))), '|') AS token_sources_present, bool_or(contains(lower(coalesce(token_source, '')), 'idu')) AS contains_idu_derived_observation,
+                       min(vowel_classes_core) AS vowel_classes_core, min(harmony_status_core) AS harmony_status_core, min(vowel_classes_expanded) AS vowel_classes_expanded, min(harmony_status_expanded) AS harmony_status_expanded
+                FROM windowed GROUP BY ALL)"""
+
+
+def _counts(spark, folder) -> DataFrame:
+    return sampling.count_wordforms(table(spark, folder, "token_rows"), _SETTINGS)
+
+
+@query(f"WITH {_ROWS} SELECT * FROM counted")
+def wordform_counts(spark, folder):
+    return _counts(spark, folder)
+
+
+@query("SELECT CAST(trunc(min(year)) - (trunc(min(year)) % 25) AS INTEGER) AS anchor_year FROM token_rows WHERE NOT isnan(year)")
+def anchor_year(spark, folder):
+    found = sampling.anchor_year(table(spark, folder, "token_rows"), sampling.Sampling(start_year=None, window_width=25, window_step=25))
+    return spark.createDataFrame([(found,)], "anchor_year int")
+
+
+def _years_sql(width: int, step: int) -> str:
+    back = ", ".join(f"1443 + ((y - 1443) // {step}) * {step} - {k * step}" for k in range(-(-width // step)))
+    return f"""SELECT y AS year, s AS window_start, s + {width - 1} AS window_end FROM (
+      SELECT y, unnest([x for x in [{back}] if x >= 1443 and x + {width - 1} >= y]) AS s FROM (SELECT DISTINCT CAST(trunc(year) AS INTEGER) AS y FROM token_rows WHERE year >= 1443))"""
+
+
+def _years(spark, folder, width: int, step: int) -> DataFrame:
+    years = table(spark, folder, "token_rows").where("year >= 1443").select(F.col("year").cast("int").alias("year")).distinct()
+    found = years.select("year", F.explode(sampling.year_windows(F.col("year"), 1443, width, step)).alias("w"))
+    return found.select("year", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
+
+
+@query(_years_sql(25, 25))
+def year_windows_tumbling(spark, folder):
+    return _years(spark, folder, 25, 25)
+
+
+@query(_years_sql(100, 30))
+def year_windows_sliding(spark, folder):
+    return _years(spark, folder, 100, 30)
+
+
+@query(_years_sql(10, 25))
+def year_windows_with_gaps(spark, folder):
+    return _years(spark, folder, 10, 25)
+
+
+def _diagnostics_sql(s: sampling.Sampling) -> str:
+    strict = s.sampling_mode == "strict-balanced"
+    manual = f"time_window_id IN ({', '.join(repr(w) for w in s.exclude_windows)})" if s.exclude_windows else "false"
+    return f"""
+    diagnostics AS (SELECT *, available_wordforms_before_sampling < {s.min_window_wordforms} AS time_window_is_low_n_warning,
+      CASE WHEN {manual} THEN 'MANUALLY_EXCLUDED' WHEN total_token_count_represented_before_sampling < {s.min_window_tokens} THEN 'BELOW_MIN_TOKENS'
+           WHEN {str(strict).lower()} AND available_wordforms_before_sampling < {s.min_window_wordforms} THEN 'BELOW_MIN_WORDFORMS' ELSE 'INCLUDED' END AS time_window_exclusion_reason
+      FROM (SELECT time_window_start, time_window_end, time_window_id, count(DISTINCT wordform_id) AS available_wordforms_before_sampling, CAST(sum(token_count_in_window) AS BIGINT) AS total_token_count_represented_before_sampling
+            FROM counted GROUP BY ALL))"""
+
+
+_DIAGNOSTIC = ["time_window_start", "time_window_end", "time_window_id", "available_wordforms_before_sampling", "total_token_count_represented_before_sampling", "time_window_is_low_n_warning", "time_window_exclusion_reason"]
+
+
+@query(f"WITH {_ROWS}, {_diagnostics_sql(_SETTINGS)} SELECT {', '.join(_DIAGNOSTIC)} FROM diagnostics")
+def window_diagnostics(spark, folder):
+    return sampling.window_diagnostics(_counts(spark, folder), _SETTINGS).select(*_DIAGNOSTIC)
+
+
+@query(f"WITH {_ROWS}, {_diagnostics_sql(_STRICT)} SELECT time_window_id, time_window_exclusion_reason FROM diagnostics WHERE time_window_exclusion_reason <> 'INCLUDED'")
+def excluded_windows(spark, folder):
+    return sampling.excluded_windows(sampling.window_diagnostics(_counts(spark, folder), _STRICT)).select("time_window_id", "time_window_exclusion_reason")
+
+
+def _sample_sql(s: sampling.Sampling) -> str:
+    size = "(SELECT min(available_wordforms_before_sampling) FROM diagnostics WHERE time_window_exclusion_reason = 'INCLUDED')" if s.sampling_mode == "strict-balanced" else str(s.target_wordforms_per_window)
+    return f"""WITH {_ROWS}, {_diagnostics_sql(s)}, sample AS (SELECT * FROM (
+      SELECT time_window_id, wordform_id, token_count_in_window, CAST(row_number() OVER (PARTITION BY time_window_id ORDER BY token_count_in_window DESC, first_observed_year_in_window, token, vowel_seq) AS INTEGER) AS frequency_rank_in_window
+      FROM counted WHERE time_window_id IN (SELECT time_window_id FROM diagnostics WHERE time_window_exclusion_reason = 'INCLUDED')) WHERE frequency_rank_in_window <= {size})"""
+
+
+def _sample(spark, folder, s: sampling.Sampling) -> DataFrame:
+    counts = _counts(spark, folder)
+    return sampling.select_wordforms(counts, sampling.window_diagnostics(counts, s), s)
+
+
+_SAMPLED = ["time_window_id", "wordform_id", "token_count_in_window", "frequency_rank_in_window"]
+
+
+@query(_sample_sql(_SETTINGS) + " SELECT * FROM sample")
+def topk_per_window(spark, folder):
+    return _sample(spark, folder, _SETTINGS).select(*_SAMPLED)
+
+
+@query(_sample_sql(_STRICT) + " SELECT * FROM sample")
+def strict_balanced_sample(spark, folder):
+    return _sample(spark, folder, _STRICT).select(*_SAMPLED)
+
+
+@query(_sample_sql(_SETTINGS) + " SELECT wid AS time_window_id, wf AS wordform_id, token_row_id FROM windowed WHERE (wid, wf) IN (SELECT (time_window_id, wordform_id) FROM sample)")
+def selected_token_rows(spark, folder):
+    rows = table(spark, folder, "token_rows")
+    return sampling.selected_token_rows(rows, _sample(spark, folder, _SETTINGS), _SETTINGS).select("time_window_id", "wordform_id", "token_row_id")
+
+
+# ---- pairs and baseline ----
+
+_KEY = "run_name || '/' || time_window_id"
+_V = "list_filter(string_split(trim(vowel_seq), ' '), lambda v: v <> '')"
+_HARMONIC_SQL = "('ㆍ', 'ㅏ', 'ㅗ', 'ㅡ', 'ㅓ', 'ㅜ')"
+_UR = "[CASE WHEN i = 1 THEN v[i] ELSE CASE v[i] WHEN 'ㅏ' THEN 'A' WHEN 'ㅓ' THEN 'EO' WHEN 'ㅗ' THEN 'O' WHEN 'ㅜ' THEN 'U' WHEN 'ㆍ' THEN 'ARAE' WHEN 'ㅡ' THEN 'EU' ELSE v[i] END END for i in range(1, len(v) + 1)]"
+_CONVERTED = f"""
+    parsed AS (SELECT *, {_KEY} AS w, {_V} AS v FROM window_wordforms),
+    reasoned AS (SELECT *, list_sort(list_distinct(list_filter(v, lambda x: x NOT IN ('ㆍ', 'ㅏ', 'ㅗ', 'ㅡ', 'ㅓ', 'ㅜ', 'ㅣ')))) AS other FROM parsed),
+    judged AS (SELECT *, CASE WHEN len(v) < 2 THEN 'BELOW_MIN_VOWELS' WHEN len(other) > 0 THEN 'NONCORE_VOWEL:' || array_to_string(other, ',') END AS reason FROM reasoned),
+    eligible AS (SELECT w, wordform_id, token, v, array_to_string({_UR}, ' ') AS d2l_ur, array_to_string(v, ' ') AS d2l_sr,
+                        CAST(len(list_filter(v[2:], lambda x: x IN {_HARMONIC_SQL})) AS INTEGER) AS d2l_num_targets, CAST(len(list_filter(v[2:], lambda x: x = 'ㅣ')) AS INTEGER) AS d2l_num_noninitial_i,
+                        frequency_rank_in_window FROM judged WHERE reason IS NULL)"""
+
+
+def _sampled(spark, folder) -> DataFrame:
+    return table(spark, folder, "window_wordforms").withColumn("w", F.concat_ws("/", "run_name", "time_window_id"))
+
+
+@query(f"""
+    WITH {_CONVERTED} SELECT w, wordform_id, d2l_ur, d2l_sr, d2l_ur || chr(9) || d2l_sr AS d2l_pair_key, v[1] AS d2l_initial_vowel,
+      CASE WHEN v[1] = 'ㅣ' THEN 'NEUTRAL' WHEN v[1] IN ('ㆍ', 'ㅏ', 'ㅗ') THEN '+RTR' ELSE '-RTR' END AS d2l_initial_rtr_class, CAST(len(v) AS INTEGER) AS d2l_num_segments, d2l_num_targets, d2l_num_noninitial_i,
+      d2l_num_noninitial_i > 0 AS d2l_contains_noninitial_i, list_contains(v, 'ㆍ') AS d2l_contains_arae, d2l_num_targets > 0 AS d2l_has_prediction_target,
+      CAST(count(*) OVER (PARTITION BY w, d2l_ur, d2l_sr) AS INTEGER) AS lexical_type_weight, count(*) OVER (PARTITION BY w, d2l_ur, d2l_sr) > 1 AS d2l_pair_is_shared_by_multiple_wordforms FROM eligible""")
+def ur_sr_pairs(spark, folder):
+    eligible, _ = pairs.convert(_sampled(spark, folder), "w")
+    return eligible.select("w", "wordform_id", *(c for c in eligible.columns if c.startswith("d2l_") or c == "lexical_type_weight"))
+
+
+@query(f"WITH {_CONVERTED} SELECT w, wordform_id, reason AS d2l_exclusion_reason FROM judged WHERE reason IS NOT NULL")
+def pair_exclusions(spark, folder):
+    return pairs.convert(_sampled(spark, folder), "w")[1].select("w", "wordform_id", "d2l_exclusion_reason")
+
+
+@query(f"""
+    WITH {_CONVERTED} SELECT w, d2l_ur, d2l_sr, CAST(count(*) AS INTEGER) AS lexical_type_weight,
+      string_agg(wordform_id, ' ||| ' ORDER BY frequency_rank_in_window NULLS FIRST, wordform_id) AS represented_wordform_ids, min(d2l_num_targets) AS d2l_num_targets FROM eligible GROUP BY w, d2l_ur, d2l_sr""")
+def weighted_pairs(spark, folder):
+    found = pairs.weighted_pairs(pairs.convert(_sampled(spark, folder), "w")[0], "w")
+    return found.select("w", "d2l_ur", "d2l_sr", "lexical_type_weight", "represented_wordform_ids", "d2l_num_targets")
+
+
+@query(f"""
+    WITH {_CONVERTED}, sums AS (SELECT w, count(*) AS sampled_wordforms_input, count(*) FILTER (reason IS NULL) AS d2l_eligible_lexical_wordforms, count(DISTINCT CASE WHEN reason IS NULL THEN array_to_string(v, ' ') END) AS unique_vowel_only_d2l_pairs,
+      count(*) FILTER (reason IS NULL AND len(list_filter(v[2:], lambda x: x IN {_HARMONIC_SQL})) > 0) AS lexical_wordforms_with_at_least_one_target,
+      count(*) FILTER (reason IS NULL AND list_contains(v[2:], 'ㅣ')) AS lexical_wordforms_with_noninitial_i, count(*) FILTER (reason IS NOT NULL) AS excluded_wordforms FROM judged GROUP BY w)
+    SELECT *, d2l_eligible_lexical_wordforms - unique_vowel_only_d2l_pairs AS lexical_types_represented_by_weights_beyond_unique_pairs,
+      round((d2l_eligible_lexical_wordforms - unique_vowel_only_d2l_pairs) / nullif(d2l_eligible_lexical_wordforms, 0)::DOUBLE, 9) AS fraction_lexical_types_collapsed_structurally,
+      round(excluded_wordforms / nullif(sampled_wordforms_input, 0)::DOUBLE, 9) AS fraction_sample_excluded_from_core_inventory FROM sums""")
+def pair_window_diagnostics(spark, folder):
+    found = pairs.pair_diagnostics(_sampled(spark, folder), "w")
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("fraction_")})
+
+
+_DETAIL = "w, d2l_sr, baseline_status, baseline_trigger, baseline_trigger_rtr, prediction_N, prediction_exceptions, wordform_exception"
+_RTR_SQL = "CASE WHEN {0} = 'ㅣ' THEN '-RTR' WHEN {0} IN ('ㆍ', 'ㅏ', 'ㅗ') THEN '+RTR' WHEN {0} IN ('ㅡ', 'ㅓ', 'ㅜ') THEN '-RTR' END"
+_SCORED = f"""
+    split AS (SELECT *, {_KEY} AS w, coalesce(list_filter(string_split(trim(d2l_sr), ' '), lambda x: x <> ''), []) AS v FROM d2l_wordforms),
+    aimed AS (SELECT *, list_sort(list_distinct(list_filter(v, lambda x: x NOT IN ('ㆍ', 'ㅏ', 'ㅗ', 'ㅡ', 'ㅓ', 'ㅜ', 'ㅣ')))) AS other, list_filter(v[2:], lambda x: x IN {_HARMONIC_SQL}) AS later, {_RTR_SQL.format('v[1]')} AS rtr FROM split),
+    stated AS (SELECT *, CASE WHEN len(v) = 0 THEN 'EMPTY_SEQUENCE' WHEN len(other) > 0 THEN 'NONCORE_VOWEL:' || array_to_string(other, ',') WHEN v[1] = 'ㅣ' THEN 'INITIAL_I_UNSCORED'
+                 WHEN len(later) = 0 THEN 'NO_LATER_HARMONIC_TARGET' ELSE 'SCORABLE' END AS baseline_status FROM aimed),
+    scored AS (SELECT *, CASE WHEN baseline_status IN ('SCORABLE', 'NO_LATER_HARMONIC_TARGET') THEN v[1] END AS baseline_trigger, CASE WHEN baseline_status IN ('SCORABLE', 'NO_LATER_HARMONIC_TARGET') THEN rtr END AS baseline_trigger_rtr,
+                 CASE WHEN baseline_status = 'SCORABLE' THEN CAST(len(later) AS INTEGER) ELSE 0 END AS "prediction_N",
+                 CASE WHEN baseline_status = 'SCORABLE' THEN CAST(len(list_filter(later, lambda x: (x IN ('ㆍ', 'ㅏ', 'ㅗ')) <> (rtr = '+RTR'))) AS INTEGER) ELSE 0 END AS prediction_exceptions FROM stated),
+    details AS (SELECT *, baseline_status = 'SCORABLE' AND prediction_exceptions > 0 AS wordform_exception FROM scored)"""
+
+
+def _details(spark, folder) -> DataFrame:
+    return pairs.baseline_details(table(spark, folder, "d2l_wordforms").withColumn("w", F.concat_ws("/", "run_name", "time_window_id")))
+
+
+@query(f"WITH {_SCORED} SELECT {_DETAIL} FROM details")
+def baseline_wordforms(spark, folder):
+    return _details(spark, folder).select(*_DETAIL.split(", "))
+
+
+def _rates_sql(p: str) -> str:
+    n, e = f'"{p}_N"', f"{p}_exceptions"
+    return f"""{n} - {e} AS {p}_correct, round({e} / nullif({n}, 0)::DOUBLE, 9) AS {p}_exception_rate, round(CASE WHEN {n} > 1 THEN {n} / ln({n}) END, 9) AS "{p}_theta_N",
+      round(CASE WHEN {n} > 1 THEN 1 / ln({n}) END, 9) AS {p}_theta_rate, coalesce({n} > 1 AND {n} - {e} > 1 AND {n} - {e} >= {n} / 2 AND {e} <= CASE WHEN {n} > 1 THEN {n} / ln({n}) END, false) AS "{p}_TP_pass\""""
+
+
+@query(f"""
+    WITH {_SCORED}, sums AS (SELECT w, count(*) AS core_wordforms_input, count(*) FILTER (baseline_status = 'SCORABLE') AS scorable_wordforms, count(*) FILTER (baseline_status = 'INITIAL_I_UNSCORED') AS initial_i_unscored_wordforms,
+      count(*) FILTER (baseline_status = 'NO_LATER_HARMONIC_TARGET') AS no_later_harmonic_target_wordforms, CAST(sum("prediction_N") AS BIGINT) AS "prediction_N", CAST(sum(prediction_exceptions) AS BIGINT) AS prediction_exceptions,
+      count(*) FILTER (baseline_status = 'SCORABLE') AS "wordform_N", count(*) FILTER (wordform_exception) AS wordform_exceptions, min(time_window_start) AS time_window_start, min(time_window_end) AS time_window_end FROM details GROUP BY w)
+    SELECT *, {_rates_sql('prediction')}, {_rates_sql('wordform')} FROM sums""")
+def baseline_by_window(spark, folder):
+    found = pairs.baseline_by_window(_details(spark, folder), "w")
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.endswith(("_rate", "_theta_N"))})
+
+
+@query('SELECT n, round(CASE WHEN n > 1 THEN n / ln(n) END, 9) AS "theta_N", coalesce(n > 1 AND n - n // 5 > 1 AND n - n // 5 >= n / 2 AND n // 5 <= CASE WHEN n > 1 THEN n / ln(n) END, false) AS "TP_pass" FROM (SELECT DISTINCT token_count_in_window AS n FROM window_wordforms WHERE token_count_in_window > 0)')
+def tolerance_threshold(spark, folder):
+    n = F.col("n")
+    counts = table(spark, folder, "window_wordforms").where("token_count_in_window > 0").select(F.col("token_count_in_window").alias("n")).distinct()
+    return counts.select("n", F.round(pairs.theta(n), 9).alias("theta_N"), pairs.tolerance_pass(n, F.expr("n div 5")).alias("TP_pass"))
+
+
+# ---- learner ----
+
+
+def _learned(spark, folder, mode: str = "progressive") -> DataFrame:
+    rows = table(spark, folder, "d2l_wordforms").where("d2l_ur is not null and d2l_sr is not null").withColumn("w", F.concat_ws("/", "run_name", "time_window_id"))
+    found = rows.groupBy("w", "d2l_ur", "d2l_sr").agg(F.count("*").cast("int").alias("lexical_type_weight"))
+    return learning.learn(found, "w", mode)
+
+
+@query()
+def learner_results(spark, folder):
+    return learning.results(_learned(spark, folder))
+
+
+@query()
+def learner_results_bidirectional(spark, folder):
+    return learning.results(_learned(spark, folder, "bidirectional"))
+
+
+@query()
+def learner_trace(spark, folder):
+    return learning.exploded(_learned(spark, folder), "trace", "w")
+
+
+@query()
+def learner_events(spark, folder):
+    return learning.exploded(_learned(spark, folder), "events", "w")
+
+
+@query()
+def learner_pair_predictions(spark, folder):
+    return learning.exploded(_learned(spark, folder), "predictions", "w")
+
+
+@query()
+def failure_context_summary(spark, folder):
+    return learning.failure_contexts(learning.exploded(_learned(spark, folder), "events", "w"), "w")
+
+
+@query()
+def failure_target_summary(spark, folder):
+    return learning.failure_targets(learning.exploded(_learned(spark, folder), "events", "w"), "w")
+
+
+@query()
+def initial_harmony_failures(spark, folder):
+    return learning.initial_harmony(failure_context_summary(spark, folder))
+
+
+@query()
+def top_failure_contexts(spark, folder):
+    return learning.top_contexts(failure_context_summary(spark, folder), "w")
+
+
+@query()
+def merged_baseline(spark, folder):
+    return learning.with_baseline(learning.results(_learned(spark, folder)), pairs.baseline_by_window(_details(spark, folder), "w"), "w")
+
+
+# ---- dictionary ----
+
+#: A small dictionary of words that the given texts hold; the real one is a resource of the user.
+_DICTIONARY = [{"sequence": 1, "idu_text": "不可不察", "hanja_text": "不可不察", "hangul_text": "불가불찰"}, {"sequence": 2, "idu_text": "不可", "hanja_text": "不可", "hangul_text": "불가"}, {"sequence": 3, "idu_text": "奏請", "hanja_text": "奏請", "hangul_text": "주청, 주쳥"}, {"sequence": 4, "idu_text": "啓曰", "hanja_text": "啓曰", "hangul_text": "계왈"}, {"sequence": 5, "idu_text": "從之以", "hanja_text": "從之以", "hangul_text": "종지이"}]
+
+
+@query("""
+    SELECT id, match_text, count(*) AS n_matches FROM (SELECT id, unnest(regexp_extract_all(text, '不可不察|從之以|不可|奏請|啓曰')) AS match_text FROM raw_documents) GROUP BY id, match_text""")
+def idu_matches(spark, folder):
+    matched = lexicon.match_column(lexicon.Lexicon.build(_DICTIONARY), spark)
+    found = table(spark, folder, "raw_documents").select("id", F.explode(matched(F.col("text"))).alias("m"))
+    return found.groupBy("id", F.col("m.match_text").alias("match_text")).agg(F.count("*").alias("n_matches"))
+
+
+@query(r"""
+    SELECT token, unnest(CASE WHEN raw = '' THEN [] WHEN len(p) > 1 THEN p ELSE [raw] END) AS reading FROM (
+      SELECT token, trim(token_source) AS raw, list_filter(regexp_split_to_array(trim(token_source), '[\s,;/|]+'), lambda x: x <> '') AS p FROM (
+        SELECT DISTINCT token, token || ', ' || coalesce(vowels, '') AS token_source FROM token_rows WHERE token IS NOT NULL AND regexp_matches(coalesce(vowels, ''), '^[ㅏ-ㅣㆍ,]*$')))""")
+def idu_readings(spark, folder):
+    rows = table(spark, folder, "token_rows").where(F.col("token").isNotNull() & F.coalesce("vowels", F.lit("")).rlike("^[ㅏ-ㅣㆍ,]*$"))
+    made = rows.select("token", F.concat("token", F.lit(", "), F.coalesce("vowels", F.lit(""))).alias("h")).distinct()
+    return made.select("token", F.explode(lexicon.reading_column(F.col("h"))).alias("r")).select("token", "r.reading")
+
+
+@query()
+def idu_classification(spark, folder):
+    words = {d["idu_text"] for d in _DICTIONARY}
+    classified = lexicon.classifier_column(lexicon.IduClassifier(words, ["爲", "去"], {"不可"}, {"奏請"}), spark)
+    return table(spark, folder, "raw_documents").select("id", classified(F.col("text")).alias("c")).select("id", "c.*")
