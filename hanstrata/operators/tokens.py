@@ -13,9 +13,9 @@ from hanstrata.functions import harmony as H
 CONTEXT = 12
 TOKEN = r"\p{IsHangul}+"
 # One pattern for a token and what stands around it; each look-around has an empty way out, so it never fails.
-# Groups: 1 an ideograph near to the left, 2 one right before a bracket, 3 the bracket, 4 the token, 5 the closing bracket, 6 an ideograph near to the right.
+# The first look-ahead keeps groups of places without a token from being filled. Groups: 1 an ideograph near to the left, 2 one right before a bracket, 3 the bracket, 4 the token, 5 the closing bracket, 6 an ideograph near to the right.
 _AROUND = (
-    rf"(?:(?<=(\p{{IsHan}})(?s:.{{0,{CONTEXT - 1}}}))|)(?:(?<=(\p{{IsHan}})\()|)(?:(?<=(\())|)"
+    rf"(?=\p{{IsHangul}})(?:(?<=(\p{{IsHan}})(?s:.{{0,{CONTEXT - 1}}}))|)(?:(?<=(\p{{IsHan}})\()|)(?:(?<=(\())|)"
     rf"({TOKEN})(?=(\))|)(?=(?s:.{{0,{CONTEXT - 1}}})(\p{{IsHan}})|)"
 )
 
