@@ -4,13 +4,34 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 N = sys.maxunicode + 1
 
 
+#: Bytes of text that are worked on at once; arrays over code points take a hundred times as much.
+BYTES_AT_ONCE = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of at most BYTES_AT_ONCE bytes of text, so that memory does not follow the length of documents.
+
+    A longer text comes alone.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).cumsum()
+        a, done = 0, 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(size, done + BYTES_AT_ONCE, side="right")))
+            yield batch.slice(a, z - a)
+            a, done = z, int(size[z - 1])
+
+
 def explode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the texts, one after the other, and the n + 1 offsets of the texts."""
     length = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -35,6 +35,8 @@ PASSAGES_PER_TASK = 512
 #: Shortest stretch of letters that counts, in alphabets and in syllables or ideographs; letters that a replaced word may have.
 MIN_STRETCH = {True: 24, False: 8}
 MAX_GAP = {True: 24, False: 8}
+#: Shortest run that can be a part of a stretch with replaced words in it.
+MIN_RUN = {True: 10, False: 7}
 HELD_SHARE = 0.5
 MAX_ITEM_LETTERS = 20_000_000
 _FILTER_BITS = 22
@@ -92,7 +94,7 @@ def document_frequencies(docs: DataFrame, vocabulary, to) -> tuple[np.ndarray, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         count, n = np.zeros(len(v.hashes), np.int64), 0
-        for batch in batches:
+        for batch in cp.slices(batches):
             texts = _texts(batch)
             points, offsets = letters(texts, to.value)
             index, at = v.find(*grams(points, offsets))
@@ -134,7 +136,7 @@ def _gram_product(passages: DataFrame, vocabulary, idf, to, basis, shape: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, total = vocabulary.value, None
-        for batch in batches:
+        for batch in cp.slices(batches):
             points, offsets = letters(_texts(batch), to.value)
             row, column, weight = tfidf_rows(points, offsets, v, idf.value)
             y = _times(row, column, weight, batch.num_rows, basis.value)
@@ -251,18 +253,19 @@ def verified(points: np.ndarray, offsets: np.ndarray, items: Items, min_score: f
         i, a = index[cut[text] : cut[text + 1]], at[cut[text] : cut[text + 1]]
         own = items.grams[item]
         mine = own[np.minimum(np.searchsorted(own, i), len(own) - 1)] == i
-        share = held_share(a[mine], i[mine], items.places[item], items.length[item], items.latin[item])
+        share = held_share(a[mine], i[mine], items.places[item], items.length[item], items.latin[item], min_share)
         if share >= min_share:
             found.append((text, item, share))
     return found
 
 
-def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]], length: int, latin: bool) -> float:
+def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]], length: int, latin: bool, needed: float = 0.0) -> float:
     """Share of a passage's letters that lie, in order, in long stretches of a text.
 
     `at` and `index` are the text's n-grams from the vocabulary, in order; `places` has the passage's
     n-grams. A stretch is an unbroken common run, or several with single replaced words between
-    them, which then count as held. Stretches are chained to their longest common subsequence.
+    them, which then count as held. Stretches are chained to their longest common subsequence. The
+    result is 0 where it can't reach `needed`.
     """
     runs: list[list[int]] = []
     open_runs: dict[int, list[int]] = {}
@@ -279,26 +282,42 @@ def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]],
                 run[2] += 1
             now[j] = run
         open_runs, before = now, i
-    least, gap = MIN_STRETCH[latin], MAX_GAP[latin]
-    runs = [r for r in runs if r[2] >= GRAM + 2]
+    least, gap, shortest = MIN_STRETCH[latin], MAX_GAP[latin], MIN_RUN[latin]
+    runs = [(i, j, n, i + n, j + n) for i, j, n in runs if n >= shortest]
+    # no chain holds more than what all runs cover, with the gaps between them that may be bridged
+    most = end = 0
+    for j, z in sorted((r[1], r[4]) for r in runs):
+        if z > end:
+            most += z - (end if end and j - end <= gap else max(j, end))
+            end = z
+    if most < needed * length:
+        return 0.0
     runs.sort()
     score = [0] * len(runs)  # of the best chain that ends with a run; 0: no stretch of full length in it yet
     best = 0
-    for x, (i, j, n) in enumerate(runs):
+    for x, (i, j, n, _, _) in enumerate(runs):
         top = n if n >= least else 0
-        for y in range(x - 1, -1, -1):
-            i2, j2, n2 = runs[y]
-            over = max(0, j2 + n2 - j, i2 + n2 - i)
+        for y in range(x):
+            _, j2, n2, ei, ej = runs[y]
+            before, after = j - ej, i - ei
+            over = -before if before < after else -after
+            if over < 0:
+                over = 0
             if over >= n or j2 > j:
                 continue
-            between_j, between_i = max(0, j - j2 - n2), max(0, i - i2 - n2)
-            if between_j <= gap and between_i <= gap:
-                top = max(top, (score[y] or n2) + n - over + between_j)
+            if before <= gap and after <= gap:
+                s = (score[y] or n2) + n - over + (before if before > 0 else 0)
             elif score[y] and n - over >= least:
-                top = max(top, score[y] + n - over)
-        score[x] = top if top >= least else 0
-        best = max(best, top)
-    return min(1.0, best / length) if best >= least else 0.0
+                s = score[y] + n - over
+            else:
+                continue
+            if s > top:
+                top = s
+        if top >= least:
+            score[x] = top
+            if top > best:
+                best = top
+    return min(1.0, best / length)
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, rank: int = RANK, min_score: float = MIN_SCORE, min_share: float = HELD_SHARE) -> DataFrame:
@@ -332,7 +351,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     known = sc.broadcast(Items(local["id"].to_numpy(), points, offsets, v.value, idf, float(np.log(n_docs + 1) + 0.1), basis))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches):
             p, o = letters(_texts(batch), to.value)
             found = [(d, known.value.ids[i], share) for d, i, share in verified(p, o, known.value, min_score, min_share)]
             ids = batch["doc_id"].take(pa.array([f[0] for f in found], pa.int64()))
