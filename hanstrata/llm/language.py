@@ -30,6 +30,8 @@ from hanstrata.runtime import require_columns
 FEATURES = 1 << 17
 #: Weight of words in brackets and quotation marks for the language of a line.
 BRACKETED = 0.05
+#: Trusted lines of a language from which they are judged a second time.
+FEW_LINES = 100
 _OPEN, _CLOSE = "(（「『《〈[【［“‘{<", ")）」』》〉]】］”’}>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,9 +40,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class SampleBounds:
     """How many labelled documents the model is fitted on, and how long they may be."""
 
-    documents_per_language: int = 400
+    documents_per_language: int = 300
     characters: int = 4000
-    rounds: tuple[int, int] = (25, 60)
+    rounds: tuple[int, int] = (20, 40)
     folds: int = 3
 
 
@@ -120,45 +122,47 @@ class Words:
         return out * self.scale[:, None] + scripts[self.scripts]
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+def _shares(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
 
 
 def forward_backward(emission: np.ndarray, line: np.ndarray, start: np.ndarray, transition: np.ndarray, pairs: bool = False):
-    """Marginals of each word of lines, in order; with `pairs` also the expected transitions and starts."""
+    """Marginals of each word of lines, in order; with `pairs` also the expected transitions and starts.
+
+    Lines go side by side, longest first; each step is scaled, so lines of any length stay in range.
+    """
     n, k = emission.shape
-    marginal = np.zeros((n, k), np.float32)
-    expected, starts, loglik = np.zeros((k, k)), np.zeros(k), 0.0
+    marginal, expected, starts = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
     if not n:
-        return marginal, expected, starts, loglik
+        return marginal, expected, starts
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
     length = np.diff(np.append(first, n))
     order = np.argsort(-length, kind="stable")
-    for a in range(0, len(order), 2048):
-        rows = order[a : a + 2048]
+    weight = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float64)
+    step, begin = np.exp(transition.astype(np.float64)), np.exp(start.astype(np.float64))
+    for a in range(0, len(order), 4096):
+        rows = order[a : a + 4096]
         longest = length[rows[0]]
-        alive = np.array([np.searchsorted(-length[rows], -t, side="left") for t in range(longest)])  # lines longer than t: a prefix
-        alpha = np.zeros((longest, len(rows), k), np.float32)
-        beta = np.zeros((longest, len(rows), k), np.float32)
-        e = [emission[first[rows[: alive[t]]] + t] for t in range(longest)]
-        alpha[0, : alive[0]] = start + e[0]
+        alive = np.searchsorted(-length[rows], -np.arange(longest), side="left")  # lines longer than t: a prefix
+        at = [first[rows[: alive[t]]] + t for t in range(longest)]
+        alpha = [_shares(begin * weight[at[0]])]
         for t in range(1, longest):
-            alpha[t, : alive[t]] = _logsum(alpha[t - 1, : alive[t], :, None] + transition[None], 1) + e[t]
-        for t in range(longest - 2, -1, -1):
-            m = alive[t + 1]
-            beta[t, :m] = _logsum(transition[None] + (e[t + 1] + beta[t + 1, :m])[:, None, :], 2)
-        z = _logsum(alpha[length[rows] - 1, np.arange(len(rows))], 1)
-        loglik += z.sum()
-        for t in range(longest):
+            alpha.append(_shares(alpha[-1][: alive[t]] @ step * weight[at[t]]))
+        beta = np.ones((alive[longest - 1], k))
+        marginal[at[longest - 1]] = alpha[-1]
+        for t in range(longest - 1, 0, -1):
             m = alive[t]
-            marginal[first[rows[:m]] + t] = np.exp(alpha[t, :m] + beta[t, :m] - z[:m, None])
-            if pairs and t:
-                joint = alpha[t - 1, :m, :, None] + transition[None] + (e[t] + beta[t, :m])[:, None, :] - z[:m, None, None]
-                expected += np.exp(joint).sum(axis=0)
+            after = weight[at[t]] * beta
+            if pairs:
+                joint = alpha[t - 1][:m]
+                expected += step * ((joint / np.maximum((joint @ step * after).sum(axis=1, keepdims=True), 1e-30)).T @ after)
+            grown = np.ones((alive[t - 1], k))
+            grown[:m] = _shares(after @ step.T)
+            beta = grown
+            marginal[at[t - 1]] = _shares(alpha[t - 1] * beta)
         if pairs:
-            starts += np.exp(alpha[0] + beta[0] - z[:, None]).sum(axis=0)
-    return marginal, expected, starts, loglik
+            starts += marginal[at[0]].sum(axis=0)
+    return marginal, expected, starts
 
 
 @dataclass
@@ -185,6 +189,8 @@ def _fit(words: Words, label: np.ndarray, model: Model, rounds: int, use: np.nda
     """Adam on the whole sample's log-likelihood; `label` is each line's language, `use` the lines that count."""
     k = len(model.languages)
     keep = use[words.line]
+    if not keep.any():
+        return
     line, gold = words.line[keep], label[words.line[keep]]
     # rows of the kept words, features sorted for the gradient
     mask = keep[words.row]
@@ -205,7 +211,7 @@ def _fit(words: Words, label: np.ndarray, model: Model, rounds: int, use: np.nda
     balance = np.clip(np.sqrt(size[size > 0].mean() / np.maximum(size, 1)), 0.5, 4).astype(np.float32)  # rare languages are learned as well
     for step in range(1, rounds + 1):
         emission = np.add.reduceat(model.weights[feature], begin, axis=0) * scale[:, None] + model.scripts[scripts]
-        marginal, expected, starts, _ = forward_backward(emission, line, model.start, model.transition, pairs=True)
+        marginal, expected, starts = forward_backward(emission, line, model.start, model.transition, pairs=True)
         miss = (onehot - marginal) * balance[gold][:, None]
         by_scripts = np.zeros_like(model.scripts)
         np.add.at(by_scripts, scripts, miss)
@@ -245,16 +251,21 @@ def train(texts: list[str], languages: list[str], to: np.ndarray, rounds: tuple[
     given = np.array([index[x] for x in languages])
     label = given[words.line_text]
     fold = (words.text_key % folds)[words.line_text]
-    trusted = np.zeros(words.n_lines, bool)
-    for f in range(folds):
-        model = _empty(names)
-        _fit(words, label, model, rounds[0], fold != f)
-        found, _, letters = model.lines(words)
-        mass = np.zeros((len(texts), len(names)))
-        np.add.at(mass, (words.line_text[found >= 0], found[found >= 0]), letters[found >= 0])
-        trusted |= (fold == f) & (found == label) & (mass.argmax(axis=1) == given)[words.line_text]
-    if not trusted.any():
-        trusted[:] = True
+    trusted = np.ones(words.n_lines, bool)
+    for again in (False, True):  # the second time, the judges have learned from trusted lines only
+        agreed = np.zeros(words.n_lines, bool)
+        for f in range(folds):
+            model = _empty(names)
+            _fit(words, label, model, rounds[0], (fold != f) & trusted)
+            found, _, letters = model.lines(words)
+            mass = np.zeros((len(texts), len(names)))
+            np.add.at(mass, (words.line_text[found >= 0], found[found >= 0]), letters[found >= 0])
+            agreed |= (fold == f) & (found == label) & (mass.argmax(axis=1) == given)[words.line_text]
+        # labels of a rare language are mostly wrong ones at first; later, one that loses half of what was
+        # trusted, or has few lines left, is not judged by the others once more
+        count = lambda m: np.bincount(label[m], minlength=len(names))
+        judged = (count(agreed) * 2 >= count(trusted)) & (count(trusted) >= FEW_LINES) if again else np.full(len(names), agreed.any())
+        trusted = np.where(judged[label], agreed, trusted)
     model = _empty(names)
     _fit(words, label, model, rounds[1], trusted)
     return model
@@ -310,7 +321,7 @@ def document_languages(docs: DataFrame, key: str, text: str, label: str, names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, to = shared.value
         k = len(model.languages)
-        for batch in batches:
+        for batch in cp.slices(batches):
             words = Words(batch["text"].to_pylist(), to)
             language, confidence, letters = model.lines(words)
             has = language >= 0

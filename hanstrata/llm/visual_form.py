@@ -175,7 +175,7 @@ def with_form(df: DataFrame, column: str, form: str, to: np.ndarray, compose: bo
     schema = T.StructType([*rest.schema.fields, T.StructField(form, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cp.slices(batches, column):
             encoded = batch[column].cast(pa.string()).dictionary_encode()
             forms = pa.array(canonical(encoded.dictionary.to_pylist(), table.value, compose), pa.string())
             form_of = forms.take(encoded.indices) if len(forms) else pa.nulls(batch.num_rows, pa.string())
