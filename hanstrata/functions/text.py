@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from hanstrata.functions.inventory import NOT_COUNTED, SCRIPT_CLASSES
 
 # Fixed value: what str.strip() takes off, in a character class.
-_STRIP = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 @F.pandas_udf(T.StringType())
@@ -68,7 +68,7 @@ def with_normal_text(df: DataFrame, text: str = "text", prefix: str = "script_")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{_STRIP}]+|[{_STRIP}]+$", "")
+    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def squeeze_space(c: Column, keep_lines: bool = True) -> Column:

@@ -198,6 +198,19 @@ class IduClassifier:
         self.guard = re.compile(f"(?:{'|'.join(map(re.escape, heads))}){PARTICLE}(?![{BRANCHES}])")
         self._automaton = None
 
+    @classmethod
+    def load(cls, dictionary: str | Path, heads: str | Path, exclusions: str | Path, nouns: str | Path, settings: ClassifierSettings = ClassifierSettings()) -> IduClassifier:
+        """From resource files. All must be there and hold something, and be lists; else FileNotFoundError or ValueError."""
+        read = {}
+        for name, path in {"dictionary": dictionary, "heads": heads, "exclusions": exclusions, "nouns": nouns}.items():
+            if not Path(path).exists() or not Path(path).stat().st_size:
+                raise FileNotFoundError(f"{path} is missing or empty")
+            if Path(path).suffix.lower() == ".json" and not isinstance(json.loads(Path(path).read_text(encoding="utf-8")), list):
+                raise ValueError(f"{path} is not a list")
+            read[name] = read_resource(path)
+        text = lambda x: x.get("idu_text", x.get("text", "")) if isinstance(x, dict) else x
+        return cls({text(x) for x in read["dictionary"]}, [h for h in read["heads"] if h], {text(x) for x in read["exclusions"]}, {text(x) for x in read["nouns"]}, settings)
+
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
 

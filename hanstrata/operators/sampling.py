@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hanstrata.functions.text import strip
+from hanstrata.functions.text import WHITE, strip
 from hanstrata.runtime import require_columns
 
 
@@ -67,7 +67,8 @@ def year_windows(year: Column, anchor: int, width: int, step: int) -> Column:
 
 
 def parse_vowels(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), strip), lambda v: v != "")
+    """The parts of a comma-joined sequence, without white space around them and without empty ones."""
+    return F.filter(F.split(strip(F.regexp_replace(c, f"[{WHITE}]*,[{WHITE}]*", ",")), ","), lambda v: v != "")
 
 
 def clean_rows(rows: DataFrame, settings: Sampling) -> DataFrame:
