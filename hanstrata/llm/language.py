@@ -284,9 +284,11 @@ def fit(docs: DataFrame, key: str, text: str, label: str, names: DataFrame, boun
     """A model from labelled documents: of each language a fixed number, the same ones in every run."""
     known = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), _label(label).alias("label"))
     known = known.where((F.length("text") > 0) & (F.length("text") <= bounds.characters)).join(F.broadcast(language_labels(names)), "label")
-    chosen = W.partitionBy("named").orderBy(F.xxhash64("id"), "id", "text")
-    sample = known.dropDuplicates(["id"]).withColumn("r", F.row_number().over(chosen)).where(F.col("r") <= bounds.documents_per_language)
-    rows = sample.select("named", "text", "id").toPandas().sort_values(["named", "id"])
+    # ids are chosen first, and a fixed number of them fetches its texts
+    order = W.partitionBy("named").orderBy("order", "id")
+    chosen = known.select("named", "id", F.xxhash64("id").alias("order")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= bounds.documents_per_language)
+    sample = known.join(F.broadcast(chosen.select("id", "named")), ["id", "named"]).select("named", "id", "text")
+    rows = sample.distinct().toPandas().sort_values(["named", "id", "text"]).drop_duplicates(["named", "id"])
     to = _line_table(docs.sparkSession)
     return train(rows["text"].tolist(), rows["named"].tolist(), to, bounds.rounds, bounds.folds)
 
