@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,26 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application; their Python need not have it.
+
+    The driver serves the archive, so its own temporary folder will do.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="hanstrata-code-")) / "hanstrata.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, f"{package.name}/{path.relative_to(package)}")
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     """Raises ValueError, before any job runs, if a column is missing."""
     missing = [n for n in names if n not in df.columns]
