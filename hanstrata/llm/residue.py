@@ -27,7 +27,7 @@ from hanstrata.runtime import require_columns
 LABELS = ("filler", "error_page", "script_notice", "navigation")
 #: Containment from which a window is residue, and the share of residue from which a document is.
 WINDOW_COVERAGE = 0.5
-DOCUMENT_COVERAGE = 0.6
+DOCUMENT_COVERAGE = 0.5
 #: Weight of an n-gram that no exemplar has, as a part of the highest weight that there is.
 OTHER_WEIGHT = 0.75
 #: Letters that a heading may have: a line without the end of a sentence.

@@ -40,7 +40,7 @@ ERRORS = (
     "Traceback (most recent call last):", "File \"view.py\", line 1, in show", "KeyError: 'page'", "ValueError: invalid value", "TypeError: 'NoneType' object", "java.lang.NullPointerException at Index.open", "java.lang.IllegalStateException at Viewer.load", "Exception in thread main", "Stack trace", "Fatal error: uncaught exception", "Segmentation fault", "Undefined variable", "at Loader.load", "RuntimeError", "IndexError: list index out of range", "lang.RuntimeException at Page.read",
     "Error del servidor", "Página no encontrada", "Ficha no encontrada", "Documento no disponible", "Acceso denegado", "La página solicitada no existe.", "Se ha producido un error.", "El servidor no responde.", "Inténtelo de nuevo más tarde.", "Vuelva a la página de inicio.", "Compruebe la dirección.", "La sesión ha caducado", "Servicio en mantenimiento", "Referencia", "No se pudo completar la solicitud.", "El documento ha sido retirado.", "Puede que se haya movido o eliminado.", "Contacte con el administrador.",
     "Erreur du serveur", "Page introuvable", "Document indisponible", "Notice introuvable", "Accès refusé", "La page demandée n'existe pas.", "Une erreur est survenue.", "Le serveur ne répond pas.", "Veuillez réessayer plus tard.", "Retour à l'accueil.", "Vérifiez l'adresse.", "La session a expiré", "Service en maintenance", "Référence", "La demande n'a pas abouti.", "Le document a été retiré ou déplacé.", "Contactez l'administrateur.",
-    "오류가 발생하였습니다", "HTTP 오류", "페이지를 찾을 수 없습니다", "요청하신 자료를 찾을 수 없습니다.", "요청하신 페이지가 없습니다.", "존재하지 않는 문서입니다.", "접속이 제한되었습니다", "접근 권한이 없습니다", "세션이 만료되었습니다", "서비스 점검 중입니다", "서버에 연결할 수 없습니다.", "서버 응답이 없습니다.", "동시 접속자가 많아 연결이 지연되고 있습니다.", "잠시 후 다시 시도하여 주십시오.", "조금 뒤에 다시 접속해 주십시오.", "관리자에게 문의하십시오.", "담당자에게 문의하십시오.", "자료실에게 문의하십시오.", "이전 화면으로", "처음 화면으로 돌아가기", "주소를 다시 확인하십시오.", "주소가 바뀌었거나 삭제되었습니다.", "이름이 바뀌어 삭제된 문서입니다.", "기간이 지났거나 삭제된 원문입니다.", "요청 번호", "오류 번호", "불러오지 못하였습니다.", "데이터베이스 연결 실패", "요청을 처리하지 못하였습니다.", "다시 로그인하여 주십시오.", "비공개 자료입니다.", "자료가 이동되었거나 삭제되었을 수 있습니다.",
+    "오류가 발생하였습니다", "HTTP 오류", "페이지를 찾을 수 없습니다", "요청하신 자료를 찾을 수 없습니다.", "찾으시는 목록을 찾을 수 없습니다", "찾으시는 자료가 없거나 옮겨졌습니다", "선택한 문서가 없거나 옮겨졌습니다", "선택한 자료에 접근할 권한이 없습니다", "요청하신 화면을 불러오지 못했습니다", "선택한 페이지를 불러오지 못했습니다", "요청하신 페이지가 없습니다.", "존재하지 않는 문서입니다.", "접속이 제한되었습니다", "접근 권한이 없습니다", "세션이 만료되었습니다", "서비스 점검 중입니다", "서버에 연결할 수 없습니다.", "서버 응답이 없습니다.", "동시 접속자가 많아 연결이 지연되고 있습니다.", "잠시 후 다시 시도하여 주십시오.", "조금 뒤에 다시 접속해 주십시오.", "관리자에게 문의하십시오.", "담당자에게 문의하십시오.", "자료실에게 문의하십시오.", "이전 화면으로", "처음 화면으로 돌아가기", "주소를 다시 확인하십시오.", "주소가 바뀌었거나 삭제되었습니다.", "이름이 바뀌어 삭제된 문서입니다.", "기간이 지났거나 삭제된 원문입니다.", "요청 번호", "오류 번호", "불러오지 못하였습니다.", "데이터베이스 연결 실패", "요청을 처리하지 못하였습니다.", "다시 로그인하여 주십시오.", "비공개 자료입니다.", "자료가 이동되었거나 삭제되었을 수 있습니다.",
     "エラー", "ページが見つかりません", "お探しのページは見つかりませんでした。", "お探しの資料は移動または削除された可能性があります。", "アクセスが拒否されました", "アクセス権限がありません", "サーバーに接続できません", "サーバーエラーが発生しました", "しばらくしてからもう一度お試しください。", "アドレスを確認してください。", "トップページへ戻る", "セッションの有効期限が切れました", "メンテナンス中です", "管理者にお問い合わせください。", "番号", "資料を表示できません", "リクエストを処理できませんでした",
     "错误", "页面不存在", "找不到页面", "您访问的页面不存在或已删除。", "资料无法显示", "文档不存在", "访问被拒绝", "没有访问权限", "服务器错误", "服务器繁忙，请稍后再试。", "请稍后再试。", "请检查地址是否正确。", "返回首页", "会话已过期", "系统维护中", "请联系管理员。", "编号", "无法连接数据库", "该资料可能已被移动或删除。", "錯誤", "找不到頁面", "資料無法顯示", "請稍後再試。", "編號",
 )
