@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -42,13 +43,24 @@ def _script_tables() -> dict[str, np.ndarray]:
     return out
 
 
+_NOT_LINE = r"[^\S\n\x1c-\x1f]"
+_AROUND_LINE, _LINES, _BLANKS, _CONTROLS = (re.compile(p) for p in (rf"{_NOT_LINE}*\n{_NOT_LINE}*", r"\n+", rf"{_NOT_LINE}+", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"))
+
+
+def stored_form(text: str) -> str:
+    """What normalize() makes of a text."""
+    text = unicodedata.normalize("NFKC", text)
+    text = _LINES.sub("\n", _AROUND_LINE.sub("\n", text))
+    return _CONTROLS.sub("", _BLANKS.sub(" ", text).strip())
+
+
 _PROFILED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k in SCRIPT_CLASSES)])
 
 
 @F.pandas_udf(_PROFILED)
 def _profiled(text: pd.Series) -> pd.DataFrame:
-    """Compatibility form of texts and its characters of each script class, in one pass over the batch."""
-    forms = text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    """Stored form of texts and its characters of each script class, in one pass over the batch."""
+    forms = text.map(stored_form, na_action="ignore")
     given = [f if isinstance(f, str) else "" for f in forms]
     points = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(given)), [len(f) for f in given])
@@ -56,15 +68,16 @@ def _profiled(text: pd.Series) -> pd.DataFrame:
 
 
 def with_normal_text(df: DataFrame, text: str = "text", prefix: str = "script_") -> DataFrame:
-    """df with texts in their stored form, and the share of each script class.
+    """df with texts in their stored form, that of normalize(), and the share of each script class.
 
-    The form and the counts are made in one Arrow pass, as the form needs Python anyway; what
-    filters later look at is then an output of that pass, and no count is made twice.
+    Form and counts are made in one Arrow pass, as the form needs Python anyway. What filters look
+    at later is then a field of that pass; columns of expressions would be copied into each filter.
     """
-    df = df.withColumn("_p", _profiled(F.col(text)))
+    # declared so that the planner never evaluates it again for a filter on what follows from it
+    df = df.withColumn("_p", _profiled.asNondeterministic()(F.col(text)))
     total = F.col("_p.n_kor") + F.col("_p.n_jpn") + F.col("_p.n_han") + F.col("_p.n_lat")
     shares = {prefix + k: F.when(total > 0, F.col(f"_p.n_{k}").cast("double") / total).otherwise(F.lit(0.0)) for k in SCRIPT_CLASSES}
-    return df.withColumns({text: remove_controls(squeeze_space(F.col("_p.text")))} | shares).drop("_p")
+    return df.withColumns({text: F.col("_p.text")} | shares).drop("_p")
 
 
 def strip(c: Column) -> Column:

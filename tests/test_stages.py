@@ -60,6 +60,7 @@ def test_white_space_and_controls(spark, text):
         t = re.sub(rf"{ws}+", " ", re.sub(r"\n+", "\n", t)).strip()
         return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "", t)
 
+    assert text is None or X.stored_form(text) == want(text)
     assert one(spark, X.normalize(F.col("t")), t=(text, "string")) == (None if text is None else want(text))
 
 
