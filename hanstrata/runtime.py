@@ -40,6 +40,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """A reliable checkpoint in the shared folder; it survives the loss of executors."""
     sc = df.sparkSession.sparkContext
