@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ MAX_GAP = {True: 24, False: 8}
 #: Shortest run that can be a part of a stretch with replaced words in it.
 MIN_RUN = {True: 10, False: 7}
 HELD_SHARE = 0.5
-MAX_ITEM_LETTERS = 20_000_000
+#: Characters of passages that are searched for in one pass over the corpus: they go to every task.
+ITEM_CHARACTERS = 1_000_000
 _FILTER_BITS = 22
 
 
@@ -320,13 +322,16 @@ def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]],
     return min(1.0, best / length)
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, rank: int = RANK, min_score: float = MIN_SCORE, min_share: float = HELD_SHARE) -> DataFrame:
-    """(doc_id, item_id, held_share) of each document that holds at least min_share of an item's passage.
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, answer: str | None = None, rank: int = RANK, min_score: float = MIN_SCORE, min_share: float = HELD_SHARE) -> DataFrame:
+    """(doc_id, item_id, held_share, answer_found) of each document that holds at least min_share of an item's passage.
+
+    answer_found tells whether the document also holds the letters of the item's `answer`; null
+    without the column and for answers without letters. It decides nothing.
 
     Null and empty texts and passages hold nothing and are held by nothing. A document or item that
     is given twice is reported once. Texts of any length are searched whole. Extra columns are not
-    read. Items are held-out material and go to every task; `items` with more than MAX_ITEM_LETTERS
-    letters is refused, as what is broadcast must have a bound.
+    read. Items go to every task, so those with more than ITEM_CHARACTERS characters are searched for
+    in blocks of items, each in passes of its own.
     """
     require_columns(docs, doc_id, text)
     require_columns(items, item_id, passage)
@@ -334,31 +339,40 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     sc = spark.sparkContext
     id_type = items.schema[item_id].dataType
     given = items.where(F.length(passage) > 0)
-    if (size := given.agg(F.sum(F.length(passage))).first()[0] or 0) > MAX_ITEM_LETTERS:
-        raise ValueError(f"the items hold {size} characters; at most {MAX_ITEM_LETTERS} can be searched at once")
-    held = given.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{passage}`").alias("text")).distinct()
+    size = given.agg(F.sum(F.length(passage))).first()[0] or 0
+    if size > ITEM_CHARACTERS and given.select(item_id).distinct().limit(2).count() == 2:
+        n = -(-size // ITEM_CHARACTERS) + 1
+        block = F.pmod(F.xxhash64(F.col(f"`{item_id}`").cast("string"), F.lit(n)), F.lit(n))
+        parts = [leaked_items(docs, doc_id, text, given.where(block == k), item_id, passage, answer, rank, min_score, min_share) for k in range(n)]
+        return reduce(DataFrame.unionByName, parts)
+    held = given.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{passage}`").alias("text"), (F.col(f"`{answer}`") if answer else F.lit(None)).cast("string").alias("answer")).dropDuplicates(["id", "text"])
     local = held.toPandas()
     to = sc.broadcast(text_table(spark))
     points, offsets = letters(local["text"].tolist(), to.value)
     v = sc.broadcast(Vocabulary(grams(points, offsets)[0]))
-    out = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).schema.add("item_id", id_type).add("held_share", "double")
+    out = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).schema.add("item_id", id_type).add("held_share", "double").add("answer_found", "boolean")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
     if not len(v.value.hashes):
         return spark.createDataFrame([], out)
     df, n_docs = document_frequencies(rows.select("text"), v, to)
     idf = np.log((n_docs + 1) / (df + 1)) + 0.1
     basis = latent_basis(held.repartition(-(-len(local) // PASSAGES_PER_TASK)), v, sc.broadcast(idf), to, len(local), rank)
+    answer_points, answer_offsets = letters([a if isinstance(a, str) else "" for a in local["answer"]], to.value)
+    answers = sc.broadcast(cp.rebuild(answer_points, answer_offsets))
     known = sc.broadcast(Items(local["id"].to_numpy(), points, offsets, v.value, idf, float(np.log(n_docs + 1) + 0.1), basis))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cp.slices(batches):
             p, o = letters(_texts(batch), to.value)
-            found = [(d, known.value.ids[i], share) for d, i, share in verified(p, o, known.value, min_score, min_share)]
+            found = []
+            for d, i, share in verified(p, o, known.value, min_score, min_share):
+                own = answers.value[i]
+                found.append((d, known.value.ids[i], share, own in cp.rebuild(p[o[d] : o[d + 1]], np.array([0, o[d + 1] - o[d]]))[0] if own else None))
             ids = batch["doc_id"].take(pa.array([f[0] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found]).cast(schema_item) if found else pa.array([], schema_item), pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "held_share"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([f[1] for f in found]).cast(schema_item) if found else pa.array([], schema_item), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.bool_())], names=out.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_item = to_arrow_type(id_type)
     found = rows.mapInArrow(search, out)
-    return found.groupBy("doc_id", "item_id").agg(F.max("held_share").alias("held_share"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("held_share").alias("held_share"), F.max("answer_found").alias("answer_found"))

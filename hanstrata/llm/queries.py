@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanstrata.llm.heavy_hitters import top_values
-from hanstrata.llm.language import label_repairs
+from hanstrata.llm.language import document_languages, label_repairs
 from hanstrata.llm.leakage import leaked_items
 from hanstrata.llm.mixing import mix, mix_records, mix_report
 from hanstrata.llm.residue import residue_documents
 from hanstrata.llm.top_items import top_items
-from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs
+from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs, visual_classes, vowel_table, with_form
 from hanstrata.runtime import table
 
 TOP_VALUES = 20
@@ -45,12 +45,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select(F.lit("text").alias("field_name"), "key_a", "key_b").unionByName(vowels)
 
 
+def p6_leak_report(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage", "answer")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage").select("doc_id", "item_id")
+    return p6_leak_report(spark, folder).select("doc_id", "item_id")
+
+
+def p8_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return residue_documents(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+    return p8_residue(spark, folder).select("doc_id").distinct()
+
+
+def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    found = document_languages(table(spark, folder, "raw_documents"), "id", "text", "language", table(spark, folder, "language_names"))
+    return found.select("id", "segment_no", "language", F.round("confidence", 4).alias("confidence"), "label", "mixed")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +83,16 @@ def p7_mix_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(*_mix(spark, folder))
 
 
-QUERIES = {"p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p8_found": p8_found, "p5_found": p5_found, "p6_found": p6_found, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return visual_classes(table(spark, folder, "raw_documents"), "id", "text").select("class_id", F.col("key").alias("id"), "text_hash")
+
+
+def p5_consistent_vowels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "token_rows").select("token_row_id", "vowels")
+    return with_form(rows, "vowels", "vowels_consistent", vowel_table(), compose=False)
+
+
+QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hanstrata.runtime import require_columns, work_path
+from hanstrata.runtime import checkpoint, remove, require_columns, work_path
 
 ROW_GROUP_BYTES = 4 << 20
 _STATS = "unit string, path string, row_group int, highest double, first_tie double"
@@ -99,8 +99,9 @@ def top_items(df: DataFrame, group: list[str], item: str, score: str, ties: list
         best, _ = read_unit(row_groups, n, tie_names)
         return best[[f.name for f in out]] if best is not None else pd.DataFrame(columns=[f.name for f in out])
 
-    found = names.mapInPandas(footers, _STATS).groupBy("unit").applyInPandas(read, out)
-    # at most n rows from each unit that holds a part of the group
+    # at most n rows from each unit that holds a part of the group; once they are kept, the clustered rows can go
+    found = checkpoint(names.mapInPandas(footers, _STATS).groupBy("unit").applyInPandas(read, out))
+    remove(spark, path)
     place = W.partitionBy("g").orderBy(F.desc("score"), *(F.col(t).asc_nulls_last() for t in tie_names))
     once = W.partitionBy("g", "item").orderBy(F.desc("score"), *(F.col(t).asc_nulls_last() for t in tie_names))
     found = found.withColumn("again", F.row_number().over(once)).where("again = 1").withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)

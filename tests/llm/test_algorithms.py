@@ -1,5 +1,6 @@
 """Top items and frequent values against brute force."""
 
+import os
 import random
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 
 from hanstrata.llm import heavy_hitters as hh
 from hanstrata.llm import top_items as ti
+from hanstrata.runtime import shared_dir
 
 
 def test_top_values_are_exact(spark):
@@ -68,7 +70,9 @@ def test_top_items_against_brute_force(spark):
     rows += rows[:500]
     rows.append((None, None, "only", 5, 1, None, None))
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = ti.top_items(df, ["g", "h"], "item", "score", ["first", "item"], 7, "place").collect()
+    found = ti.top_items(df, ["g", "h"], "item", "score", ["first", "item"], 7, "place")
+    assert not [p for p in os.listdir(shared_dir(spark).removeprefix("file://")) if p.startswith("clustered")]
+    got = found.collect()
     assert sorted((str(r["g"]), r["h"], r["place"], r["item"]) for r in got) == _want(rows, 7)
 
 
