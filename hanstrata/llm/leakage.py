@@ -335,16 +335,19 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """
     require_columns(docs, doc_id, text)
     require_columns(items, item_id, passage)
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    id_type = items.schema[item_id].dataType
     given = items.where(F.length(passage) > 0)
     size = given.agg(F.sum(F.length(passage))).first()[0] or 0
-    if size > ITEM_CHARACTERS and given.select(item_id).distinct().limit(2).count() == 2:
-        n = -(-size // ITEM_CHARACTERS) + 1
-        block = F.pmod(F.xxhash64(F.col(f"`{item_id}`").cast("string"), F.lit(n)), F.lit(n))
-        parts = [leaked_items(docs, doc_id, text, given.where(block == k), item_id, passage, answer, rank, min_score, min_share) for k in range(n)]
-        return reduce(DataFrame.unionByName, parts)
+    n = -(-size // ITEM_CHARACTERS) or 1
+    block = F.pmod(F.xxhash64(F.col(f"`{item_id}`").cast("string")), F.lit(n))
+    parts = [_leaked(docs, doc_id, text, given.where(block == k), item_id, passage, answer, rank, min_score, min_share) for k in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _leaked(docs: DataFrame, doc_id: str, text: str, given: DataFrame, item_id: str, passage: str, answer: str | None, rank: int, min_score: float, min_share: float) -> DataFrame:
+    """leaked_items for one block of items."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    id_type = given.schema[item_id].dataType
     held = given.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{passage}`").alias("text"), (F.col(f"`{answer}`") if answer else F.lit(None)).cast("string").alias("answer")).dropDuplicates(["id", "text"])
     local = held.toPandas()
     to = sc.broadcast(text_table(spark))

@@ -68,7 +68,7 @@ def test_leaked_items(spark):
 def test_items_in_blocks_and_their_answers(spark, monkeypatch):
     docs = spark.createDataFrame([(1, PASSAGE + " 정답은 연못이다."), (2, OTHER)], "doc_id bigint, text string")
     items = spark.createDataFrame([("a", PASSAGE, "연못"), ("b", OTHER, "a bridge"), ("c", "짧은 글", None)], "item_id string, passage string, answer string")
-    monkeypatch.setattr(leakage, "ITEM_CHARACTERS", 100)
+    monkeypatch.setattr(leakage, "ITEM_CHARACTERS", 200)
     got = leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "passage", "answer").collect()
     assert sorted((r["doc_id"], r["item_id"], r["answer_found"]) for r in got) == [(1, "a", True), (2, "b", False)]
 
