@@ -11,7 +11,7 @@ from hanstrata.functions import harmony as H
 from hanstrata.functions import text as X
 from hanstrata.operators import documents as D
 from hanstrata.operators import learning, lexicon, pairs, sampling, tokens
-from hanstrata.runtime import table
+from hanstrata.runtime import checkpoint, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -326,7 +326,7 @@ def _sample_sql(s: sampling.Sampling) -> str:
 
 
 def _sample(spark, folder, s: sampling.Sampling) -> DataFrame:
-    counts = _counts(spark, folder)
+    counts = checkpoint(_counts(spark, folder))  # sizes, ranks and windows all need them
     return sampling.select_wordforms(counts, sampling.window_diagnostics(counts, s), s)
 
 
