@@ -54,30 +54,30 @@ def stored_form(text: str) -> str:
     return _CONTROLS.sub("", _BLANKS.sub(" ", text).strip())
 
 
-_PROFILED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k in SCRIPT_CLASSES)])
+_PROFILED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(k, T.DoubleType()) for k in SCRIPT_CLASSES)])
 
 
 @F.pandas_udf(_PROFILED)
 def _profiled(text: pd.Series) -> pd.DataFrame:
-    """Stored form of texts and its characters of each script class, in one pass over the batch."""
+    """Stored form of texts and its shares of the script classes, in one pass over the batch."""
     forms = text.map(stored_form, na_action="ignore")
     given = [f if isinstance(f, str) else "" for f in forms]
     points = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(given)), [len(f) for f in given])
-    return pd.DataFrame({"text": forms} | {f"n_{k}": np.bincount(owner[table[points]], minlength=len(given)) for k, table in _script_tables().items()})
+    n = {k: np.bincount(owner[table[points]], minlength=len(given)) for k, table in _script_tables().items()}
+    total = n["kor"] + n["jpn"] + n["han"] + n["lat"]
+    return pd.DataFrame({"text": forms} | {k: np.where(total > 0, c / np.maximum(total, 1), 0.0) for k, c in n.items()})
 
 
 def with_normal_text(df: DataFrame, text: str = "text", prefix: str = "script_") -> DataFrame:
     """df with texts in their stored form, that of normalize(), and the share of each script class.
 
-    Form and counts are made in one Arrow pass, as the form needs Python anyway. What filters look
+    Form and shares are made in one Arrow pass, as the form needs Python anyway. What filters look
     at later is then a field of that pass; columns of expressions would be copied into each filter.
     """
     # declared so that the planner never evaluates it again for a filter on what follows from it
     df = df.withColumn("_p", _profiled.asNondeterministic()(F.col(text)))
-    total = F.col("_p.n_kor") + F.col("_p.n_jpn") + F.col("_p.n_han") + F.col("_p.n_lat")
-    shares = {prefix + k: F.when(total > 0, F.col(f"_p.n_{k}").cast("double") / total).otherwise(F.lit(0.0)) for k in SCRIPT_CLASSES}
-    return df.withColumns({text: F.col("_p.text")} | shares).drop("_p")
+    return df.withColumns({text: F.col("_p.text")} | {prefix + k: F.col(f"_p.{k}") for k in SCRIPT_CLASSES}).drop("_p")
 
 
 def strip(c: Column) -> Column:

@@ -76,14 +76,16 @@ def sino_proxy(token_source: Column, token_context: Column, language: Column, ca
     return out.cast("int")
 
 
-def vowel_columns(v: Column) -> dict[str, Column]:
-    """Everything that a token row says of its vowels; lists are joined by commas."""
-    core, expanded = H.vowel_classes(v, "core"), H.vowel_classes(v, "expanded")
-    join = lambda c: F.array_join(c, ",")
-    return {
-        "vowels": join(v), "vowel_classes_core": join(core), "harmony_status_core": H.harmony_status(core), "vowel_classes_expanded": join(expanded), "harmony_status_expanded": H.harmony_status(expanded),
-        "vowel_classes": join(expanded), "num_vowels": F.size(v), "harmony_status": H.harmony_status(expanded),
-    } | H.arae_flags(v)
+def with_vowel_columns(df: DataFrame, v: str = "v") -> DataFrame:
+    """df with everything that a token row says of its vowels, the array `v`; lists are joined by commas.
+
+    The classes are columns first, so that each use of them does not make them again.
+    """
+    df = df.withColumns({"_core": H.vowel_classes(F.col(v), "core"), "_expanded": H.vowel_classes(F.col(v), "expanded")})
+    df = df.withColumns({"harmony_status_core": H.harmony_status(F.col("_core")), "harmony_status_expanded": H.harmony_status(F.col("_expanded")), "vowel_classes_expanded": F.array_join("_expanded", ",")})
+    return df.withColumns({
+        "vowels": F.array_join(v, ","), "vowel_classes_core": F.array_join("_core", ","), "vowel_classes": F.col("vowel_classes_expanded"), "num_vowels": F.size(v), "harmony_status": F.col("harmony_status_expanded"),
+    } | H.arae_flags(F.col(v))).drop("_core", "_expanded")
 
 
 #: The columns of a token row, in order.
@@ -104,7 +106,8 @@ def _rows(candidates: DataFrame, settings: Extraction) -> DataFrame:
         "arae_initial_phase": H.event_phase(year, *settings.arae_initial_merger),
         "lmk_emk_transition_phase": H.event_phase(year, *settings.lmk_emk_transition),
         "sino_proxy": sino_proxy(F.col("token_source"), F.col("token_context"), F.col("language"), F.col("category"), F.col("script_han")),
-    } | vowel_columns(F.col("v"))
+    }
+    candidates = with_vowel_columns(candidates)
     for c in COLUMNS:
         if c.startswith("idu_is_"):
             derived[c] = F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in candidates.columns else F.lit(0)

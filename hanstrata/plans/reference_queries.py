@@ -197,8 +197,8 @@ def _clean_vowels(spark, folder) -> DataFrame:
 
 @query(f"SELECT token_row_id, vowel_classes_core, harmony_status_core, vowel_classes_expanded, harmony_status_expanded, vowel_classes, num_vowels, harmony_status FROM token_rows WHERE {_CLEAN}")
 def vowel_classes(spark, folder):
-    made = tokens.vowel_columns(F.col("v"))
-    return _clean_vowels(spark, folder).select("token_row_id", *(made[c].alias(c) for c in ("vowel_classes_core", "harmony_status_core", "vowel_classes_expanded", "harmony_status_expanded", "vowel_classes", "num_vowels", "harmony_status")))
+    made = tokens.with_vowel_columns(_clean_vowels(spark, folder).select("token_row_id", "v"))
+    return made.select("token_row_id", *(c for c in ("vowel_classes_core", "harmony_status_core", "vowel_classes_expanded", "harmony_status_expanded", "vowel_classes", "num_vowels", "harmony_status")))
 
 
 @query(f"SELECT token_row_id, has_arae_a, has_a, has_eu, has_initial_a, has_noninitial_eu, greatest(has_arae_a, has_a, has_eu) AS has_any_arae_related FROM token_rows WHERE {_CLEAN}")
