@@ -57,6 +57,8 @@ def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progres
         raise ValueError("mode is progressive or bidirectional")
     fit = L.learn_progressive if mode == "progressive" else L.learn_bidirectional
     distinct = pairs.groupBy(F.col(window).alias("window"), F.col(ur).alias("ur"), F.col(sr).alias("sr")).agg(F.sum(weight).alias("weight"), F.min(weight).alias("least"))
+    # learning takes long for few bytes, so windows must not be put together by size
+    distinct = distinct.repartition(8 * pairs.sparkSession.sparkContext.defaultParallelism, "window")
 
     def one(table: pa.Table) -> pa.Table:
         group = table.to_pandas()
