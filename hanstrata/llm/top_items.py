@@ -100,7 +100,9 @@ def top_items(df: DataFrame, group: list[str], item: str, score: str, ties: list
         return best[[f.name for f in out]] if best is not None else pd.DataFrame(columns=[f.name for f in out])
 
     # at most n rows from each unit that holds a part of the group; once they are kept, the clustered rows can go
-    found = checkpoint(names.mapInPandas(footers, _STATS).groupBy("unit").applyInPandas(read, out))
+    # statistics are few bytes for much reading, so their partitions must not be put together by size
+    n_tasks = max(1, min(4 * len(files), 64 * spark.sparkContext.defaultParallelism))
+    found = checkpoint(names.mapInPandas(footers, _STATS).repartition(n_tasks, "unit").groupBy("unit").applyInPandas(read, out))
     remove(spark, path)
     place = W.partitionBy("g").orderBy(F.desc("score"), *(F.col(t).asc_nulls_last() for t in tie_names))
     once = W.partitionBy("g", "item").orderBy(F.desc("score"), *(F.col(t).asc_nulls_last() for t in tie_names))
