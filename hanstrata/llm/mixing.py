@@ -11,7 +11,8 @@ is used more often than there are rounds. Blocks are joined to their texts by th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,26 +33,34 @@ SLOTS_PER_SHARD, MAX_SHARDS = 1024, 1 << 16
 _BUCKETS = 256
 
 
-@cache
-def encoder(path: str):
+@lru_cache(maxsize=2)
+def _encoder(data: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoder(path: str):
+    """The tokenizer of a rank file."""
+    return _encoder(Path(path).read_bytes())
+
+
 def with_token_counts(df: DataFrame, text: str, name: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """df without `text`, with the number of its tokens in a public vocabulary; 0 for null and empty texts."""
+    """df without `text`, with the number of its tokens in a public vocabulary; 0 for null and empty texts.
+
+    The rank file, of less than a megabyte, is read here and sent along: executors need not have it.
+    """
     require_columns(df, text)
     rest = [f for f in df.schema if f.name not in (text, name)]
     schema = df.select(*(F.col(f"`{f.name}`") for f in rest)).schema
     names = [f.name for f in rest]
+    ranks = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = _encoder(ranks.value)
         for batch in batches:
             counts = [len(own.encode_ordinary(t)) if t else 0 for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(counts, pa.int64())], names=[*names, name])
