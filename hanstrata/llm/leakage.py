@@ -2,14 +2,15 @@
 
 Retrieval is latent semantic: passages become TF-IDF vectors over letter n-grams, with document
 frequencies counted over the whole corpus; a distributed randomised SVD of the passages gives a
-latent basis; every window of every document is projected into it and compared with all passages
-by cosine, relative to the highest cosine that the two lengths allow. Candidates are then
-verified by a longest common subsequence of long stretches, so paraphrases by replaced words or
-characters still count, and the question and answer alone do not.
+latent basis; every document is projected into it and compared with all passages. A document is a
+candidate if its score with a passage is at least what any document scores that holds enough of it,
+in whatever pieces. Candidates are then verified by a longest common subsequence of long stretches,
+so paraphrases by replaced words or characters still count, and the question and answer alone do not.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -24,11 +25,8 @@ from hanstrata.llm.visual_form import canonical, text_table
 from hanstrata.runtime import require_columns
 
 GRAM = 5
-#: Letters of a block; a window is two blocks in a row, so windows overlap by half.
-BLOCK = 64
 #: Dimensions of the latent space, and those added while the basis is sought.
 RANK, OVERSAMPLING, POWER_ITERATIONS = 384, 16, 2
-MIN_SCORE = 0.35
 #: Columns of the TF-IDF matrix; the vocabulary's n-grams are hashed to them.
 COLUMNS = 1 << 13
 #: Passages of a task that works on their matrix.
@@ -39,6 +37,8 @@ MAX_GAP = {True: 24, False: 8}
 #: Shortest run that can be a part of a stretch with replaced words in it.
 MIN_RUN = {True: 10, False: 7}
 HELD_SHARE = 0.5
+#: Scores of a step of the comparison with passages.
+_SCORES = 1 << 22
 #: Characters of passages that are searched for in one pass over the corpus: they go to every task.
 ITEM_CHARACTERS = 1_000_000
 _FILTER_BITS = 22
@@ -188,76 +188,125 @@ def latent_basis(passages: DataFrame, vocabulary, idf, to, n_passages: int, rank
 
 
 class Items:
-    """What every task needs of the passages: all of the passages' size, none of the corpus'."""
+    """What every task needs of the passages: all of the passages' size, none of the corpus'.
+
+    N-grams outside the vocabulary take no part in a score, so idf_other weighs nothing.
+    """
 
     def __init__(self, ids: np.ndarray, points, offsets, v: Vocabulary, idf: np.ndarray, idf_other: float, basis: np.ndarray):
         self.ids, self.vocabulary = ids, v
         self.basis, self.idf = basis, idf.astype(np.float32)
-        self.square, self.other = (idf**2).astype(np.float32), float(idf_other**2)
         row, column, weight = tfidf_rows(points, offsets, v, idf)
         self.latent = _times(row, column, weight, len(ids), basis)
-        self.norm = np.zeros(len(ids), np.float32)
-        np.add.at(self.norm, row, weight**2)
-        #: how much of each passage the basis holds: of few items all, of very many a part
-        self.captured = (self.latent**2).sum(axis=1) / np.maximum(self.norm, 1e-9)
+        self.missed = missed(row, column, weight, self.latent)
         self.length = np.diff(offsets).tolist()
         self.latin = [bool((points[a:b] < 0x250).mean() > 0.5) if b > a else False for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         index, at = v.find(*grams(points, offsets))
         cut = np.searchsorted(at, offsets)
-        self.grams, self.places = [], []
+        self.grams, self.places, self.lightest = [], [], []
         for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             places = defaultdict(list)
             for gram, j in zip(index[a:b].tolist(), (at[a:b] - offsets[k]).tolist(), strict=True):
                 places[gram].append(j)
             self.places.append(dict(places))
             self.grams.append(np.unique(index[a:b]) if b > a else np.array([-1]))
-
-
-def candidates(points: np.ndarray, offsets: np.ndarray, items: Items, min_score: float = MIN_SCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (text, item) with a window that scores at least min_score against the item's passage.
-
+            self.lightest.append(np.cumsum(np.sort(idf[index[a:b]] ** 2)))
+        self.index, self.at, self.cut = index, at, cut
+        # passages of each n-gram, and its places in them
+        cell, self.holder_places = np.unique(index * len(ids) + np.searchsorted(offsets, at, side="right") - 1, return_counts=True)
+        gram, self.holder = np.divmod(cell, max(1, len(ids)))
+        self.holders_from = np.searchsorted(gram, np.arange(len(v.hashes) + 1))
+
+    def least(self, min_share: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each passage the fewest places of n-grams that a text has in common with it if it holds min_share, and their least score.
+
+        Of runs of MIN_RUN letters with MAX_GAP replaced ones before each, a text has the fewest
+        n-grams in common. Their score is least if they are the passage's commonest. Neither depends
+        on where in the text the runs are, or on what else is there.
+        """
+        places, score = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), np.inf)
+        for k, (length, latin, lightest) in enumerate(zip(self.length, self.latin, self.lightest, strict=True)):
+            if len(lightest):
+                places[k] = min(max(1, math.ceil(min_share * length * (MIN_RUN[latin] - GRAM + 1) / (MIN_RUN[latin] + MAX_GAP[latin]))), len(lightest))
+                score[k] = lightest[places[k] - 1] * (1 - 1e-3)  # for rounding
+        return places, score
+
+    def places_in(self, held: np.ndarray) -> np.ndarray:
+        """For each passage its places whose n-grams are among `held`."""
+        start, n = self.holders_from[held], self.holders_from[held + 1] - self.holders_from[held]
+        each = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.holder[each], weights=self.holder_places[each], minlength=len(self.ids))
+
+    def most_held(self, those: np.ndarray, holds: np.ndarray) -> np.ndarray:
+        """Letters of each of those passages that a text can hold at most, if it holds the n-grams under the mask.
+
+        These are runs of MIN_RUN letters and the gaps of MAX_GAP between them, wherever the text has them.
+        """
+        n = self.cut[those + 1] - self.cut[those]
+        k = np.repeat(self.cut[those] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of = np.repeat(np.arange(len(those)), n)
+        held = holds[self.index[k]]
+        of, at = of[held], self.at[k[held]]
+        if not len(at):
+            return np.zeros(len(those))
+        new = np.append(True, (np.diff(at) != 1) | (np.diff(of) != 0))
+        of, start, end = of[new], at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + GRAM
+        latin = np.array(self.latin)[those[of]].astype(int)
+        long = end - start >= np.array([MIN_RUN[False], MIN_RUN[True]])[latin]
+        of, start, end, gap = of[long], start[long], end[long], np.array([MAX_GAP[False], MAX_GAP[True]])[latin[long]]
+        before = np.append(-1, end[:-1])
+        bridged = np.append(False, of[1:] == of[:-1])[: len(of)] & (start - before[: len(of)] <= gap)
+        return np.bincount(of, weights=end - np.where(bridged, before[: len(of)], start), minlength=len(those))
+
+
+def missed(row: np.ndarray, column: np.ndarray, weight: np.ndarray, latent: np.ndarray) -> np.ndarray:
+    """Length of what the basis doesn't hold of each row of a sparse matrix: of few items' passages nothing."""
+    cell, of = np.unique(row * COLUMNS + column, return_inverse=True)
+    square = np.bincount(cell // COLUMNS, weights=np.bincount(of, weights=weight) ** 2, minlength=len(latent))
+    return np.sqrt(np.maximum(square - (latent.astype(np.float64) ** 2).sum(axis=1), 0)).astype(np.float32)
+
+
+def candidates(points: np.ndarray, offsets: np.ndarray, items: Items, min_share: float = HELD_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (text, item) that may score what a text scores that holds min_share of the item's passage.
+
+    A text's score adds up the n-grams that it has anywhere, each once. What the basis misses of
+    both sides can add no more than the product of its lengths, which counts as score.
     Also the n-grams of the vocabulary in all texts, and their positions.
     """
-    n_blocks = np.maximum(1, -(-np.diff(offsets) // BLOCK))
-    first = np.append(0, np.cumsum(n_blocks))
-    hashes, start = grams(points, offsets)
-    index, at = items.vocabulary.find(hashes, start)
-    where = lambda p: (lambda d: first[d] + (p - offsets[d]) // BLOCK)(np.searchsorted(offsets, p, side="right") - 1)
-    block = where(at)
-    latent = _times(block, items.vocabulary.column[index], items.idf[index], first[-1], items.basis)
-    norm = items.other * np.bincount(where(start), minlength=first[-1]).astype(np.float32)
-    norm += np.bincount(block, weights=items.square[index] - items.other, minlength=first[-1]).astype(np.float32)
-    last = np.zeros(first[-1], bool)
-    last[first[1:] - 1] = True
-    alone = np.zeros(first[-1], bool)
-    alone[first[:-1][n_blocks == 1]] = True
-    text = np.repeat(np.arange(len(n_blocks)), n_blocks)
-    found = []
-    for a in range(0, len(latent), 1 << 13):
-        z = min(a + (1 << 13), len(latent))
-        pick = np.flatnonzero(~last[a:z] | alone[a:z]) + a
-        after = np.where(alone[pick], pick, pick + 1)
-        window = latent[pick] + np.where(alone[pick], 0, 1)[:, None] * latent[after]
-        square = norm[pick] + np.where(alone[pick], 0, norm[after])
-        dots = window @ items.latent.T
-        least = min_score * items.captured * np.minimum(square[:, None], items.norm[None, :])
-        w, i = np.nonzero((dots >= least) & (dots > 0))
-        found.append(np.stack([text[pick[w]], i], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), index, at
-
-
-def verified(points: np.ndarray, offsets: np.ndarray, items: Items, min_score: float, min_share: float) -> list[tuple[int, int, float]]:
+    n, v = len(offsets) - 1, items.vocabulary
+    index, at = v.find(*grams(points, offsets))
+    text, gram = np.divmod(np.unique((np.searchsorted(offsets, at, side="right") - 1) * len(v.hashes) + index), max(1, len(v.hashes)))
+    column, weight = v.column[gram], items.idf[gram]
+    latent = _times(text, column, weight, n, items.basis)
+    beyond = missed(text, column, weight, latent)
+    least = items.least(min_share)[1]
+    step, found = max(1, _SCORES // max(1, len(items.ids))), []
+    for a in range(0, n, step):
+        scores = latent[a : a + step] @ items.latent.T + beyond[a : a + step, None] * items.missed
+        found.append(np.argwhere(scores >= least) + [a, 0])
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64), index, at
+
+
+def verified(points: np.ndarray, offsets: np.ndarray, items: Items, min_share: float) -> list[tuple[int, int, float]]:
     """(text, item, held share) of the candidates that hold enough."""
-    pairs, index, at = candidates(points, offsets, items, min_score)
+    pairs, index, at = candidates(points, offsets, items, min_share)
     cut = np.searchsorted(at, offsets)
+    fewest, length = items.least(min_share)[0], np.array(items.length)
+    holds = np.zeros(len(items.vocabulary.hashes), bool)
+    texts, first = np.unique(pairs[:, 0], return_index=True)
     found = []
-    for text, item in pairs.tolist():
+    for text, those in zip(texts.tolist(), np.split(pairs[:, 1], first[1:]), strict=False):
         i, a = index[cut[text] : cut[text + 1]], at[cut[text] : cut[text + 1]]
-        own = items.grams[item]
-        mine = own[np.minimum(np.searchsorted(own, i), len(own) - 1)] == i
-        share = held_share(a[mine], i[mine], items.places[item], items.length[item], items.latin[item], min_share)
-        if share >= min_share:
-            found.append((text, item, share))
+        holds[i] = True
+        those = those[items.places_in(np.unique(i))[those] >= fewest[those]]
+        those = those[items.most_held(those, holds) >= min_share * length[those]]
+        holds[i] = False
+        for item in those.tolist():
+            own = items.grams[item]
+            mine = own[np.minimum(np.searchsorted(own, i), len(own) - 1)] == i
+            share = held_share(a[mine], i[mine], items.places[item], items.length[item], items.latin[item], min_share)
+            if share >= min_share:
+                found.append((text, item, share))
     return found
 
 
@@ -322,7 +371,7 @@ def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]],
     return min(1.0, best / length)
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, answer: str | None = None, rank: int = RANK, min_score: float = MIN_SCORE, min_share: float = HELD_SHARE) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, answer: str | None = None, rank: int = RANK, min_share: float = HELD_SHARE) -> DataFrame:
     """(doc_id, item_id, held_share, answer_found) of each document that holds at least min_share of an item's passage.
 
     answer_found tells whether the document also holds the letters of the item's `answer`; null
@@ -339,11 +388,11 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     size = given.agg(F.sum(F.length(passage))).first()[0] or 0
     n = -(-size // ITEM_CHARACTERS) or 1
     block = F.pmod(F.xxhash64(F.col(f"`{item_id}`").cast("string")), F.lit(n))
-    parts = [_leaked(docs, doc_id, text, given.where(block == k), item_id, passage, answer, rank, min_score, min_share) for k in range(n)]
+    parts = [_leaked(docs, doc_id, text, given.where(block == k), item_id, passage, answer, rank, min_share) for k in range(n)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _leaked(docs: DataFrame, doc_id: str, text: str, given: DataFrame, item_id: str, passage: str, answer: str | None, rank: int, min_score: float, min_share: float) -> DataFrame:
+def _leaked(docs: DataFrame, doc_id: str, text: str, given: DataFrame, item_id: str, passage: str, answer: str | None, rank: int, min_share: float) -> DataFrame:
     """leaked_items for one block of items."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -368,7 +417,7 @@ def _leaked(docs: DataFrame, doc_id: str, text: str, given: DataFrame, item_id:
         for batch in cp.slices(batches):
             p, o = letters(_texts(batch), to.value)
             found = []
-            for d, i, share in verified(p, o, known.value, min_score, min_share):
+            for d, i, share in verified(p, o, known.value, min_share):
                 own = answers.value[i]
                 found.append((d, known.value.ids[i], share, own in cp.rebuild(p[o[d] : o[d + 1]], np.array([0, o[d + 1] - o[d]]))[0] if own else None))
             ids = batch["doc_id"].take(pa.array([f[0] for f in found], pa.int64()))

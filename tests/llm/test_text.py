@@ -98,6 +98,30 @@ def test_retrieval_recall_against_brute_force(spark, table):
     assert len(truth & found) >= 0.9 * len(truth)
 
 
+def ideographs(rng, n: int) -> str:
+    return "".join(map(chr, rng.integers(0x4E00, 0x9FA0, n)))
+
+
+def replaced(text: str, kept: int, other: int, rng, latin: bool = False) -> str:
+    """text with `other` letters replaced after each `kept`, from a place of its own."""
+    foreign = (lambda n: "".join(rng.choice(list("bcdfg"), n))) if latin else (lambda n: ideographs(rng, n))
+    a = int(rng.integers(kept + other))
+    return "".join(c if (i + a) % (kept + other) < kept else foreign(1) for i, c in enumerate(text))
+
+
+def found_pairs(spark, docs: list[str], passages: list[str], **more) -> set[tuple[int, int]]:
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string").repartition(4)
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    return {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(df, "doc_id", "text", items, "item_id", "passage", **more).collect()}
+
+
+def test_long_item_in_a_third_of_many_documents(spark):
+    rng = np.random.default_rng(11)
+    passage = ideographs(rng, 1200)
+    docs = [ideographs(rng, 60) + replaced(passage, 24, 4, rng) if d % 3 == 0 else ideographs(rng, 300) for d in range(600)]
+    assert found_pairs(spark, docs, [passage, OTHER]) == {(d, 0) for d in range(0, 600, 3)}
+
+
 REAL = "흔한 홍수는 대눈터의 점흐진을 헤아려 졍어하에서 많았다. 담비가 해벙을 적고 현구고의 시장부터 돌아왔다. "
 
 
