@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from itertools import chain
 
 from pyspark.sql import Column
@@ -35,6 +37,32 @@ def vowels(token: Column, map_araea_i: bool = False) -> Column:
     return F.transform(F.filter(characters, is_vowel), one)
 
 
+@cache
+def _vowel_forms() -> tuple[str, str, str]:
+    """Characters that stand for a vowel letter or a comma, what each stands for, and the pattern of those that stand for nothing."""
+    own = "".join(V.VOWELS) + V.ARAEA + V.ARAEA_I + ","
+    to = {c: letter for letter, alike in V.VOWEL_LOOKALIKES.items() for c in alike} | {c: c for c in own}
+    to |= {chr(V.FIRST_JAMO_VOWEL + k): letter for k, letter in enumerate(V.VOWELS)} | {chr(V.JAMO_ARAEA): V.ARAEA, chr(V.JAMO_ARAEA_I): V.ARAEA_I}
+    unseen = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xE0000, 0xE1000)}
+    alike, nothing = {}, []
+    for c in (*range(0xD800), *range(0xE000, 0x2FA20), *range(0xE0000, 0xE1000)):
+        if c in unseen or unicodedata.category(chr(c)) in ("Cf", "Cc", "Zs", "Zl", "Zp"):
+            nothing.append(c)
+            continue
+        form = to.get(chr(c)) or to.get(unicodedata.normalize("NFKD", chr(c)))
+        if form and form != chr(c):
+            alike[chr(c)] = form
+    starts = [c for c, before in zip(nothing, [-2, *nothing], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(nothing, [*nothing[1:], -2], strict=True) if after != c + 1]
+    return "".join(alike), "".join(alike.values()), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(starts, ends, strict=True)) + "]"
+
+
+def consistent_vowels(c: Column) -> Column:
+    """A comma-joined vowel sequence in the consistent form: conjoining, half-width and look-alike letters and commas as the letters, nothing unseen between them."""
+    alike, letters, nothing = _vowel_forms()
+    return F.when(c.rlike("^[ㅏ-ㅣㆍㆎ](,[ㅏ-ㅣㆍㆎ])*$"), c).otherwise(F.translate(F.regexp_replace(c, nothing, ""), alike, letters))
+
+
 def vowel_classes(v: Column, inventory: str = "expanded") -> Column:
     """The harmony class of each vowel; OTHER for those outside the inventory."""
     if inventory not in V.INVENTORIES:

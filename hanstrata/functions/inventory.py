@@ -7,6 +7,17 @@ FIRST_SYLLABLE, LAST_SYLLABLE = 0xAC00, 0xD7A3
 #: Conjoining vowels U+1161 to U+1175 stand in the order of VOWELS.
 FIRST_JAMO_VOWEL = 0x1161
 JAMO_ARAEA, JAMO_ARAEA_I = 0x119E, 0x11A1
+# Characters that are drawn like a vowel letter, beside those of other forms of the letter itself.
+VOWEL_LOOKALIKES = {
+    "ㅏ": "卜⊢⊦ト⨽",
+    "ㅓ": "⊣丩",
+    "ㅗ": "⊥丄上ꓕ⟂",
+    "ㅜ": "⊤丅下TΤТꓔ",
+    "ㅡ": "一—–‒―‐‑−ー─-_",
+    "ㅣ": "丨│|∣lI⏐ǀІ┃",
+    "ㆍ": "·・•‧∙⋅·᛫",
+    ",": "‚،、̦⸴ꓹ",
+}
 
 # Harmony classes of the seven-vowel core and of the expanded inventory.
 PLUS, MINUS, NEUTRAL, OTHER = "+RTR", "-RTR", "NEUTRAL", "OTHER"

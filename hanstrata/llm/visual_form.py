@@ -20,22 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hanstrata.functions.inventory import VOWEL_LOOKALIKES
 from hanstrata.llm import codepoints as cp
 from hanstrata.runtime import require_columns
 
 # Scripts whose letters are taken for Latin ones, in order of preference of the target.
 SCRIPT_NAMES = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "CHEROKEE", "COPTIC", "LISU", "CANADIAN")
-# Characters that are drawn like a vowel letter, beside those of other forms of the letter itself.
-VOWEL_LOOKALIKES = {
-    "ㅏ": "卜⊢⊦ト⨽",
-    "ㅓ": "⊣丩",
-    "ㅗ": "⊥丄上ꓕ⟂",
-    "ㅜ": "⊤丅下TΤТꓔ",
-    "ㅡ": "一—–‒―‐‑−ー─-_",
-    "ㅣ": "丨│|∣lI⏐ǀІ┃",
-    "ㆍ": "·・•‧∙⋅·᛫",
-    ",": "‚،、̦⸴ꓹ",
-}
 _COMPATIBILITY_VOWELS = range(0x314F, 0x3164)
 
 

@@ -206,6 +206,22 @@ def arae_flags(spark, folder):
     return _clean_vowels(spark, folder).select("token_row_id", *(c.alias(k) for k, c in H.arae_flags(F.col("v")).items()))
 
 
+def _all_vowels(spark, folder) -> DataFrame:
+    """Also the rows whose vowels are written with other characters."""
+    return table(spark, folder, "token_rows").where(F.col("vowels").isNotNull()).withColumn("v", F.split(H.consistent_vowels(F.col("vowels")), ","))
+
+
+@query("SELECT token_row_id, vowel_classes_core, harmony_status_core, vowel_classes_expanded, harmony_status_expanded, vowel_classes, num_vowels, harmony_status FROM token_rows WHERE vowels IS NOT NULL")
+def vowel_classes_all_rows(spark, folder):
+    made = tokens.with_vowel_columns(_all_vowels(spark, folder).select("token_row_id", "v"))
+    return made.select("token_row_id", "vowel_classes_core", "harmony_status_core", "vowel_classes_expanded", "harmony_status_expanded", "vowel_classes", "num_vowels", "harmony_status")
+
+
+@query("SELECT token_row_id, has_arae_a, has_a, has_eu, has_initial_a, has_noninitial_eu, greatest(has_arae_a, has_a, has_eu) AS has_any_arae_related FROM token_rows WHERE vowels IS NOT NULL")
+def arae_flags_all_rows(spark, folder):
+    return _all_vowels(spark, folder).select("token_row_id", *(c.alias(k) for k, c in H.arae_flags(F.col("v")).items()))
+
+
 def _phase_sql(start: int, end: int) -> str:
     return f"CASE WHEN year IS NULL OR isnan(year) THEN 'unknown' WHEN trunc(year) < {start} THEN 'before' WHEN trunc(year) <= {end} THEN 'during' ELSE 'after' END"
 
@@ -531,6 +547,14 @@ def idu_readings(spark, folder):
     return made.select("token", F.explode(lexicon.reading_column(F.col("h"))).alias("r")).select("token", "r.reading")
 
 
+@query()
+def idu_readings_all_rows(spark, folder):
+    """The readings of all tokens, whatever characters their vowels are written with."""
+    rows = table(spark, folder, "token_rows").where(F.col("token").isNotNull())
+    made = rows.select("token", F.concat("token", F.lit(", "), F.coalesce("vowels", F.lit(""))).alias("h")).distinct()
+    return made.select("token", F.explode(lexicon.reading_column(F.col("h"))).alias("r")).select("token", "r.reading")
+
+
 @query()
 def idu_classification(spark, folder):
     words = {d["idu_text"] for d in _DICTIONARY}

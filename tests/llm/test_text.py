@@ -39,6 +39,32 @@ def test_vowels(v):
     assert vf.canonical([v], vf.vowel_table(), compose=False) == ["ㅣ,ㅗ,ㆍ"]
 
 
+def test_vowels_in_the_core_agree(spark):
+    from pyspark.sql import functions as F
+
+    from hanstrata.functions import harmony
+
+    own = set("ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣㆍㆎ,")
+    alone = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x2FA20), *range(0xE0000, 0xE1000))]
+    forms = dict(zip(alone, vf.canonical(alone, vf.vowel_table(), compose=False), strict=True))
+    forms = {c: f for c, f in forms.items() if f in own or not f}
+    df = spark.createDataFrame([(c, f"ㅗ,{c}", f"ㅗ,{f}") for c, f in forms.items()] + [("x", "x,ㅗ", "x,ㅗ"), ("", "", "")], "c string, v string, form string")
+    assert len(forms) > 500 and df.where(harmony.consistent_vowels(F.col("v")) != F.col("form")).collect() == []
+
+
+def test_all_rows_get_classes_flags_and_readings(spark, tmp_path):
+    from hanstrata.plans import registry
+
+    rows = [(1, "가", "ㅏ,ㅗ"), (2, "나", "卜﹐ᅩ"), (3, "다", "ￜ,\u200bᆡ"), (4, "라", None), (5, "마", "ㅡ,ㆎ"), (6, "바", "ㅏ,x")]
+    spark.createDataFrame(rows, "token_row_id bigint, token string, vowels string").write.parquet(str(tmp_path / "token_rows.parquet"))
+    made = {name: registry.QUERIES[f"{name}_all_rows"](spark, str(tmp_path)).collect() for name in ("vowel_classes", "arae_flags", "idu_readings")}
+    assert {r["token_row_id"]: (r["vowel_classes"], r["harmony_status"], r["num_vowels"]) for r in made["vowel_classes"]} == {
+        1: ("+RTR,+RTR", "harmonic", 2), 2: ("+RTR,+RTR", "harmonic", 2), 3: ("NEUTRAL,+RTR", "harmonic_with_neutral", 2), 5: ("-RTR,+RTR", "disharmonic", 2), 6: ("+RTR,OTHER", "unclassifiable_due_to_other", 2),
+    }
+    assert {r["token_row_id"]: (r["has_a"], r["has_initial_a"], r["has_eu"]) for r in made["arae_flags"]} == {1: (1, 1, 0), 2: (1, 1, 0), 3: (0, 0, 0), 5: (0, 0, 1), 6: (1, 1, 0)}
+    assert {r["token"] for r in made["idu_readings"]} == {r[1] for r in rows} and ("마", "ㆎ") in {tuple(r) for r in made["idu_readings"]}
+
+
 def test_lookalike_pairs(spark):
     rows = [("b", "ABC"), ("a", "ＡBC"), ("a", "ＡBC"), ("c", "ABC"), ("d", None), ("e", ""), ("f", " "), ("g", "　"), (None, "ABC"), ("h", LONG), ("i", LONG.replace(" ", " "))]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "id string, text string, form string, key string")
