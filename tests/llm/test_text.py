@@ -148,6 +148,17 @@ def test_long_item_in_a_third_of_many_documents(spark):
     assert found_pairs(spark, docs, [passage, OTHER]) == {(d, 0) for d in range(0, 600, 3)}
 
 
+def test_passages_held_in_scattered_pieces(spark):
+    rng = np.random.default_rng(12)
+    long, short, fine, latin = ideographs(rng, 400), ideographs(rng, 90), ideographs(rng, 150), "".join(rng.choice(list("aehiklmnoprstuwy"), 340))
+    apart = lambda text, pieces, n: "".join(text[a : a + n] + ideographs(rng, 200) for a in range(0, pieces * n, n))
+    docs = [apart(long, 6, 35), apart(short, 3, 30), replaced(fine, 7, 8, rng), replaced(latin, 10, 24, rng, latin=True), apart(long, 5, 35)]
+    many = [ideographs(rng, 90) for _ in range(30)]
+    # also with a basis that holds a part of the passages
+    for rank in (leakage.RANK, 4):
+        assert found_pairs(spark, docs, [long, short, fine, latin, *many], rank=rank) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
 REAL = "흔한 홍수는 대눈터의 점흐진을 헤아려 졍어하에서 많았다. 담비가 해벙을 적고 현구고의 시장부터 돌아왔다. "
 
 
