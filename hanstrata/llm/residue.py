@@ -38,7 +38,8 @@ _SPACE = np.uint32(0x20)
 _FILTER_BITS = 22
 _TOKEN = re.compile(r"\{\{\{|\}\}\}|\{\{|\}\}|\{%|%\}|<%=|<%|%>|<\?|\?>|\$\{|#\{|%\(|\)[sd](?![a-z])|\[\[|\]\]|%%|@@|\$\$|##|<<|>>|&lt;|&gt;|__+|[\[\]{}()<>]|[^\W_]+(?:_[^\W_]+)*|\S")
 _OPENING = re.compile(r"\{\{|\{%|<%|<\?|\$\{|#\{|%\(|\[|%%|@@|\$\$|##|<|&lt;|__|[\{(]")
-_SPAN_TOKENS = 12
+#: A placeholder may go on in the next line within so many characters and tokens.
+_NEAR, _NEAR_TOKENS = 80, 12
 
 
 def _tokens(text: str) -> list[str]:
@@ -50,15 +51,16 @@ class Placeholders:
 
     def __init__(self):
         self.by_opening: dict[str, list[tuple[str, ...]]] = {}
+        self.short = {tuple(e.lower().replace(" w ", " W ").split(" ")) for e in X.SHORT}
         for exemplar in X.PLACEHOLDERS:
             parts = tuple("W" if p == "W" else "0" if p == "0" else p.lower() for p in exemplar.split(" "))
             self.by_opening.setdefault(parts[0], []).append(parts)
         for parts in self.by_opening.values():
             parts.sort(key=len, reverse=True)
 
-    @staticmethod
-    def contained(parts: tuple[str, ...], window: list[str]) -> bool:
+    def contained(self, parts: tuple[str, ...], window: list[str]) -> bool:
         """True if the window holds the whole exemplar, from its start, in order: a containment of 1."""
+        most, between = (4, "().'-") if parts in self.short else (len(window), "().'-,:;/·、&\"")
 
         def at(p: int, w: int) -> bool:
             if p == len(parts):
@@ -67,9 +69,9 @@ class Placeholders:
                 return False
             part, token = parts[p], window[w]
             if part == "W":
-                # one to four words; a keyword may be glued to the end of a word, as suffixes are in Korean and Japanese
-                for n in range(1, 5):
-                    if w + n > len(window) or not (window[w + n - 1][0].isalnum() or window[w + n - 1] in "().'-"):
+                # a keyword may be glued to the end of a word, as suffixes are in Korean and Japanese
+                for n in range(1, most + 1):
+                    if w + n > len(window) or not (window[w + n - 1][0].isalnum() or window[w + n - 1] in between):
                         return False
                     if at(p + 1, w + n) or (p + 1 < len(parts) and len(parts[p + 1]) > 1 and parts[p + 1].isalnum() and window[w + n - 1].endswith(parts[p + 1]) and at(p + 2, w + n)):
                         return True
@@ -83,15 +85,36 @@ class Placeholders:
 
     def find(self, text: str) -> str | None:
         """The first exemplar that the text holds; text is in consistent form."""
-        for m in _OPENING.finditer(text):
-            window = _tokens(text[m.start() : m.start() + 80])[:_SPAN_TOKENS]
+        low = text.lower()
+        for m in _OPENING.finditer(low):
+            window = _tokens(low[m.start() : m.start() + _NEAR])[:_NEAR_TOKENS]
             if not window:
                 continue
-            for parts in self.by_opening.get("__" if window[0].startswith("__") else window[0], ()):
-                if self.contained(parts, window):
-                    return " ".join(parts)
+            known = self.by_opening.get("__" if window[0].startswith("__") else window[0], ())
+            for span in (window, self.span(low, m.start(), {parts[-1] for parts in known})):
+                for parts in known:
+                    if self.contained(parts, span):
+                        return " ".join(parts)
         return None
 
+    @staticmethod
+    def span(text: str, start: int, closing: set[str]) -> list[str]:
+        """Tokens from an opening to the closing token that belongs to it, in the same line; none if they are near."""
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+        out: list[str] = []
+        if not any(text.find(c, start + 1, end) >= 0 for c in closing):
+            return out
+        depth = 0
+        for m in _TOKEN.finditer(text, start, end):
+            out.append(m[0])
+            depth += len(out) > 1 and m[0] == out[0]
+            if len(out) > 1 and m[0] in closing:
+                if not depth:
+                    return out if m.end() > start + _NEAR or len(out) > _NEAR_TOKENS else []
+                depth -= 1
+        return []
+
 
 class Windows:
     """Passage windows of texts: word n-grams, letters and the end of a sentence of each."""

@@ -1,6 +1,6 @@
 """Labelled exemplars of template residue, filler, error pages and script notices.
 
-Fixed values. W in a placeholder stands for one to four words, 0 for digits.
+Fixed values. W in a placeholder stands for words, of SHORT placeholders one to four, 0 for digits.
 """
 
 # Placeholders, in compatibility-composed form.
@@ -15,6 +15,11 @@ PLACEHOLDERS = (
     "[ insertar W ]", "[ inserte W ]", "[ escriba W ]", "[ insérer W ]", "[ saisir W ]", "[ votre W ]", "[ su W ]",
 )
 
+# Placeholders that with more words are as well an editor's note, a stage direction, a quotation or text between two blanks of a form.
+SHORT = (
+    "[[ W ]]", "%% W %%", "@@ W @@", "__ W __", "&lt; W &gt;", "$$ W $$", "## W ##", "<< W >>", "[ your W ]", "< your W >", "{ your W }", "[ enter W ]", "[ W here ]", "[ W 기입 ]", "[ 여기에 W ]", "< 여기에 W >", "[ W 작성 ]", "[ ここに W ]", "[ votre W ]", "[ su W ]",
+)
+
 # Sentences that a layout holds until its text comes.
 FILLER = (
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",

@@ -171,6 +171,17 @@ def test_residue_is_found(spark, text):
     assert [r["doc_id"] for r in residue.residue_documents(df, "doc_id", "text").collect()] == [1]
 
 
+def test_long_placeholders():
+    own = residue.Placeholders()
+    for blank in (
+        "[insert the full title of the volume here]", "[이 책의 완전한 제목과 저자의 이름을 여기에 입력하세요]", "[escriba el nombre completo del autor del libro]", "<Insert title, year and (if known) the place of this volume>",
+        "[insert " + "the full name of the author and " * 20 + "title here]", "{{ a value of more than four words }}", "[insert\nname here]",
+    ):
+        assert own.find(REAL + blank + " " + REAL), blank
+    for note in ("[about three lines of the text are illegible here]", "[enter the king with his three sons]", "[insert the full title\nof the volume which is lost here] ", "[insert the name" + " of the clerk" * 40, "성명 ____ 이라 쓴 칸 다음에 주소라 쓴 ____", "(" * 400):
+        assert own.find(REAL + note + " " + REAL) is None, note
+
+
 def test_real_texts_are_kept(spark):
     texts = [None, "", " \n", REAL, REAL * 3 + "\nPlease enable JavaScript to continue.", REAL + "{追記}", REAL + "□□□ 二字缺", REAL + "[역주 67]", "서식에는 성명 ______ 이라 쓴 칸이 있었다. " + REAL, REAL + "<家書> 條", LONG, "12. 3. 4"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, reason string")
