@@ -64,9 +64,17 @@ class Analysis:
     def pair_diagnostics(self) -> DataFrame:
         return pairs.pair_diagnostics(self.sample)
 
+    @cached_property
+    def selected_token_rows(self) -> DataFrame:
+        return sampling.selected_token_rows(self.token_rows, self.sample, self.sampling)
+
+    @cached_property
+    def baseline_details(self) -> DataFrame:
+        return pairs.baseline_details(self.converted[0], initial_i=self.initial_i)
+
     @cached_property
     def baseline(self) -> DataFrame:
-        return pairs.baseline_by_window(pairs.baseline_details(self.converted[0], initial_i=self.initial_i))
+        return pairs.baseline_by_window(self.baseline_details)
 
     @cached_property
     def learned(self) -> DataFrame:
@@ -78,8 +86,9 @@ class Analysis:
         return summary.join(learning.top_contexts(learning.failure_contexts(learning.exploded(self.learned, "events"))), "time_window_id", "left")
 
     def write(self, folder: str) -> None:
-        """All results of a run below `folder`, with the names and columns of the stages' files."""
+        """All results and settings of a run below `folder`, with the names and columns of the stages' files."""
         files.write_csv(self.sample, f"{folder}/sampled_time_window_wordforms", order=["time_window_start", "frequency_rank_in_window"])
+        files.write_csv(self.selected_token_rows, f"{folder}/sampled_time_window_original_token_rows")
         files.write_csv(sampling.with_sample_sizes(self.diagnostics, self.sampling), f"{folder}/time_window_diagnostics", order=["time_window_start"])
         files.write_csv(self.excluded_windows, f"{folder}/excluded_time_windows")
         files.write_csv(self.converted[0], f"{folder}/d2l_core/d2l_wordforms")
@@ -88,6 +97,7 @@ class Analysis:
         files.write_csv(self.pair_diagnostics, f"{folder}/d2l_core/d2l_window_diagnostics")
         files.write_window_pairs(self.weighted_pairs, f"{folder}/d2l_core/window_pairs")
         files.write_csv(self.baseline, f"{folder}/baseline/baseline_exception_rate_by_window", order=["time_window_start"])
+        files.write_csv(self.baseline_details, f"{folder}/baseline/baseline_wordform_details")
         files.write_csv(self.results, f"{folder}/d2l_results/d2l_results_by_window", order=["time_window_start"])
         for what, name in (("trace", "d2l_learning_trace"), ("events", "d2l_failed_predictions"), ("predictions", "d2l_pair_predictions")):
             files.write_csv(learning.exploded(self.learned, what), f"{folder}/d2l_results/{name}")
@@ -95,6 +105,11 @@ class Analysis:
         files.write_csv(contexts, f"{folder}/d2l_results/d2l_failure_context_summary")
         files.write_csv(learning.initial_harmony(contexts), f"{folder}/d2l_results/d2l_initial_harmony_failure_context_summary")
         files.write_csv(learning.failure_targets(learning.exploded(self.learned, "events")), f"{folder}/d2l_results/d2l_failure_target_summary")
+        for settings, name, derived in (
+            (self.sampling, "sampling_config", {"anchor_year": sampling.anchor_year(self.token_rows, self.sampling)}), (self.pairing, "d2l_core/d2l_input_config", {}),
+            (config.Baseline(initial_i_policy=self.initial_i), "baseline/baseline_analysis_config", {}), (config.Learning(mode=self.mode), "d2l_results/d2l_run_config", {}),
+        ):
+            files.write_text(self.raw.sparkSession, config.as_json(settings, **derived), f"{folder}/{name}.json")
 
 
 def preprocess(spark: SparkSession, settings: config.Preprocessing, partitions: int | None = None) -> DataFrame:

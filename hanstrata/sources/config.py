@@ -104,13 +104,18 @@ def from_command_line(kind: type[S], argv: list[str] | None = None, required: tu
     return load(kind, given.pop("config"), required, **given)
 
 
-def echo(settings, path: str | Path, **derived) -> None:
-    """Writes the settings that a run had, and what followed from them, as JSON."""
+def as_json(settings, **derived) -> str:
+    """The settings that a run had, and what followed from them, as JSON."""
     out = dataclasses.asdict(settings) | derived
     if isinstance(settings, Sampling):
         out["window_overlap_years"] = max(0, settings.window_width - settings.window_step)
+    return json.dumps(out, ensure_ascii=False, indent=2)
+
+
+def echo(settings, path: str | Path, **derived) -> None:
+    """Writes as_json to a local file."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=2), encoding="utf-8")
+    Path(path).write_text(as_json(settings, **derived), encoding="utf-8")
 
 
-__all__ = ["Baseline", "Extraction", "Learning", "Pairs", "Preprocessing", "Sampling", "echo", "from_command_line", "load"]
+__all__ = ["Baseline", "Extraction", "Learning", "Pairs", "Preprocessing", "Sampling", "as_json", "echo", "from_command_line", "load"]

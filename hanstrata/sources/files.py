@@ -72,6 +72,16 @@ def write_csv(df: DataFrame, path: str, columns: Iterable[str] | None = None, or
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file, in any file system that Spark writes to."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(to, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def safe_name(value: object) -> str:
     """A window's id as a file name."""
     return re.sub(r"[^0-9A-Za-z가-힣\-_.]", "_", str(value))

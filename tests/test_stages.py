@@ -248,6 +248,20 @@ def test_files_to_results(spark, tmp_path):
         files.read_csv(spark, str(tmp_path / "out/time_window_diagnostics"), ["nope"])
 
 
+def test_a_run_writes_token_rows_details_and_settings(spark, tmp_path):
+    docs = [(f"newslibrary:{i}", "가나 다라마 고노 구누디 가니다 " * 3, 1900.0 + i) for i in range(6)]
+    run = Analysis(spark.createDataFrame(docs, "id string, text string, year double"), sampling=sampling.Sampling(min_window_wordforms=1))
+    run.write(str(tmp_path / "out"))
+    rows = files.read_csv(spark, str(tmp_path / "out/sampled_time_window_original_token_rows"), ["time_window_id", "wordform_id", "doc_id", "token"])
+    counted = {(r["time_window_id"], r["wordform_id"]): r["token_count_in_window"] for r in run.sample.collect()}
+    assert counted and {(r["time_window_id"], r["wordform_id"]): r["count"] for r in rows.groupBy("time_window_id", "wordform_id").count().collect()} == counted
+    assert files.read_csv(spark, str(tmp_path / "out/baseline/baseline_wordform_details"), ["time_window_id"]).count() == run.baseline_details.count() > 0
+    said = json.loads((tmp_path / "out/sampling_config.json").read_text())
+    assert (said["min_window_wordforms"], said["anchor_year"], said["window_overlap_years"]) == (1, 1443, 50)
+    assert json.loads((tmp_path / "out/baseline/baseline_analysis_config.json").read_text())["initial_i_policy"] == "unscored"
+    assert all((tmp_path / "out" / name).exists() for name in ("d2l_core/d2l_input_config.json", "d2l_results/d2l_run_config.json"))
+
+
 def test_stream_gives_the_same_rows(spark, tmp_path):
     from hanstrata.streaming import stages
 
