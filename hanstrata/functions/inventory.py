@@ -30,10 +30,15 @@ TARGET_OF = {"ㅏ": "A", "ㅓ": "EO", "ㅗ": "O", "ㅜ": "U", "ㆍ": "ARAE", "
 TARGET_PAIRS = {"A": ("ㅏ", "ㅓ"), "EO": ("ㅏ", "ㅓ"), "O": ("ㅗ", "ㅜ"), "U": ("ㅗ", "ㅜ"), "ARAE": ("ㆍ", "ㅡ"), "EU": ("ㆍ", "ㅡ")}
 
 # Features of the core segments.
-FEATURES = ("syl", "round", "low_series", "central_series", "front", "RTR")
 SEGMENTS = {
-    "ㅏ": "+-+--+", "ㅓ": "+-+---", "ㅗ": "++---+", "ㅜ": "++----", "ㆍ": "+--+-+", "ㅡ": "+--+--", "ㅣ": "+---+-",
-}
+    "ㅏ": {"syl": "+", "round": "-", "low_series": "+", "central_series": "-", "front": "-", "RTR": "+"},
+    "ㅓ": {"syl": "+", "round": "-", "low_series": "+", "central_series": "-", "front": "-", "RTR": "-"},
+    "ㅗ": {"syl": "+", "round": "+", "low_series": "-", "central_series": "-", "front": "-", "RTR": "+"},
+    "ㅜ": {"syl": "+", "round": "+", "low_series": "-", "central_series": "-", "front": "-", "RTR": "-"},
+    "ㆍ": {"syl": "+", "round": "-", "low_series": "-", "central_series": "+", "front": "-", "RTR": "+"},
+    "ㅡ": {"syl": "+", "round": "-", "low_series": "-", "central_series": "+", "front": "-", "RTR": "-"},
+    "ㅣ": {"syl": "+", "round": "-", "low_series": "-", "central_series": "-", "front": "+", "RTR": "-"},
+}
 
 # Code points of the private areas and jamo blocks that old Hangul is written with.
 _OLD_HANGUL = r"\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{302E}-\x{302F}\x{E0BC}-\x{EFFF}\x{F100}-\x{F66E}\x{F784}-\x{F800}\x{F806}-\x{F864}\x{F86A}-\x{F8F7}\x{E001}-\x{E0A0}"

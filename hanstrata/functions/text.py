@@ -54,30 +54,47 @@ def stored_form(text: str) -> str:
     return _CONTROLS.sub("", _BLANKS.sub(" ", text).strip())
 
 
-_PROFILED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(k, T.DoubleType()) for k in SCRIPT_CLASSES)])
+#: A column that stage 01 makes and drops: how many frequent words of each language in Latin letters a text has.
+LATIN_WORDS = "latin_words"
+# Frequent words that only one of the languages in Latin letters has.
+FREQUENT_WORDS = {
+    "eng_Latn": ("the", "of", "and", "to", "was", "that", "with", "for", "is", "by", "from", "were", "which", "not", "this", "at", "it", "had", "been", "an"),
+    "fra_Latn": ("le", "les", "des", "et", "du", "une", "dans", "est", "qui", "au", "pour", "par", "sur", "il", "ce", "pas", "ont", "avec", "été", "aux"),
+    "spa_Latn": ("el", "los", "las", "y", "del", "una", "que", "por", "con", "se", "fue", "al", "su", "más", "como", "pero", "fueron", "sus", "ha", "lo"),
+}
+_WORD_OF = {w: x for x, words in FREQUENT_WORDS.items() for w in words}
+_LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORDS = T.StructType([T.StructField(x, T.IntegerType()) for x in FREQUENT_WORDS])
+_PROFILED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(k, T.DoubleType()) for k in SCRIPT_CLASSES), *_WORDS.fields])
 
 
 @F.pandas_udf(_PROFILED)
 def _profiled(text: pd.Series) -> pd.DataFrame:
-    """Stored form of texts and its shares of the script classes, in one pass over the batch."""
+    """Stored form of texts, its shares of the script classes and its frequent words, in one pass over the batch."""
     forms = text.map(stored_form, na_action="ignore")
     given = [f if isinstance(f, str) else "" for f in forms]
     points = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(given)), [len(f) for f in given])
     n = {k: np.bincount(owner[table[points]], minlength=len(given)) for k, table in _script_tables().items()}
     total = n["kor"] + n["jpn"] + n["han"] + n["lat"]
-    return pd.DataFrame({"text": forms} | {k: np.where(total > 0, c / np.maximum(total, 1), 0.0) for k, c in n.items()})
+    words = {x: np.zeros(len(given), np.int32) for x in FREQUENT_WORDS}
+    for i in np.flatnonzero(n["lat"]):
+        for w in _LATIN_WORD.findall(given[i]):
+            if x := _WORD_OF.get(w.lower()):
+                words[x][i] += 1
+    return pd.DataFrame({"text": forms} | {k: np.where(total > 0, c / np.maximum(total, 1), 0.0) for k, c in n.items()} | words)
 
 
 def with_normal_text(df: DataFrame, text: str = "text", prefix: str = "script_") -> DataFrame:
-    """df with texts in their stored form, that of normalize(), and the share of each script class.
+    """df with texts in their stored form, that of normalize(), the share of each script class, and LATIN_WORDS.
 
     Form and shares are made in one Arrow pass, as the form needs Python anyway. What filters look
     at later is then a field of that pass; columns of expressions would be copied into each filter.
     """
     # declared so that the planner never evaluates it again for a filter on what follows from it
     df = df.withColumn("_p", _profiled.asNondeterministic()(F.col(text)))
-    return df.withColumns({text: F.col("_p.text")} | {prefix + k: F.col(f"_p.{k}") for k in SCRIPT_CLASSES}).drop("_p")
+    words = F.struct(*(F.col(f"_p.{x}").alias(x) for x in FREQUENT_WORDS))
+    return df.withColumns({text: F.col("_p.text"), LATIN_WORDS: words} | {prefix + k: F.col(f"_p.{k}") for k in SCRIPT_CLASSES}).drop("_p")
 
 
 def strip(c: Column) -> Column:

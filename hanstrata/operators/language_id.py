@@ -82,7 +82,7 @@ def identify(load: Callable[[], Model], labels: tuple[str, ...], mode: str = "be
         found = [(among(model, t, labels, mode) or [(None, None)])[0] for t in text]
         return pd.DataFrame(found, columns=["language", "score"])
 
-    return lambda text, script: identified(text)
+    return lambda text, script, words: identified(text)
 
 
 def all_labels(load: Callable[[], Model]) -> Callable[[Column], Column]:

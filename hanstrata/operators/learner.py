@@ -9,17 +9,33 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from hanstrata.functions import inventory as V
 
 LEFT_EDGE, RIGHT_EDGE = "⋊", "⋉"
 L2R, R2L = "left_to_right", "right_to_left"
-SURFACE = tuple(V.SEGMENTS)
-FEATURES = {s: dict(zip(V.FEATURES, values, strict=True)) for s, values in V.SEGMENTS.items()}
-#: Abstract targets have the features of their pair, but no value of RTR.
-FEATURES |= {t: {f: v for f, v in FEATURES[pair[0]].items() if f != "RTR"} for t, pair in V.TARGET_PAIRS.items()}
-INVENTORY = frozenset(FEATURES)
+
+
+class Inventory:
+    """The segments that may occur, and their features. Abstract targets have the features of their pair, but no value of RTR."""
+
+    def __init__(self, segments: dict[str, dict[str, str]] = V.SEGMENTS):
+        if missing := sorted({s for pair in V.TARGET_PAIRS.values() for s in pair} - set(segments)):
+            raise ValueError(f"segments without features: {' '.join(missing)}")
+        if any("RTR" not in values for values in segments.values()):
+            raise ValueError("each segment needs a value of RTR")
+        self.surface = tuple(segments)
+        self.names = tuple(dict.fromkeys(f for values in segments.values() for f in values))
+        self.features = segments | {t: {f: v for f, v in segments[pair[0]].items() if f != "RTR"} for t, pair in V.TARGET_PAIRS.items()}
+        self.members = frozenset(self.features)
+
+    def value(self, segment: str) -> str | None:
+        return self.features.get(segment, {}).get("RTR")
+
+
+CORE = Inventory()
+INVENTORY, SURFACE = CORE.members, CORE.surface
 Pair = tuple[tuple[str, ...], tuple[str, ...]]
 
 
@@ -53,6 +69,7 @@ class Rule:
     default: str | None = None
     direction: str = L2R
     harmony: bool = True
+    inventory: Inventory = field(default=CORE, compare=False, repr=False)
 
     def places(self, ur: tuple[str, ...]) -> list[int]:
         """Indices of the segments on the tier."""
@@ -61,7 +78,7 @@ class Rule:
         return [i for i, s in enumerate(ur) if s in self.tier.segments or (i == 0 and self.tier.protect_first)]
 
     def _value(self, context: str) -> str | None:
-        value = FEATURES.get(context, {}).get("RTR")
+        value = self.inventory.value(context)
         if value is None or self.harmony:
             return value
         return "-" if value == "+" else "+"
@@ -135,7 +152,7 @@ def _with_default(rule: Rule, pairs: dict[Pair, int]) -> Rule:
     if not open_targets:
         return rule
     best = min(open_targets.items(), key=lambda p: (-p[1], p[0]))[0]
-    return Rule(rule.targets, rule.contexts, rule.tier, FEATURES.get(best, {}).get("RTR"), rule.direction, rule.harmony)
+    return replace(rule, default=rule.inventory.value(best))
 
 
 def _contexts(pairs: dict[Pair, int], targets: frozenset[str], tier: Tier | None, direction: str) -> frozenset[str]:
@@ -172,30 +189,30 @@ def errors(rule: Rule, pairs: dict[Pair, int]) -> list[dict]:
     return out
 
 
-def feature_classes(segments: set[str], targets: frozenset[str]) -> dict[str, frozenset[str]]:
+def feature_classes(segments: set[str], targets: frozenset[str], inventory: Inventory = CORE) -> dict[str, frozenset[str]]:
     """Classes of a single feature value that all of the segments have and no target has, with all their members."""
     out = {}
-    for f in V.FEATURES:
+    for f in inventory.names:
         for value in "+-":
-            members = frozenset(s for s in INVENTORY if FEATURES[s].get(f) == value)
+            members = frozenset(s for s in inventory.members if inventory.features[s].get(f) == value)
             if segments <= members and not members & targets:
                 out[f"[{value}{f}]"] = members
     return out
 
 
-def choose_tier(removed: set[str], targets: frozenset[str], protect_first: bool) -> tuple[Tier, str, str]:
+def choose_tier(removed: set[str], targets: frozenset[str], protect_first: bool, inventory: Inventory = CORE) -> tuple[Tier, str, str]:
     """(tier, all classes, chosen class) without the removed segments: by the smallest natural class, if there is one."""
     suffix = "_INITIAL_PROTECTED" if protect_first else ""
-    options = feature_classes(removed, targets)
+    options, every = feature_classes(removed, targets, inventory), inventory.members
     listed = " || ".join(sorted(options))
     if not options:
-        return Tier(INVENTORY - removed, f"{{{joined(INVENTORY - removed)}}}", f"EXPLICIT_SEGMENT_COMPLEMENT{suffix}", protect_first), listed, ""
+        return Tier(every - removed, f"{{{joined(every - removed)}}}", f"EXPLICIT_SEGMENT_COMPLEMENT{suffix}", protect_first), listed, ""
     best = min(options, key=lambda k: (len(options[k]), k))
     opposite = f"[{'-' if best[1] == '+' else '+'}{best[2:-1]}]"
-    others = frozenset(s for s in INVENTORY if FEATURES[s].get(best[2:-1]) == opposite[1])
-    if INVENTORY - options[best] == others:
+    others = frozenset(s for s in every if inventory.features[s].get(best[2:-1]) == opposite[1])
+    if every - options[best] == others:
         return Tier(others, opposite, f"NATURAL_CLASS_COMPLEMENT{suffix}", protect_first), listed, best
-    return Tier(INVENTORY - options[best], f"¬{best}", f"NATURAL_CLASS_DELETION{suffix}", protect_first), listed, best
+    return Tier(every - options[best], f"¬{best}", f"NATURAL_CLASS_DELETION{suffix}", protect_first), listed, best
 
 
 def alternating(pairs: dict[Pair, int]) -> frozenset[str]:
@@ -203,12 +220,12 @@ def alternating(pairs: dict[Pair, int]) -> frozenset[str]:
     return frozenset(u for ur, sr in pairs for u, s in zip(ur, sr, strict=True) if u != s)
 
 
-def learn_progressive(pairs: dict[Pair, int]) -> Learned:
+def learn_progressive(pairs: dict[Pair, int], inventory: Inventory = CORE) -> Learned:
     """Left-to-right harmony; the first segment is always on the tier."""
     targets, out = alternating(pairs), Learned()
     tier, removed, depth = None, frozenset(), 0
     while True:
-        rule = _with_default(Rule(targets, _contexts(pairs, targets, tier, L2R), tier), pairs)
+        rule = _with_default(Rule(targets, _contexts(pairs, targets, tier, L2R), tier, inventory=inventory), pairs)
         n, m = rule.counts(pairs)
         wrong = errors(rule, pairs)
         out.events += [e | {"branch": "harmony", "attempt_depth": depth, "candidate_direction": L2R, "selected_candidate": True} for e in wrong]
@@ -229,14 +246,14 @@ def learn_progressive(pairs: dict[Pair, int]) -> Learned:
         if after == removed:
             step["terminal_status"] = "NO_NEW_REMOVABLE_CONTEXTS"
             return out
-        tier, listed, chosen = choose_tier(set(after), targets, True)
+        tier, listed, chosen = choose_tier(set(after), targets, True, inventory)
         step |= {"terminal_status": "RECURSE", "tier_candidate_type": tier.kind, "tier_after": tier.name, "natural_class_options": listed, "chosen_natural_class": chosen}
         removed, depth = after, depth + 1
 
 
-def learn_bidirectional(pairs: dict[Pair, int]) -> Learned:
+def learn_bidirectional(pairs: dict[Pair, int], inventory: Inventory = CORE) -> Learned:
     """Both directions and both kinds, without protection of the first segment; the more accurate branch wins, harmony on a tie."""
-    branches = [_branch(pairs, harmony) for harmony in (True, False)]
+    branches = [_branch(pairs, harmony, inventory) for harmony in (True, False)]
     out = Learned(None, [t for b in branches for t in b.trace], [e for b in branches for e in b.events])
     rules = [b.rule for b in branches if b.rule]
     if rules:
@@ -245,11 +262,11 @@ def learn_bidirectional(pairs: dict[Pair, int]) -> Learned:
     return out
 
 
-def _branch(pairs: dict[Pair, int], harmony: bool) -> Learned:
+def _branch(pairs: dict[Pair, int], harmony: bool, inventory: Inventory) -> Learned:
     targets, out = alternating(pairs), Learned()
     tier, removed, depth, name = None, frozenset(), 0, "harmony" if harmony else "disharmony"
     while True:
-        tried = {d: _with_default(Rule(targets, _contexts(pairs, targets, tier, d), tier, None, d, harmony), pairs) for d in (L2R, R2L)}
+        tried = {d: _with_default(Rule(targets, _contexts(pairs, targets, tier, d), tier, None, d, harmony, inventory), pairs) for d in (L2R, R2L)}
         counts = {d: r.counts(pairs) for d, r in tried.items()}
         accuracy = {d: m / n if n else 0.0 for d, (n, m) in counts.items()}
         best = L2R if accuracy[L2R] >= accuracy[R2L] else R2L
@@ -266,7 +283,7 @@ def _branch(pairs: dict[Pair, int], harmony: bool) -> Learned:
         out.trace.append(step)
         if productive(n, m):
             if tier is not None:  # any segment of the tier may be a context, unless that costs accuracy
-                wide = Rule(rule.targets, tier.segments, tier, rule.default, best, harmony)
+                wide = replace(rule, contexts=tier.segments)
                 wn, wm = wide.counts(pairs)
                 rule = wide if wn and wm / wn >= accuracy[best] else rule
             step["terminal_status"], out.rule = "TP_PASS", rule
@@ -276,7 +293,7 @@ def _branch(pairs: dict[Pair, int], harmony: bool) -> Learned:
         if after == removed:
             step["terminal_status"] = "NO_NEW_REMOVABLE_CONTEXTS"
             return out
-        tier, listed, chosen = choose_tier(set(after), targets, False)
+        tier, listed, chosen = choose_tier(set(after), targets, False, inventory)
         step |= {"terminal_status": "RECURSE", "tier_candidate_type": tier.kind, "tier_after": tier.name, "natural_class_options": listed, "chosen_natural_class": chosen}
         removed, depth = after, depth + 1
 
@@ -304,5 +321,6 @@ def surface_on_tier(rule: Rule | None) -> tuple[str, str]:
     """Surface segments on the rule's tier, and those that are not, each joined by blanks."""
     if rule is None:
         return "", ""
-    on = [s for s in SURFACE if rule.tier is None or s in rule.tier.segments]
-    return " ".join(on), " ".join(s for s in SURFACE if s not in on)
+    surface = rule.inventory.surface
+    on = [s for s in surface if rule.tier is None or s in rule.tier.segments]
+    return " ".join(on), " ".join(s for s in surface if s not in on)

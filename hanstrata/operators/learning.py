@@ -46,9 +46,11 @@ def window_bounds(c: Column) -> tuple[Column, Column]:
     return F.when(end.isNotNull(), start), F.when(start.isNotNull(), end)
 
 
-def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progressive", ur: str = "d2l_ur", sr: str = "d2l_sr", weight: str = "lexical_type_weight") -> DataFrame:
+def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progressive", ur: str = "d2l_ur", sr: str = "d2l_sr", weight: str = "lexical_type_weight", features: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """One row for each window: the learned rule and its figures, and arrays `trace`, `events` and `predictions`.
 
+    `features` are those of sources.files.read_features(); without them, the core inventory's.
+
     Equal pairs of a window are added up before they go to the learner, which gets one row for
     each structure of the window's word forms: a few hundred, however many tokens the window has.
     """
@@ -56,6 +58,7 @@ def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progres
     if mode not in ("progressive", "bidirectional"):
         raise ValueError("mode is progressive or bidirectional")
     fit = L.learn_progressive if mode == "progressive" else L.learn_bidirectional
+    inventory = L.Inventory(features) if features else L.CORE
     distinct = pairs.groupBy(F.col(window).alias("window"), F.col(ur).alias("ur"), F.col(sr).alias("sr")).agg(F.sum(weight).alias("weight"), F.min(weight).alias("least"))
     # learning takes long for few bytes, so windows must not be put together by size
     distinct = distinct.repartition(8 * pairs.sparkSession.sparkContext.defaultParallelism, "window")
@@ -71,7 +74,7 @@ def learn(pairs: DataFrame, window: str = "time_window_id", mode: str = "progres
             row["declared_weighted_target_count"] = targets
             if not targets:
                 return made(row | {"status": "NO_D2L_TARGETS"})
-            found = fit(merged)
+            found = fit(merged, inventory)
         except Exception as error:  # a window that can't be learned from is reported, not fatal
             return made(row | {"status": "ERROR", "error_type": type(error).__name__, "error_message": str(error)})
         row |= {"trace": [{k: t.get(k) for k in TRACE} for t in found.trace], "events": [{k: e.get(k) for k in EVENTS} for e in found.events], "status": "NO_PRODUCTIVE_RULE"}
@@ -169,13 +172,16 @@ BASELINE = (
 def with_baseline(summary: DataFrame, baseline: DataFrame | None, window: str = "time_window_id") -> DataFrame:
     """The summary with the baseline's figures as baseline_...; unchanged without a baseline.
 
-    Raises ValueError if a window occurs twice on either side, as the two belong together one to one.
+    The two belong together one to one: a window that occurs twice on either side fails the job that
+    reads the result, with an error that names it.
     """
     if baseline is None:
         return summary
     require_columns(baseline, window)
-    for side in (summary, baseline):
-        if side.groupBy(window).count().where("count > 1").limit(1).count():
-            raise ValueError(f"{window} occurs more than once")
     columns = [F.col(c).alias(f"baseline_{c}") for c in BASELINE if c in baseline.columns]
-    return summary.join(baseline.select(window, *columns), window, "left")
+    packed = baseline.groupBy(window).agg(F.count("*").alias("_m"), F.first(F.struct(*columns)).alias("_b"))
+    joined = summary.withColumn("_n", F.count("*").over(W.partitionBy(window))).join(packed, window, "left")
+    twice = (F.col("_n") > 1) | F.coalesce(F.col("_m") > 1, F.lit(False))
+    row = F.when(twice, F.raise_error(F.concat(F.lit(f"{window} occurs more than once: "), F.col(window).cast("string")))).otherwise(F.col("_b"))
+    # the check is a part of every column, so that none can be read without it
+    return joined.withColumn("_r", row).select(*(F.col(c) for c in summary.columns), *(F.col(f"_r.baseline_{c}") for c in BASELINE if c in baseline.columns))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,10 +114,22 @@ class Analysis:
             files.write_text(self.raw.sparkSession, config.as_json(settings, **derived), f"{folder}/{name}.json")
 
 
-def preprocess(spark: SparkSession, settings: config.Preprocessing, partitions: int | None = None) -> DataFrame:
-    """Stage 01 from files to files; a result that is there is left alone."""
-    files.discover(settings.input_dir, settings.input_patterns)
-    raw, _ = files.read_documents(spark, settings.input_dir, partitions=partitions)
-    done = documents.dotted_scripts(documents.classify(documents.profile(raw)))
-    files.write_documents(done, f"{settings.output_dir}/processed", settings.skip_existing_output)
-    return spark.read.schema(files.PROCESSED).json(f"{settings.output_dir}/processed")
+def preprocess(spark: SparkSession, settings: config.Preprocessing, partitions: int | None = None, identify=None, identify_records=None) -> tuple[DataFrame, dict[str, int]]:
+    """Stage 01 from files to files: each has its result in the same place below output_dir. Results that are there are left alone.
+
+    All files that are to be done make one job. Gives the documents of all results, and the counts of
+    what this run has read. The identifiers are those of documents.profile() and documents.classify().
+    """
+    found = files.discover(settings.input_dir, settings.input_patterns)
+    target = {p: str(files.output_path(p, settings.input_dir, settings.output_dir)) for p in found}
+    todo = [p for p in found if not (settings.skip_existing_output and files.exists(spark, target[p]))]
+    counts: dict[str, int] = {}
+    if todo:
+        raw, seen = files.read_documents(spark, [str(p) for p in todo], glob="*")
+        uris = spark.read.text([str(p) for p in todo]).inputFiles()
+        where = {Path(unquote(urlparse(u).path)): u for u in uris}
+        raw = raw.repartition(partitions) if partitions else raw
+        done = documents.dotted_scripts(documents.classify(documents.profile(raw, identify), identify_records))
+        files.write_documents_by_file(done, {where[p.resolve()]: target[p] for p in todo})
+        counts = seen.get
+    return spark.read.schema(files.PROCESSED).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(settings.output_dir), counts

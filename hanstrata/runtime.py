@@ -40,11 +40,30 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Deletes a path, with all that is below."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Puts a folder in the place of another; if there is no folder at `path`, an empty one."""
+    fs, source = _file_system(spark, path)
+    _, target = _file_system(spark, to)
+    fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not (fs.rename(source, target) if fs.exists(source) else fs.mkdirs(target)):
+        raise OSError(f"{path} could not be moved to {to}")
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:

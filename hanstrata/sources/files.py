@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -10,9 +12,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hanstrata.functions.inventory import FEATURES, SEGMENTS
+from hanstrata.functions.inventory import SEGMENTS
 from hanstrata.operators.documents import OPTIONAL
-from hanstrata.runtime import require_columns
+from hanstrata.runtime import exists, move, remove, require_columns
+
+BYTE_ORDER_MARK = "\ufeff"
 
 RAW = T.StructType([T.StructField(c, {"string": T.StringType(), "double": T.DoubleType()}[t]) for c, t in OPTIONAL.items()])
 PROCESSED = T.StructType([*RAW.fields, T.StructField("language_score", T.DoubleType()), T.StructField("category", T.StringType()), *(T.StructField(f"script.{k}", T.DoubleType()) for k in ("kor", "oko", "jpn", "han", "lat"))])
@@ -32,43 +36,85 @@ def output_path(path: str | Path, input_dir: str | Path, output_dir: str | Path)
     return Path(output_dir) / relative.parent / (re.sub(r"\.jsonl(\.gz)?$", "", relative.name) + ".processed.jsonl")
 
 
+def _readable(schema: T.StructType) -> T.StructType:
+    """How a line is read before its values are judged: `text` as it stands, the rest as strings."""
+    fields = [T.StructField(f.name, T.VariantType() if f.name == "text" else T.StringType()) for f in schema.fields]
+    return T.StructType([*fields, T.StructField("_broken", T.StringType())])
+
+
+def judged(lines: DataFrame, schema: T.StructType = RAW) -> DataFrame:
+    """Lines read by _readable(), with the columns of `schema` and `_text_is_string`.
+
+    A value that is no number is null in a column of numbers, and its document stays.
+    """
+    out = lines.withColumn("_text_is_string", F.coalesce(F.schema_of_variant("text") == "STRING", F.lit(False)))
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType.simpleString()) for f in schema.fields if f.name != "text" and f.dataType != T.StringType()}
+    return out.withColumns({"text": F.when(F.col("_text_is_string"), F.try_variant_get("text", "$", "string"))} | typed)
+
+
 def read_documents(spark: SparkSession, paths: str | list[str], schema: T.StructType = RAW, glob: str = "*.{jsonl,jsonl.gz}", partitions: int | None = None) -> tuple[DataFrame, Observation]:
     """Documents of JSON lines below folders, with `input_file`; and a count of what was seen.
 
     Files may be gzipped, of which one is one task: give `partitions` to spread what follows. Blank
-    lines are no documents. A line that is not JSON, or whose text is not a string, is counted and
-    passed over. Columns that a file lacks are null. The observation has documents_seen, bad_lines
-    and documents_used once a job has read all of it.
+    lines are no documents. A line that is not JSON, or whose text is not a string (a number, a list,
+    null or nothing), is counted and passed over. Columns that a file lacks are null. The observation
+    has documents_seen, bad_lines, texts_not_strings and documents_used once a job has read all of it.
     """
-    broken = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    reader = spark.read.schema(broken).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    df = reader.json(paths).withColumn("input_file", F.input_file_name())
-    seen = Observation()
-    bad = F.col("_broken").isNotNull()
-    df = df.observe(seen, F.count("*").alias("documents_seen"), F.count_if(bad).alias("bad_lines"), F.count_if(~bad & F.col("text").isNotNull()).alias("documents_used"))
-    df = df.where(~bad & F.col("text").isNotNull()).drop("_broken")
+    reader = spark.read.schema(_readable(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    df = judged(reader.json(paths).withColumn("input_file", F.input_file_name()), schema)
+    seen, bad, good = Observation(), F.col("_broken").isNotNull(), F.col("_text_is_string")
+    df = df.observe(seen, F.count("*").alias("documents_seen"), F.count_if(bad).alias("bad_lines"), F.count_if(~bad & ~good).alias("texts_not_strings"), F.count_if(~bad & good).alias("documents_used"))
+    df = df.where(~bad & good).drop("_broken", "_text_is_string")
     return (df.repartition(partitions) if partitions else df), seen
 
 
-def read_csv(spark: SparkSession, path: str | list[str], required: Iterable[str] = (), schema: T.StructType | None = None) -> DataFrame:
-    """A CSV with a header; a byte order mark is passed over. Required columns are checked from the header, before any job on rows."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+def read_csv(spark: SparkSession, path: str | list[str], required: Iterable[str] = (), schema: T.StructType | None = None, line_breaks: bool = False) -> DataFrame:
+    """A CSV with a header; a byte order mark is passed over. Required columns are checked from the header, before any job on rows.
+
+    Files are split among tasks. Values with line breaks in them need `line_breaks`, and then one
+    task reads a whole file.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("encoding", "UTF-8")
     df = (reader.schema(schema) if schema else reader).csv(path)
-    if df.columns and df.columns[0].startswith("﻿"):
-        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("﻿"))
+    if df.columns and df.columns[0].startswith(BYTE_ORDER_MARK):
+        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip(BYTE_ORDER_MARK))
     require_columns(df, *required)
     return df
 
 
 def write_documents(df: DataFrame, path: str, skip_existing: bool = True) -> None:
-    """JSON lines; a folder that is there is left alone. A failed job leaves no half-written result behind."""
-    df.write.mode("ignore" if skip_existing else "overwrite").json(path)
+    """JSON lines; what a finished job left is left alone, what a failed one left is written anew.
+
+    A finished job is told by its _SUCCESS file; where the session writes none, all is written again.
+    """
+    if not (skip_existing and exists(df.sparkSession, f"{path}/_SUCCESS")):
+        df.write.mode("overwrite").json(path)
+
+
+def write_documents_by_file(df: DataFrame, targets: dict[str, str]) -> None:
+    """JSON lines of each input file at a place of its own: a folder, which is there as a whole or not at all.
+
+    `targets` leads from a value of `input_file` to its folder. One job writes all files next to the
+    first folder, then each is put in its place by renaming. A file without documents gets an empty folder.
+    """
+    if not targets:
+        return
+    spark = df.sparkSession
+    name = {file: f"{hashlib.md5(file.encode()).hexdigest()}" for file in targets}
+    work = f"{next(iter(targets.values())).rsplit('/', 1)[0]}/.partial-{uuid.uuid4().hex}"
+    df.withColumn("_file", F.md5("input_file")).drop("input_file").write.partitionBy("_file").json(work)
+    for file, to in targets.items():
+        move(spark, f"{work}/_file={name[file]}", to)
+        write_text(spark, "", f"{to}/_SUCCESS")
+    remove(spark, work)
 
 
 def write_csv(df: DataFrame, path: str, columns: Iterable[str] | None = None, order: Iterable = ()) -> None:
-    """CSV files with a header and the columns in the given order; without rows, a file with the header only."""
+    """CSV files with a byte order mark, a header and the columns in the given order; without rows, a file with the header only."""
     df = df.select(*(F.col(f"`{c}`") for c in columns)) if columns else df
     df = df.orderBy(*order) if order else df
+    first = df.columns[0]
+    df = df.select(F.col(f"`{first}`").alias(BYTE_ORDER_MARK + first), *(F.col(f"`{c}`") for c in df.columns[1:]))
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
@@ -106,7 +152,7 @@ def read_window_pairs(spark: SparkSession, path: str) -> DataFrame:
 def read_features(path: str | Path | None = None) -> dict[str, dict[str, str]]:
     """Features of segments from a TSV with the columns SEG and features; without a path, those of the core inventory."""
     if path is None:
-        return {s: dict(zip(FEATURES, values, strict=True)) for s, values in SEGMENTS.items()}
+        return SEGMENTS
     lines = [line.split("\t") for line in Path(path).read_text(encoding="utf-8-sig").splitlines() if line.strip()]
     head = lines[0]
     if head[0] != "SEG":
@@ -114,10 +160,14 @@ def read_features(path: str | Path | None = None) -> dict[str, dict[str, str]]:
     return {row[0]: dict(zip(head[1:], row[1:], strict=True)) for row in lines[1:]}
 
 
+#: Points that a chart may have.
+MAX_POINTS = 100_000
+
+
 def line_charts(summary: DataFrame, path: str | Path, columns: Iterable[str], x: str = "time_window_start") -> list[Path]:
     """A line chart for each column over the windows, where matplotlib is installed; else none.
 
-    A summary has one row for each window, a few hundred at most.
+    A summary has one row for each window. One with more than MAX_POINTS rows raises ValueError: it is no summary.
     """
     try:
         import matplotlib
@@ -126,7 +176,9 @@ def line_charts(summary: DataFrame, path: str | Path, columns: Iterable[str], x:
         from matplotlib import pyplot
     except ImportError:
         return []
-    rows = summary.orderBy(x).select(x, *columns).limit(10_000).toPandas()
+    if (n := summary.count()) > MAX_POINTS:
+        raise ValueError(f"{n} windows are too many for a chart")
+    rows = summary.orderBy(x).select(x, *columns).toPandas()
     out = []
     for c in columns:
         figure, axes = pyplot.subplots()

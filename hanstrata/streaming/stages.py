@@ -11,8 +11,9 @@ from hanstrata.sources import files
 
 
 def read_documents(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """New JSON-line files below a folder, as a stream of raw documents; a finished file is never read again."""
-    return spark.readStream.schema(files.RAW).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).json(folder)
+    """New JSON-line files below a folder, as a stream of raw documents; a finished file is never read again. Lines count as in files.read_documents()."""
+    lines = spark.readStream.schema(files._readable(files.RAW)).option("columnNameOfCorruptRecord", "_broken").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).json(folder)
+    return files.judged(lines).where("_broken is null and _text_is_string").drop("_broken", "_text_is_string")
 
 
 def token_rows(raw: DataFrame, settings: tokens.Extraction = tokens.Extraction()) -> DataFrame:

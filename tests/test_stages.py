@@ -242,12 +242,61 @@ def test_files_to_results(spark, tmp_path):
     assert {r["status"] for r in run.results.collect()} <= {"RULE_LEARNED", "NO_PRODUCTIVE_RULE"}
     back = files.read_window_pairs(spark, str(tmp_path / "out/d2l_core/window_pairs"))
     assert back.count() == run.weighted_pairs.count()
-    done = preprocess(spark, config.Preprocessing(str(tmp_path / "in"), str(tmp_path / "done")))
-    assert done.count() == 6 and "script.kor" in done.columns
+    done, counts = preprocess(spark, config.Preprocessing(str(tmp_path / "in"), str(tmp_path / "done")))
+    assert done.count() == 6 and "script.kor" in done.columns and (counts["documents_used"], counts["bad_lines"], counts["texts_not_strings"]) == (6, 1, 1)
+    assert {str(p.parent.relative_to(tmp_path / "done")) for p in (tmp_path / "done").rglob("part-*")} == {"a/x.processed.jsonl", "y.processed.jsonl"}
+    assert preprocess(spark, config.Preprocessing(str(tmp_path / "in"), str(tmp_path / "done")))[1] == {}
     with pytest.raises(ValueError):
         files.read_csv(spark, str(tmp_path / "out/time_window_diagnostics"), ["nope"])
 
 
+def test_lines_whose_values_are_of_other_types(spark, tmp_path):
+    lines = ['{"id": "a:1", "text": "s", "year": "1900"}', '{"id": "a:2", "text": 123}', '{"id": "a:3", "text": ["x"]}', '{"id": "a:4", "text": null}', '{"id": "a:5"}', "", "no json", '{"id": "a:6", "text": "q", "year": "x"}', '{"id": 7, "text": "123", "year": 1900.5}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    raw, seen = files.read_documents(spark, str(tmp_path))
+    assert {(r["id"], r["text"], r["year"]) for r in raw.collect()} == {("a:1", "s", 1900.0), ("a:6", "q", None), ("7", "123", 1900.5)}
+    assert seen.get == {"documents_seen": 8, "bad_lines": 1, "texts_not_strings": 4, "documents_used": 3}
+
+
+def test_a_failed_job_is_done_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a:1", "x"), ("a:2", "y")], "id string, text string")
+    broken = rows.select("id", F.raise_error(F.lit("stop")).cast("string").alias("text"))
+    with pytest.raises(Exception, match="stop"):
+        files.write_documents(broken, str(tmp_path / "out"))
+    files.write_documents(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    files.write_documents(rows.limit(1), str(tmp_path / "out"))  # a finished result is left alone
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_charts_refuse_what_is_no_summary(spark, tmp_path, monkeypatch):
+    pytest.importorskip("matplotlib")
+    monkeypatch.setattr(files, "MAX_POINTS", 3)
+    with pytest.raises(ValueError, match="4 windows"):
+        files.line_charts(spark.range(4).withColumnRenamed("id", "time_window_start").withColumn("n", F.lit(1)), tmp_path, ["n"])
+
+
+def test_own_features_reach_the_learner(spark, tmp_path):
+    table = [["SEG", "syl", "tongue", "RTR"]] + [[s, "+", "+" if s == "ㅣ" else "-", v["RTR"]] for s, v in files.read_features().items()]
+    (tmp_path / "f.tsv").write_text("\n".join("\t".join(r) for r in table), encoding="utf-8")
+    own = files.read_features(tmp_path / "f.tsv")
+    rows = [("ㅏ A", "ㅏ ㅏ"), ("ㅓ EO", "ㅓ ㅓ"), ("ㅏ EO", "ㅏ ㅏ"), ("ㅓ A", "ㅓ ㅓ"), ("ㅏ ㅣ A", "ㅏ ㅣ ㅏ"), ("ㅓ ㅣ A", "ㅓ ㅣ ㅓ"), ("ㅏ ㅣ EO", "ㅏ ㅣ ㅏ")]
+    df = spark.createDataFrame([("1-2", u, s, 10) for u, s in rows], "time_window_id string, d2l_ur string, d2l_sr string, lexical_type_weight int")
+    trace = learning.exploded(learning.learn(df, features=own), "trace").collect()
+    assert "[+tongue]" in {t["chosen_natural_class"] for t in trace}
+    with pytest.raises(ValueError, match="without features"):
+        learning.learn(df, features={"ㅏ": {"RTR": "+"}})
+
+
+def test_baseline_belongs_one_to_one(spark):
+    summary = spark.createDataFrame([("a", 1), ("b", 2)], "time_window_id string, n int")
+    base = spark.createDataFrame([("a", 5)], "time_window_id string, prediction_N int")
+    assert {tuple(r) for r in learning.with_baseline(summary, base).collect()} == {("a", 1, 5), ("b", 2, None)}
+    for left, right in ((summary.unionAll(summary), base), (summary, base.unionAll(base))):
+        with pytest.raises(Exception, match="more than once"):
+            learning.with_baseline(left, right).collect()
+
+
 def test_a_run_writes_token_rows_details_and_settings(spark, tmp_path):
     docs = [(f"newslibrary:{i}", "가나 다라마 고노 구누디 가니다 " * 3, 1900.0 + i) for i in range(6)]
     run = Analysis(spark.createDataFrame(docs, "id string, text string, year double"), sampling=sampling.Sampling(min_window_wordforms=1))
