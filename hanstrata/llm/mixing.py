@@ -1,11 +1,13 @@
 """Mixing sources to target shares of tokens, with a cap on repeats.
 
 Each source's texts are packed, in a pseudorandom order, into one stream of tokens that is cut into
-blocks of a fixed length. A mix has as many slots as it has blocks, spread over output shards.
-Every shard draws how many of its slots each source gets: the whole part of slots times share,
-and a multinomial draw for the rest. The slots of a source, numbered over all shards, are mapped
-to its blocks by a pseudorandom permutation for each round through the source, so that no block
-is used more often than there are rounds. Blocks are joined to their texts by their index.
+blocks of a fixed length; the last block of a source may be shorter. The slots of a mix are spread
+over output shards. Every shard draws how many of its slots each source gets: the whole part of
+slots times share, and a multinomial draw for the rest. Slots that were drawn for a source beyond
+its number go to the sources that were drawn too seldom, so that each gets exactly its own. The
+slots of a source, numbered over all shards, are mapped to its blocks by a pseudorandom permutation
+for each round through the source, so that no block is used more often than there are rounds; the
+last slot takes only the tokens that are still due. Blocks are joined to their texts by their index.
 """
 
 from __future__ import annotations
@@ -23,14 +25,12 @@ from pyspark.sql import functions as F
 
 from hanstrata.runtime import checkpoint, require_columns
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how the vocabulary's owners cut text into pieces before they merge bytes.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 128
-#: Slots of an output shard; larger if a mix had more than MAX_SHARDS of them.
-SLOTS_PER_SHARD, MAX_SHARDS = 1024, 1 << 16
-#: Texts of a source that are put in order by one task.
-_BUCKETS = 256
+SLOTS_PER_SHARD = 1024
+#: Shards whose draws one task adds up, and texts of a source that one task puts in order.
+SHARDS_PER_GROUP, TEXTS_PER_BUCKET = 4096, 1 << 17
 
 
 @lru_cache(maxsize=2)
@@ -48,7 +48,7 @@ def encoder(path: str):
     return _encoder(Path(path).read_bytes())
 
 
-def with_token_counts(df: DataFrame, text: str, name: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def with_token_counts(df: DataFrame, text: str, vocabulary: str, name: str = "n_tokens") -> DataFrame:
     """df without `text`, with the number of its tokens in a public vocabulary; 0 for null and empty texts.
 
     The rank file, of less than a megabyte, is read here and sent along: executors need not have it.
@@ -75,53 +75,63 @@ def normal_source(column: str):
     return F.regexp_replace(F.lower(F.trim(F.col(column))), "-", "_")
 
 
-def packed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+def packed(docs: DataFrame, seed: int, texts_per_bucket: int = TEXTS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """Texts (source, doc_id, n_tokens) with their first token's place in the source's stream; tokens of each source.
 
-    Texts are spread over buckets by hash; a bucket is put in order by one task, and the buckets of
-    a source follow each other. So a source with a third of all texts is no longer than any other.
+    Texts are spread over buckets by hash, of about `texts_per_bucket` texts each; a bucket is put in
+    order by one task, and the buckets of a source follow each other. So a source with a third of all
+    texts takes no longer than any other.
     """
+    buckets = -(-docs.count() // texts_per_bucket) or 1
     hashed = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    rows = docs.withColumn("order", hashed).withColumn("bucket", F.pmod(F.col("order"), F.lit(_BUCKETS)))
+    rows = docs.withColumn("order", hashed).withColumn("bucket", F.pmod(F.col("order"), F.lit(buckets)))
     in_bucket = W.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size"))  # at most _BUCKETS rows for each source of the mixes
+    sizes = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(ahead), F.lit(0))).select("source", "bucket", "offset")
     placed = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(in_bucket), F.lit(0)))
-    placed = placed.join(F.broadcast(offsets), ["source", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("offset") + F.col("within")).alias("start"))
+    placed = placed.join(offsets, ["source", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("offset") + F.col("within")).alias("start"))
     return placed, sizes.groupBy("source").agg(F.sum("size").alias("tokens"))
 
 
 def plan_mix(targets: pd.DataFrame, tokens: dict[str, int], block: int, total_tokens: int | None) -> pd.DataFrame:
-    """Slots of each source in one mix: (source, target_share, share, blocks, limit, slots).
+    """What each source gives to one mix: (source, target_share, share, tokens, blocks, limit, planned, slots, unmet).
 
-    Sources without a full block take no part; their share goes to the others in proportion
-    (`share`). Without `total_tokens` the mix is as large as its scarcest source allows.
+    Sources without a token, or that may not be used, take no part; their share goes to the others in
+    proportion (`share`). Without `total_tokens` the mix is as large as its scarcest source allows.
     """
     plan = targets.copy()
-    plan["blocks"] = [tokens.get(s, 0) // block for s in plan["source"]]
-    plan["limit"] = plan["blocks"] * plan["max_repeats"].fillna(0).clip(lower=0).astype(int)
-    able = (plan["limit"] > 0) & (plan["target_share"].fillna(0) > 0)
-    plan["share"] = np.where(able, plan["target_share"].fillna(0), 0.0)
+    plan["tokens"] = np.array([tokens.get(s, 0) for s in plan["source"]], np.int64)
+    plan["blocks"] = -(-plan["tokens"] // block)
+    uses, wanted = plan["max_repeats"].fillna(0).clip(lower=0).astype(np.int64), plan["target_share"].fillna(0).clip(lower=0)
+    plan["limit"] = plan["tokens"] * uses
+    able = (plan["limit"] > 0) & (wanted > 0)
+    plan["unmet"] = np.select([wanted <= 0, plan["tokens"] == 0, uses == 0], [None, "no tokens", "no use allowed"], None)
+    plan["share"] = np.where(able, wanted, 0.0)
+    plan["planned"] = plan["slots"] = np.int64(0)
     if not able.any():
-        return plan.assign(slots=0)
+        return plan
     plan["share"] /= plan["share"].sum()
     most = int(np.floor((plan["limit"][able] / plan["share"][able]).min()))
-    slots = min(most, total_tokens // block) if total_tokens is not None else most
-    exact = plan["share"] * slots
-    plan["slots"] = np.floor(exact).astype(np.int64)
-    for i in (exact - plan["slots"]).sort_values(ascending=False, kind="stable").index[: int(slots - plan["slots"].sum())]:
-        plan.loc[i, "slots"] += 1
-    plan["slots"] = np.minimum(plan["slots"], plan["limit"])
+    size = min(most, total_tokens) if total_tokens is not None else most
+    if total_tokens is not None and size < total_tokens:
+        plan.loc[able & (np.floor(plan["share"] * total_tokens) > plan["limit"]), "unmet"] = "repeats used up"
+    exact = plan["share"] * size
+    planned = np.floor(exact).astype(np.int64)
+    for i in (exact - planned).sort_values(ascending=False, kind="stable").index[: int(size - planned.sum())]:
+        planned[i] += 1
+    plan["planned"] = np.minimum(planned, plan["limit"])
+    whole, rest = np.divmod(plan["planned"].to_numpy(), np.maximum(plan["tokens"].to_numpy(), 1))
+    plan["slots"] = whole * plan["blocks"] + -(-rest // block)
     return plan
 
 
 def shard_counts(shares: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
     """How many slots of a shard each source gets: whole parts, and a multinomial draw for the rest."""
     whole = np.floor(shares * slots + 1e-9).astype(np.int64)
-    rest = shares * slots - whole
+    rest = np.maximum(shares * slots - whole, 0)
     left = slots - int(whole.sum())
-    return whole + (rng.multinomial(left, np.maximum(rest, 0) / np.maximum(rest, 0).sum()) if left > 0 and rest.sum() > 0 else 0)
+    return whole + (rng.multinomial(left, rest / rest.sum()) if left > 0 and rest.sum() > 0 else 0)
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -143,19 +153,21 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK_TOKENS, seed: int = 11, vocabulary: str = DEFAULT_VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame, vocabulary: str, total_tokens: int | None = None, block: int = BLOCK_TOKENS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Combines texts so that each source of a mix has its share of all tokens.
 
-    `targets` has (mix_name, source, target_share, max_repeats), a fixed table. Returns the pieces
-    and the plan. Pieces (mix_name, shard, slot, source, block, repeat, doc_id, from_token,
-    n_tokens): in reading order of shard, slot and from_token within the block; `repeat` tells how
-    often the block was used before. The plan, a row for each mix and source: target_share, share
-    (of sources that have texts), available_tokens, limit_tokens and planned_tokens.
-
-    No token is used more than max_repeats times; where a draw would, the slot goes unused. The
-    last, unfull block of a source is not used. Texts that are null, empty or of a source in no mix
-    take no part; spellings of a source's name are one source. Equal texts under different ids are
-    different texts. Without texts both results have no piece.
+    `targets` has (mix_name, source, target_share, max_repeats), a fixed table; `vocabulary` is the
+    path of a rank file. Returns the pieces and the plan. Pieces (mix_name, shard, slot, source,
+    block, repeat, doc_id, from_token, n_tokens): in reading order of shard, slot and from_token
+    within the block; `repeat` tells how often the block was used before. The plan, a row for each
+    mix and source: target_share, share (of sources that can take part), max_repeats,
+    available_tokens, limit_tokens, planned_tokens, and `unmet`, why a target share can't be met.
+
+    No token is used more than max_repeats times, all tokens of a source can be used, and each mix
+    has exactly its planned tokens. A slot holds a block, but for a source's last block, which may be
+    shorter, and for the last slot of a source, which takes what is still due. Texts that are null,
+    empty or of a source in no mix take no part; spellings of a source's name are one source. Equal
+    texts under different ids are different texts. Without texts both results have no piece.
     """
     require_columns(docs, doc_id, text, source)
     require_columns(targets, "mix_name", "source", "target_share", "max_repeats")
@@ -163,69 +175,101 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame
     wanted = targets.select(normal_source("source").alias("source")).distinct()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), normal_source(source).alias("source"))
     rows = rows.where(F.length("text") > 0).join(F.broadcast(wanted), "source", "left_semi")
-    counted = checkpoint(with_token_counts(rows, "text", "n_tokens", vocabulary).where("n_tokens > 0"))
+    counted = checkpoint(with_token_counts(rows, "text", vocabulary).where("n_tokens > 0"))
     placed, sizes = packed(counted, seed)
     tokens = {r["source"]: r["tokens"] for r in sizes.collect()}  # a row for each source of the mixes
     given = targets.withColumn("source", normal_source("source")).toPandas()
-    plans = []
-    for name, mine in given.groupby("mix_name", sort=True):
-        plans.append(plan_mix(mine.sort_values("source").reset_index(drop=True), tokens, block, total_tokens).assign(mix_name=name))
-    plan = pd.concat(plans) if plans else pd.DataFrame(columns=["mix_name", "source", "target_share", "share", "blocks", "limit", "slots", "max_repeats"])
-    shards = []
-    for m, p in plan.groupby("mix_name"):
-        n = int(p["slots"].sum())
-        size = max(SLOTS_PER_SHARD, -(-n // MAX_SHARDS))
-        shards += [(m, k, min(size, n - k * size)) for k in range(-(-n // size))]
-    slots = _slots(spark, shards, plan, seed)
+    plans = {name: plan_mix(mine.sort_values("source").reset_index(drop=True), tokens, block, total_tokens) for name, mine in given.groupby("mix_name", sort=True)}
+    slots = _slots(spark, plans, block, seed)
     span = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block)))
     parts = placed.select("source", "doc_id", "start", "n_tokens", span.alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * block)
-    parts = parts.select("source", "block", "doc_id", (begin - F.col("start")).alias("from_token"), (F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * block) - begin).alias("n_tokens"))
+    parts = parts.select("source", "block", "doc_id", (begin - F.col("start")).alias("from_token"), (begin - F.col("block") * block).alias("within"), (F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * block) - begin).alias("n_tokens"))
     # both sides grow with the texts, and the size of what Python makes is unknown to the planner: never broadcast
-    pieces = slots.hint("merge").join(parts.hint("merge"), ["source", "block"]).select("mix_name", "shard", "slot", "source", "block", "repeat", "doc_id", "from_token", "n_tokens")
-    report = plan.assign(available_tokens=[tokens.get(s, 0) for s in plan["source"]], limit_tokens=plan["limit"] * block, planned_tokens=plan["slots"] * block)
-    columns = ["mix_name", "source", "target_share", "share", "max_repeats", "available_tokens", "limit_tokens", "planned_tokens"]
-    kind = "mix_name string, source string, target_share double, share double, max_repeats int, available_tokens bigint, limit_tokens bigint, planned_tokens bigint"
-    return pieces, spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in report[columns].astype(object).itertuples(index=False)], kind)
+    pieces = slots.hint("merge").join(parts.hint("merge"), ["source", "block"]).withColumn("n_tokens", F.least(F.col("n_tokens"), F.col("due") - F.col("within"))).where("n_tokens > 0")
+    pieces = pieces.select("mix_name", "shard", "slot", "source", "block", "repeat", "doc_id", "from_token", "n_tokens")
+    report = [(name, r.source, r.target_share, r.share, r.max_repeats, r.tokens, r.limit, r.planned, r.unmet) for name, p in plans.items() for r in p.itertuples(index=False)]
+    kind = "mix_name string, source string, target_share double, share double, max_repeats int, available_tokens bigint, limit_tokens bigint, planned_tokens bigint, unmet string"
+    python = lambda v: None if v is None or pd.isna(v) else v.item() if isinstance(v, np.generic) else v
+    return pieces, spark.createDataFrame([(*map(python, r[:4]), None if pd.isna(r[4]) else int(r[4]), *map(python, r[5:])) for r in report], kind)
+
+
+class Draws:
+    """The slots of all mixes, by shard: every count follows from the shard's number and the seed."""
+
+    def __init__(self, plans: dict[str, pd.DataFrame], seed: int, slots_per_shard: int):
+        self.names, self.seed, self.size = list(plans), seed, slots_per_shard
+        self.sources = [p["source"].tolist() for p in plans.values()]
+        self.tokens, self.blocks, self.slots, self.planned = ([p[c].to_numpy(np.int64) for p in plans.values()] for c in ("tokens", "blocks", "slots", "planned"))
+        self.total = np.array([int(s.sum()) for s in self.slots], np.int64)
+        self.first_shard = np.append(0, np.cumsum(-(-self.total // slots_per_shard)))
 
+    def shard(self, number: int) -> tuple[int, int, int]:
+        """(mix, its shard, slots) of a shard's number over all mixes."""
+        m = int(np.searchsorted(self.first_shard, number, side="right") - 1)
+        k = number - int(self.first_shard[m])
+        return m, k, min(self.size, int(self.total[m]) - k * self.size)
 
-def _slots(spark, shards: list[tuple[str, int, int]], plan: pd.DataFrame, seed: int) -> DataFrame:
-    """(mix_name, shard, slot, source, block, repeat) of all slots, made by the shards' tasks.
+    def counts(self, m: int, k: int, n: int) -> np.ndarray:
+        return shard_counts(self.slots[m] / self.total[m], n, np.random.default_rng([self.seed, m, k]))
 
-    Each shard's draw depends on its number only, so a task that needs the slots of the shards
-    before draws them again: counts, not slots.
+
+def _slots(spark, plans: dict[str, pd.DataFrame], block: int, seed: int, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """(mix_name, shard, slot, source, block, repeat, due) of all slots, made by the shards' tasks; `due` are the tokens of the block that count.
+
+    Draws are made in tasks, and added up over the shards before by groups of shards, then by group.
     """
-    plans = {m: p.sort_values("source") for m, p in plan.groupby("mix_name")} if len(plan) else {}
-    tables = {m: (p["source"].tolist(), p["share"].to_numpy(float), p["blocks"].to_numpy(np.int64), p["limit"].to_numpy(np.int64)) for m, p in plans.items()}
-    order = {m: i for i, m in enumerate(sorted(tables))}
-    draw = lambda m, k, n: shard_counts(tables[m][1], n, np.random.default_rng([seed, order[m], k]))
-    starts, before = [], {m: np.zeros(len(t[0]), np.int64) for m, t in tables.items()}
-    for m, k, n in shards:
-        starts.append((m, k, n, before[m].tolist()))
-        before[m] = before[m] + draw(m, k, n)
+    draws = Draws(plans, seed, slots_per_shard)
+    n_shards = int(draws.first_shard[-1])
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for number in frame["id"].tolist():
+                m, k, n = draws.shard(number)
+                counts = draws.counts(m, k, n)
+                out += [(m, k, n, s, int(at), int(c)) for s, (c, at) in enumerate(zip(counts, np.cumsum(counts) - counts, strict=True)) if c]
+            yield pd.DataFrame(out, columns=["mix", "shard", "slots", "source", "at", "n"])
+
+    drawn = spark.range(n_shards).mapInPandas(draw, "mix int, shard bigint, slots int, source int, at int, n bigint").withColumn("part", F.expr(f"shard div {SHARDS_PER_GROUP}"))
+    sums = drawn.groupBy("mix", "source", "part").agg(F.sum("n").alias("in_part"))
+    before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    parts = sums.withColumn("ahead", F.coalesce(F.sum("in_part").over(before("mix", "source").orderBy("part")), F.lit(0))).drop("in_part")
+    first = F.col("ahead") + F.coalesce(F.sum("n").over(before("mix", "source", "part").orderBy("shard")), F.lit(0))
+    rows = drawn.join(parts, ["mix", "source", "part"]).select("mix", "shard", "slots", "source", "at", "n", first.alias("first"))
+    excess = [np.zeros(len(s), np.int64) for s in draws.slots]
+    got = [np.zeros(len(s), np.int64) for s in draws.slots]
+    for r in sums.groupBy("mix", "source").agg(F.sum("in_part").alias("n")).collect():  # a row for each mix and source
+        got[r["mix"]][r["source"]] = r["n"]
+    for m, own in enumerate(draws.slots):
+        excess[m] = np.maximum(got[m] - own, 0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for m, k, n, first in frame.itertuples(index=False):
-                names, _, blocks, limit = tables[m]
-                counts = draw(m, k, n)
-                source = np.repeat(np.arange(len(names)), counts)
-                ordinal = np.concatenate([np.arange(f, f + c) for f, c in zip(first, counts, strict=True)]) if n else np.zeros(0, np.int64)
-                fits = ordinal < limit[source]
-                source, ordinal = source[fits], ordinal[fits]
-                repeat = ordinal // blocks[source]
-                block = np.zeros(len(ordinal), np.int64)
-                for s in np.unique(source):
-                    for r in np.unique(repeat[source == s]):
-                        at = (source == s) & (repeat == r)
-                        block[at] = permuted(ordinal[at] % blocks[s], int(blocks[s]), hash((seed, order[m], int(s), int(r))) & 0x7FFFFFFF)
-                slot = np.random.default_rng([seed, order[m], k, 1]).permutation(len(source))
-                yield pd.DataFrame({"mix_name": m, "shard": k, "slot": slot, "source": np.array(names, object)[source], "block": block, "repeat": repeat})
-
-    df = spark.createDataFrame(starts, "mix_name string, shard int, slots int, first array<bigint>")
-    if len(starts) > 1:
-        df = df.repartition(min(len(starts), 8 * spark.sparkContext.defaultParallelism), "mix_name", "shard")
-    return df.mapInPandas(run, "mix_name string, shard int, slot int, source string, block bigint, repeat int")
+            for m, k, n, s, at, count, start in frame.itertuples(index=False):
+                ordinal, source = start + np.arange(count), np.full(count, s)
+                over = ordinal >= draws.slots[m][s]
+                if over.any():  # these go to the sources that were drawn too seldom, in order
+                    lacking = np.maximum(draws.slots[m] - got[m], 0)
+                    number = (np.cumsum(excess[m]) - excess[m])[s] + ordinal[over] - draws.slots[m][s]
+                    source[over] = np.searchsorted(np.cumsum(lacking), number, side="right")
+                    ordinal[over] = got[m][source[over]] + number - (np.cumsum(lacking) - lacking)[source[over]]
+                blocks, tokens = draws.blocks[m][source], draws.tokens[m][source]
+                repeat, index = np.divmod(ordinal, blocks)
+                where, due = index.copy(), np.full(count, block)
+                for t in np.unique(source):
+                    whole = int(draws.tokens[m][t]) // block  # a shorter block is the last of each round
+                    for r in np.unique(repeat[source == t]):
+                        mine = (source == t) & (repeat == r) & (index < whole)
+                        where[mine] = permuted(index[mine], whole, hash((seed, m, int(t), int(r))) & 0x7FFFFFFF)
+                last = ordinal == draws.slots[m][source] - 1
+                due[last] = (draws.planned[m][source] - repeat * tokens - index * block)[last]
+                slot = np.random.default_rng([seed, m, k, 1]).permutation(n)[at : at + count]
+                yield pd.DataFrame({"mix_name": draws.names[m], "shard": k, "slot": slot, "source": np.array(draws.sources[m], object)[source], "block": where, "repeat": repeat, "due": due})
+
+    # few bytes for much work, so these must not be put together by size
+    spread = max(1, min(n_shards, 8 * spark.sparkContext.defaultParallelism))
+    return rows.repartition(spread, "mix", "shard").mapInPandas(run, "mix_name string, shard bigint, slot int, source string, block bigint, repeat int, due bigint")
 
 
 def mix_records(pieces: DataFrame) -> DataFrame:

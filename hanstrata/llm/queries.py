@@ -14,6 +14,7 @@ from hanstrata.llm.top_items import top_items
 from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs, visual_classes, vowel_table, with_form
 from hanstrata.runtime import table
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 TOP_VALUES = 20
 TOP_WORDFORMS = 10
 
@@ -72,7 +73,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"))
+    return mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"), VOCABULARY)
 
 
 def p7_mix_records(spark: SparkSession, folder: str) -> DataFrame:
