@@ -22,10 +22,12 @@ from pyspark.sql import types as T
 
 from hanstrata.functions.inventory import VOWEL_LOOKALIKES
 from hanstrata.llm import codepoints as cp
-from hanstrata.runtime import require_columns
+from hanstrata.runtime import checkpoint, require_columns
 
 # Scripts whose letters are taken for Latin ones, in order of preference of the target.
 SCRIPT_NAMES = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "CHEROKEE", "COPTIC", "LISU", "CANADIAN")
+#: Keys of a block of a class, and the classes that may hold so much of all rows that they are salted.
+BLOCK, HOT_CLASSES, SALTS = 256, 1000, 64
 _COMPATIBILITY_VOWELS = range(0x314F, 0x3164)
 
 
@@ -190,15 +192,26 @@ def visual_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b) of different keys, key_a first by code point, whose different texts look the same.
 
-    Classes are those of visual_classes. A class whose keys all have the same text gives no pair
-    and leaves before the join.
+    All such pairs, as the query asks for them; visual_classes says the same in one row for each key.
+    A class whose keys all have the same text gives no pair and leaves before the join. Of a class
+    the members are put in blocks of about BLOCK keys, and pairs are made of two blocks at a time, so
+    that no task holds more than two blocks of a class; classes with at least 1 / HOT_CLASSES of all
+    rows, of which there are HOT_CLASSES at most, are salted until their blocks are known.
     """
-    members = visual_classes(df, key, text)
-    mixed = members.groupBy("class_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("class_id")
-    left = members.join(mixed, "class_id", "left_semi")
-    a = left.select("class_id", F.col("key").alias("key_a"), F.col("text_hash").alias("hash_a"))
-    b = left.select("class_id", F.col("key").alias("key_b"), F.col("text_hash").alias("hash_b"))
-    return a.join(b, "class_id").where("key_a < key_b and hash_a <> hash_b").select("key_a", "key_b").distinct()
+    members = checkpoint(visual_classes(df, key, text))  # counted, sized and paired
+    classes = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
+    hot_from = max(BLOCK, -(-members.count() // HOT_CLASSES))
+    salted = F.explode(F.when(F.col("n") >= hot_from, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    mixed = classes.where("a <> b").select("class_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), salted.alias("salt"))
+    hot = classes.where(F.col("n") >= hot_from).select("class_id", F.lit(True).alias("hot"))
+    place = F.xxhash64("key")
+    salt = F.when(F.col("hot"), F.pmod(place, F.lit(SALTS)).cast("int")).otherwise(0)
+    left = members.join(F.broadcast(hot), "class_id", "left").withColumn("salt", salt).join(mixed, ["class_id", "salt"])
+    left = left.select("class_id", "key", "text_hash", "blocks", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int").alias("own"))
+    a = left.select("class_id", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("key").alias("x"), F.col("text_hash").alias("hash_x"))
+    b = left.select("class_id", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("key").alias("y"), F.col("text_hash").alias("hash_y"))
+    pairs = a.join(b, ["class_id", "i", "j"]).where("hash_x <> hash_y and x <> y and (i < j or x < y)")
+    return pairs.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def inconsistent_vowels(df: DataFrame, key: str, vowels: str) -> DataFrame:

@@ -74,6 +74,19 @@ def test_lookalike_pairs(spark):
     assert [tuple(r) for r in vf.inconsistent_vowels(v, "k", "v").collect()] == [(2, "ㅏ,ㅗ")]
 
 
+def test_pairs_of_a_class_with_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(vf, "BLOCK", 16)
+    forms = ["ABC", "ＡBC", "AＢC", "ABＣ"]
+    rows = [(f"k{i:04d}", forms[i % 4]) for i in range(120)] + [("k0000", "ＡBC"), ("z", "other"), ("y", "ｏther"), ("x", "x"), ("w", "x")]
+    got = sorted(map(tuple, vf.lookalike_pairs(spark.createDataFrame(rows, "id string, text string").repartition(4), "id", "text").collect()))
+    want = set()
+    for a, t in rows:
+        for b, u in rows:
+            if a < b and t != u and ({t, u} <= set(forms) or {t, u} == {"other", "ｏther"}):
+                want.add((a, b))
+    assert got == sorted(want)
+
+
 PASSAGE = "흔한 두실의 전늠다는 깊은 본긴득을 이미 헐었다. 11월 4일에 넓은 연못이 애훅져로 토맹을 모이니 기루히를 헐었다. 낡은 픙힘브가 플믕으로 들어가 종이를 베꼈다. 할작농이 농부를 모이니 마을의 비단에 끝났다. 본령능과 쌀이 졸등까지 급히 끝났다."
 OTHER = "A clerk of Broupam was sent away after a gate of Mifeld counted a widow of Teareth near the old temple, and the narrow hill was not yet finished so that the late clerk hid a silk of Brafadeck."
 
