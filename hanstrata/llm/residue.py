@@ -1,11 +1,14 @@
 """Documents that are template residue, filler, error pages or script notices.
 
-Exemplars of residue are labelled by hand (residue_exemplars). An inverted index leads from the
-n-grams of words to the exemplars; every passage window of a document (a sentence or a line) is
-looked up in it, and its TF-IDF containment in a label's exemplars is computed, with document
-frequencies counted over the whole corpus: n-grams of ordinary text weigh little, n-grams that no
-exemplar has count against the window. A document whose windows are covered, headings and
-navigation aside, is residue. Placeholders are looked up in the same way among bracketed spans.
+Exemplars of residue are a table of labels and texts. An inverted index leads from their features to
+them; every passage window of a document is looked up in it. Windows are sentences and lines, with
+n-grams of letters as features, and bracketed spans, whose features are symbols as well. An exemplar
+that a window shares features with is retrieved, and the window's TF-IDF containment in the retrieved
+exemplars of a label is computed, with document frequencies counted over the whole corpus: n-grams of
+ordinary text weigh little, n-grams that no exemplar has count against the window. A document whose
+windows are covered, headings and navigation aside, is residue. A placeholder must be contained in
+its span whole, in order, so that its containment is 1 whatever its features weigh; a word typed from
+the letters of one exemplar is contained in it whole as well.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ DOCUMENT_COVERAGE = 0.5
 OTHER_WEIGHT = 0.75
 #: Letters that a heading may have: a line without the end of a sentence.
 HEADING_LETTERS = 12
+#: N-grams that a window shares with an exemplar that is retrieved for it.
+SHARED = 2
+#: Exemplars that a table may have: they go to every task.
+MAX_EXEMPLARS = 50_000
 #: A word of so many letters from one alphabet is senseless, if most words of its window are.
 SENSELESS_WORD = 3
 _SPACE = np.uint32(0x20)
@@ -46,17 +53,37 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-class Placeholders:
-    """Inverted index of the placeholder exemplars by their opening token."""
+def _keyword_features(token: str) -> list[str]:
+    """What a token is found by: a symbol by itself, a word by its pairs of letters, as it may be glued to others."""
+    return [token[i : i + 2] for i in range(len(token) - 1)] if token[0].isalnum() and len(token) > 1 else ["__" if token.startswith("__") else token]
+
 
-    def __init__(self):
-        self.by_opening: dict[str, list[tuple[str, ...]]] = {}
-        self.short = {tuple(e.lower().replace(" w ", " W ").split(" ")) for e in X.SHORT}
-        for exemplar in X.PLACEHOLDERS:
-            parts = tuple("W" if p == "W" else "0" if p == "0" else p.lower() for p in exemplar.split(" "))
-            self.by_opening.setdefault(parts[0], []).append(parts)
-        for parts in self.by_opening.values():
-            parts.sort(key=len, reverse=True)
+class Placeholders:
+    """Inverted index of the placeholder exemplars by their symbols and pairs of letters."""
+
+    def __init__(self, exemplars: list[tuple[str, str]]):
+        self.parts: list[tuple[str, ...]] = []
+        self.short: set[tuple[str, ...]] = set()
+        for label, exemplar in exemplars:
+            if label in ("placeholder", "short_placeholder"):
+                parts = tuple(p if p in ("W", "0") else p.lower() for p in exemplar.split(" "))
+                self.parts.append(parts)
+                if label == "short_placeholder":
+                    self.short.add(parts)
+        self.parts.sort(key=len, reverse=True)
+        self.features = [frozenset(f for p in parts if p not in ("W", "0") for f in _keyword_features(p)) for parts in self.parts]
+        #: the exemplars of each opening symbol, whose other features are then looked for in the span
+        self.postings: dict[str, list[int]] = {}
+        for k, parts in enumerate(self.parts):
+            self.postings.setdefault(parts[0], []).append(k)
+
+    def retrieved(self, span: list[str]) -> list[tuple[str, ...]]:
+        """The exemplars whose features a span has, all of them; in order of length."""
+        known = self.postings.get("__" if span[0].startswith("__") else span[0])
+        if not known:
+            return []
+        features = {f for token in span for f in _keyword_features(token)}
+        return [self.parts[k] for k in known if self.features[k] <= features]
 
     def contained(self, parts: tuple[str, ...], window: list[str]) -> bool:
         """True if the window holds the whole exemplar, from its start, in order: a containment of 1."""
@@ -90,9 +117,9 @@ class Placeholders:
             window = _tokens(low[m.start() : m.start() + _NEAR])[:_NEAR_TOKENS]
             if not window:
                 continue
-            known = self.by_opening.get("__" if window[0].startswith("__") else window[0], ())
-            for span in (window, self.span(low, m.start(), {parts[-1] for parts in known})):
-                for parts in known:
+            known = self.postings.get("__" if window[0].startswith("__") else window[0], ())
+            for span in (window, self.span(low, m.start(), {self.parts[k][-1] for k in known})):
+                for parts in self.retrieved(span) if span else ():
                     if self.contained(parts, span):
                         return " ".join(parts)
         return None
@@ -169,18 +196,24 @@ class Windows:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32)), self.window[at]
 
-    def senseless(self, masks: np.ndarray) -> np.ndarray:
-        """Share of each window's letters in words typed from one alphabet."""
+    def senseless(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each window's letters in words that one exemplar of letters holds whole, and the first such exemplar.
+
+        `masks` has the exemplars of each letter, as bits.
+        """
         start = self.letter & ~np.append(False, self.letter[:-1] & (self.window[1:] == self.window[:-1])) if len(self.points) else self.letter
         at = np.flatnonzero(start)
         if not len(at):
-            return np.zeros(self.n)
+            return np.zeros(self.n), np.zeros(self.n, np.int64)
         inside = np.flatnonzero(self.letter)
         word = (np.cumsum(start) - 1)[inside]
         cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         mask, length = np.bitwise_and.reduceat(masks[self.points[inside]], cut), np.diff(np.append(cut, len(inside)))
-        bad = (mask > 0) & (length >= SENSELESS_WORD)
-        return np.bincount(self.window[at][bad], weights=length[bad], minlength=self.n) / np.maximum(self.letters, 1)
+        bad = np.flatnonzero((mask > 0) & (length >= SENSELESS_WORD))
+        which = np.zeros(self.n, np.int64)
+        lowest = mask[bad] & (~mask[bad] + np.uint64(1))
+        which[self.window[at][bad[::-1]]] = np.log2(lowest[::-1].astype(np.float64)).astype(np.int64)
+        return np.bincount(self.window[at][bad], weights=length[bad], minlength=self.n) / np.maximum(self.letters, 1), which
 
 
 _STOPS = np.array([ord(c) for c in ".。!?！？"], np.uint32)
@@ -189,16 +222,21 @@ _STOPS = np.array([ord(c) for c in ".。!?！？"], np.uint32)
 class Index:
     """From n-grams to the exemplars that have them."""
 
-    def __init__(self, to: np.ndarray):
-        texts = [X.FILLER, X.ERRORS, X.NOTICES, X.NAVIGATION]
-        self.exemplars = [e for group in texts for e in group]
-        label = np.repeat(np.arange(len(texts)), [len(g) for g in texts])
+    def __init__(self, exemplars: list[tuple[str, str]], to: np.ndarray):
+        self.alphabets = [text for label, text in exemplars if label == "filler_letters"]
+        if len(self.alphabets) > 64:
+            raise ValueError("at most 64 exemplars of letters can be told apart")
+        self.masks = np.zeros(cp.N, np.uint64)
+        for k, form in enumerate(canonical(self.alphabets, to)):
+            self.masks[[ord(c) for c in form]] |= np.uint64(1 << k)
+        mine = [(LABELS.index(label), text) for label, text in exemplars if label in LABELS]
+        self.exemplars, label = [text for _, text in mine], np.array([k for k, _ in mine], np.int64)
         w = Windows([re.sub(r"[.。!?！？]", " ", e) for e in self.exemplars], to)
         hashes, window = w.grams()
         self.hashes, self.gram = np.unique(hashes, return_inverse=True)
         self.exemplar = w.text[window]
         self.label = label
-        self.member = np.zeros((len(self.hashes), len(texts)), bool)
+        self.member = np.zeros((len(self.hashes), len(LABELS)), bool)
         self.member[self.gram, label[self.exemplar]] = True
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
@@ -209,6 +247,8 @@ class Index:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the n-grams that exemplars have, and their indices."""
         maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
+        if not len(self.hashes):
+            return maybe, maybe
         index = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
         good = self.hashes[index] == hashes[maybe]
         return maybe[good], index[good]
@@ -236,16 +276,51 @@ def document_frequencies(docs: DataFrame, index, to) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def classify(texts: list[str], x: Index, idf: np.ndarray, idf_other: float, masks: np.ndarray, to: np.ndarray) -> list[tuple[int, str, float, str]]:
+def contained(w: Windows, x: Index, window: np.ndarray, at: np.ndarray, gram: np.ndarray, idf: np.ndarray, idf_other: float) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF containment of each window in the exemplars of each label that are retrieved for it, and the best exemplar of each label.
+
+    A window that all exemplars of a label together don't cover enough needs no retrieval: the result
+    has their bound there, which is too little.
+    """
+    weight = idf_other * np.bincount(window, minlength=w.n)
+    weight += np.bincount(window[at], weights=idf[gram] - idf_other, minlength=w.n)
+    weight = np.maximum(weight, 1e-9)
+    coverage = np.stack([np.bincount(window[at], weights=idf[gram] * x.member[gram, k], minlength=w.n) for k in range(len(LABELS))], axis=1) / weight[:, None]
+    best = np.full((w.n, len(LABELS)), -1)
+    likely = np.flatnonzero(coverage.max(axis=1)[window[at]] >= WINDOW_COVERAGE)
+    if not len(likely):
+        return coverage, best
+    g = gram[likely]
+    n = x.first[g + 1] - x.first[g]
+    entry = np.repeat(np.arange(len(likely)), n)  # a found n-gram of the window, once for each exemplar that has it
+    exemplar = x.postings[np.repeat(x.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    of = window[at[likely]]
+    pair, which = np.unique(of[entry] * len(x.exemplars) + exemplar, return_inverse=True)
+    # distinct n-grams that window and exemplar share, and what they weigh
+    cell = np.unique(which * np.int64(len(x.hashes)) + g[entry])
+    shared = np.bincount(cell // len(x.hashes), minlength=len(pair))
+    overlap = np.bincount(cell // len(x.hashes), weights=idf[cell % len(x.hashes)], minlength=len(pair))
+    good = shared >= SHARED
+    covered = np.zeros((len(likely), len(LABELS)), bool)
+    covered[entry[good[which]], x.label[exemplar[good[which]]]] = True
+    those = np.unique(of)
+    for k in range(len(LABELS)):
+        coverage[those, k] = np.bincount(of, weights=idf[g] * covered[:, k], minlength=w.n)[those] / weight[those]
+    order = np.argsort(overlap, kind="stable")
+    order = order[good[order]]
+    best[(pair // len(x.exemplars))[order], x.label[(pair % len(x.exemplars))[order]]] = (pair % len(x.exemplars))[order]
+    return coverage, best
+
+
+def classify(texts: list[str], x: Index, idf: np.ndarray, idf_other: float, to: np.ndarray) -> list[tuple[int, str, float, str]]:
     """(text, label, coverage, exemplar) of the texts that are residue as a whole."""
     w = Windows(texts, to)
     hashes, window = w.grams()
     at, gram = x.find(hashes)
-    weight = idf_other * np.bincount(window, minlength=w.n)
-    weight += np.bincount(window[at], weights=idf[gram] - idf_other, minlength=w.n)
-    held = np.stack([np.bincount(window[at], weights=idf[gram] * x.member[gram, k], minlength=w.n) for k in range(len(LABELS))], axis=1)
-    coverage = held / np.maximum(weight, 1e-9)[:, None]
-    coverage[:, 0] = np.maximum(coverage[:, 0], w.senseless(masks))
+    coverage, best = contained(w, x, window, at, gram, idf, idf_other)
+    typed, alphabet = w.senseless(x.masks)
+    by_letters = typed > coverage[:, 0]
+    coverage[:, 0] = np.maximum(coverage[:, 0], typed)
     label = np.argmax(coverage, axis=1)
     residue = (coverage.max(axis=1) >= WINDOW_COVERAGE) & (w.letters > 0)
     navigation = residue & (label == LABELS.index("navigation"))
@@ -265,38 +340,44 @@ def classify(texts: list[str], x: Index, idf: np.ndarray, idf_other: float, mask
     out = []
     for d in found.tolist():
         s = strongest[d]
-        mine = gram[window[at] == s]
-        posting = np.concatenate([x.postings[x.first[g] : x.first[g + 1]] for g in mine]) if len(mine) else np.zeros(0, np.int64)
-        posting = posting[x.label[posting] == label[s]]
-        out.append((d, LABELS[label[s]], float(share[d]), x.exemplars[np.bincount(posting).argmax()] if len(posting) else "letters of one alphabet"))
+        exemplar = x.alphabets[alphabet[s]] if label[s] == 0 and by_letters[s] else x.exemplars[best[s, label[s]]]
+        out.append((d, LABELS[label[s]], float(share[d]), exemplar))
     return out
 
 
-def residue_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def residue_documents(df: DataFrame, doc_id: str, text: str, exemplars: DataFrame | None = None) -> DataFrame:
     """(doc_id, reason, coverage, exemplar) of the documents to be excluded.
 
-    `reason` is placeholder, filler, error_page or script_notice; `exemplar` is the labelled one
-    that it is most like. Null, empty and letterless texts are not residue, unless they hold a
-    placeholder. A document given twice comes out twice. Whole texts are searched, of any length;
-    extra columns are not read. Nothing but counts of the exemplars' n-grams is shuffled.
+    `exemplars` has (label, text), with the labels placeholder, short_placeholder (of four words at
+    most), filler, filler_letters, error_page, script_notice and navigation; without it,
+    residue_exemplars.table() is used. More than MAX_EXEMPLARS raise ValueError. `reason` is
+    placeholder, filler, error_page or script_notice; `exemplar` is the retrieved one that most of the
+    document's residue is contained in, and `coverage` the share of the text that is covered. Null,
+    empty and letterless texts are not residue, unless they hold a placeholder. A document given twice
+    comes out twice. Whole texts are searched, of any length; extra columns are not read. Nothing but
+    counts of the exemplars' n-grams is shuffled.
     """
     require_columns(df, doc_id, text)
     sc = df.sparkSession.sparkContext
+    if exemplars is None:
+        known_exemplars = X.table()
+    else:
+        require_columns(exemplars, "label", "text")
+        given = exemplars.where("label is not null and text <> ''").select("label", "text").distinct()
+        known_exemplars = sorted(map(tuple, given.limit(MAX_EXEMPLARS + 1).collect()))
+        if len(known_exemplars) > MAX_EXEMPLARS:
+            raise ValueError(f"more than {MAX_EXEMPLARS} exemplars are too many to send to every task")
     to = sc.broadcast(text_table(df.sparkSession))
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
-    index = sc.broadcast(Index(to.value))
+    index = sc.broadcast(Index(known_exemplars, to.value))
     count, n_docs = document_frequencies(rows.select("text"), index, to)
     idf, idf_other = np.log((n_docs + 1) / (count + 1)) + 0.1, float(OTHER_WEIGHT * np.log(n_docs + 1) + 0.1)
-    masks = np.zeros(cp.N, np.uint32)
-    for k, alphabet in enumerate(X.ALPHABETS):
-        for c in canonical([alphabet], to.value)[0]:
-            masks[ord(c)] |= 1 << k
-    known = sc.broadcast((idf, idf_other, masks))
+    known = sc.broadcast((idf, idf_other))
     out = T.StructType([*rows.select("doc_id").schema.fields, T.StructField("reason", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("exemplar", T.StringType())])
     marks = re.compile(r"[{}\[\]<>%@$#_［］＜＞｛｝＿％＠＄＃（(]|&lt;")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placeholders = Placeholders()
+        placeholders = Placeholders(known_exemplars)
         for batch in cp.slices(batches):
             texts = batch["text"].to_pylist()
             found = {d: rest for d, *rest in classify(texts, index.value, *known.value, to.value)}

@@ -1,6 +1,7 @@
 """Labelled exemplars of template residue, filler, error pages and script notices.
 
-Fixed values. W in a placeholder stands for words, of SHORT placeholders one to four, 0 for digits.
+A set to start from: residue_documents() takes any other table of labels and texts. Fixed values.
+W in a placeholder stands for words, of SHORT placeholders one to four, 0 for digits.
 """
 
 # Placeholders, in compatibility-composed form.
@@ -39,6 +40,8 @@ ALPHABETS = ("qwerty", "uiop", "asdfgh", "hjkl", "zxcvbnm", "ㅂㅈㄷㄱㅅㅛ"
 
 # Error pages and error messages.
 ERRORS = (
+    "Oops! That page can't be found.", "It looks like nothing was found at this location. Maybe try a search?", "This page isn't working right now.", "This site can't be reached.", "We're having trouble finding that site.", "The connection was reset.", "Sorry, the page you are looking for does not exist.", "We can't find the page you're looking for.",
+    "The server encountered an internal error or misconfiguration and was unable to complete your request.", "The requested URL was not found on this server.", "You don't have permission to access this resource.", "The resource you are looking for has been removed, had its name changed, or is temporarily unavailable.", "Error establishing a database connection", "Service Temporarily Unavailable", "Gateway Time-out", "Application error: a client-side exception has occurred.", "Checking your browser before accessing the site.", "Please complete the security check to access this page.", "Unhandled exception", "Warning: access denied for user", "Notice: undefined index", "Parse error: syntax error, unexpected end of file", "This content is not available in your region.", "The link you followed may have expired.",
     "404 Not Found", "The page you requested could not be found.", "Page not found", "Document not found", "Record not found.", "Internal server error", "Bad gateway", "Service unavailable", "Access denied", "Forbidden", "Permission denied", "Request timed out", "Session expired", "Database connection failed", "Whoops, something broke", "Something went wrong.", "An unexpected error occurred.", "Oops, that did not work.",
     "The server could not complete your request.", "The index could not be reached.", "The gateway could not answer in time.", "The server is temporarily unavailable.", "The service is down for maintenance.", "Your document is restricted", "Your document is no longer available", "This record is no longer available", "The page has expired", "Your request could not be processed", "Your session has expired.", "You do not have permission to view this page.", "Please log in again.",
     "Please try again later.", "Please try again in a few minutes.", "Return to the front page.", "Go back to the catalogue.", "The address may be wrong.", "Check the address.", "It may have been removed or renamed.", "It may have been moved by its owner.", "The link may be broken.", "Request id", "Error code", "Reference number", "Contact the administrator.", "Too many requests", "The file is missing or unavailable",
@@ -64,3 +67,10 @@ NOTICES = (
 NAVIGATION = (
     "원문 보기 | 검색 | 도움말", "목록 이전 다음", "원문 뷰어", "자료관", "Document viewer", "Home | Search | Help", "Previous Next", "목록으로", "처음으로", "ホーム 検索 ヘルプ", "首页 搜索 帮助", "Inicio | Buscar | Ayuda", "Accueil | Recherche | Aide", "로그인", "메뉴", "전자 도서관", "디지털 자료실",
 )
+
+
+def table() -> list[tuple[str, str]]:
+    """(label, text) of the exemplars above: what residue_documents() takes if it is given none."""
+    placeholders = [("short_placeholder" if p in SHORT else "placeholder", p) for p in PLACEHOLDERS]
+    rest = {"filler": FILLER, "filler_letters": ALPHABETS, "error_page": ERRORS, "script_notice": NOTICES, "navigation": NAVIGATION}
+    return placeholders + [(label, text) for label, texts in rest.items() for text in texts]

@@ -185,7 +185,7 @@ def test_residue_is_found(spark, text):
 
 
 def test_long_placeholders():
-    own = residue.Placeholders()
+    own = residue.Placeholders(residue.X.table())
     for blank in (
         "[insert the full title of the volume here]", "[이 책의 완전한 제목과 저자의 이름을 여기에 입력하세요]", "[escriba el nombre completo del autor del libro]", "<Insert title, year and (if known) the place of this volume>",
         "[insert " + "the full name of the author and " * 20 + "title here]", "{{ a value of more than four words }}", "[insert\nname here]",
@@ -195,6 +195,27 @@ def test_long_placeholders():
         assert own.find(REAL + note + " " + REAL) is None, note
 
 
+#: Pages that no exemplar states in these words.
+UNLISTED = (
+    "Oops! The page can't be found here. It may have been moved or removed.", "Sorry, this page could not be found on the server. Please check the address.", "The server encountered an error and could not complete the request. Please try again.",
+    "Access to this page was denied. Please contact the administrator.", "요청하신 페이지를 찾을 수 없습니다. 주소를 다시 확인해 주십시오.", "서버 오류가 발생하였습니다. 잠시 후 다시 접속하여 주십시오.", "La página no se ha encontrado. Compruebe la dirección e inténtelo de nuevo.",
+    "La page demandée est introuvable. Veuillez vérifier l'adresse.", "ページは見つかりませんでした。アドレスを確認してください。", "Please enable scripts in your browser to view this document.", "이 원문을 보려면 자바스크립트를 허용해 주십시오.", "Habilite JavaScript en su navegador para continuar.",
+)
+
+
+def test_unlisted_pages(spark):
+    df = spark.createDataFrame(list(enumerate((*UNLISTED, *[REAL] * 30))), "doc_id int, text string")
+    found = residue.residue_documents(df, "doc_id", "text").collect()
+    assert len({r["doc_id"] for r in found} & set(range(len(UNLISTED)))) >= 0.9 * len(UNLISTED) and all(r["doc_id"] < len(UNLISTED) and r["exemplar"] and r["coverage"] >= 0.5 for r in found)
+
+
+def test_own_exemplars(spark):
+    df = spark.createDataFrame([(1, "Under construction, come back soon."), (2, "Please enable JavaScript to continue."), (3, REAL + "[[fill: name]]"), (4, REAL), (5, "qqxx xxqq qxqx")], "doc_id int, text string")
+    own = spark.createDataFrame([("error_page", "Under construction, come back soon", 0), ("placeholder", "[[ fill : W ]]", 0), ("filler_letters", "qx", 0), (None, "x", 0), ("filler", None, 0)], "label string, text string, doc_id int")
+    got = {r["doc_id"]: (r["reason"], r["exemplar"]) for r in residue.residue_documents(df, "doc_id", "text", own).collect()}
+    assert got == {1: ("error_page", "Under construction, come back soon"), 3: ("placeholder", "[[ fill : W ]]"), 5: ("filler", "qx")}
+
+
 def test_real_texts_are_kept(spark):
     texts = [None, "", " \n", REAL, REAL * 3 + "\nPlease enable JavaScript to continue.", REAL + "{追記}", REAL + "□□□ 二字缺", REAL + "[역주 67]", "서식에는 성명 ______ 이라 쓴 칸이 있었다. " + REAL, REAL + "<家書> 條", LONG, "12. 3. 4"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, reason string")
