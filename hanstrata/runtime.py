@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="hanstrata-")
+        own = tempfile.mkdtemp(prefix="hanstrata-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _local_dirs[app] = "file://" + own
     return _local_dirs[app]
 
 
@@ -66,8 +71,21 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be moved to {to}")
 
 
+def fingerprint(spark: SparkSession, path: str, *more: str) -> str:
+    """A name for the files below a path, by their names, sizes and times, and for whatever else is given."""
+    fs, target = _file_system(spark, path)
+    found, seen = fs.listFiles(target, True), []
+    while found.hasNext():
+        f = found.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join([*sorted(seen), *more]).encode()).hexdigest()
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint in the shared folder; it survives the loss of executors."""
+    """A reliable checkpoint in the shared folder; it survives the loss of executors.
+
+    Spark deletes it with the DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
