@@ -10,9 +10,9 @@ from hanstrata.llm.language import document_languages, label_repairs
 from hanstrata.llm.leakage import leaked_items
 from hanstrata.llm.mixing import mix, mix_records, mix_report
 from hanstrata.llm.residue import residue_documents
-from hanstrata.llm.top_items import top_items
+from hanstrata.llm.top_items import row_group_report, top_items
 from hanstrata.llm.visual_form import inconsistent_vowels, lookalike_pairs, visual_classes, vowel_table, with_form
-from hanstrata.runtime import table
+from hanstrata.runtime import fingerprint, shared_dir, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 TOP_VALUES = 20
@@ -31,14 +31,24 @@ def p4_top_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _top(spark, folder).select("field_name", "item_value", "n_rows", F.col("place").cast("int").alias("place"))
 
 
+_FIRST = dict(group=["run_name", "time_window_id"], item="wordform_id", score="token_count_in_window", ties=["first_observed_year_in_window", "token", "vowel_seq"], n=TOP_WORDFORMS)
+
+
+def _windows(spark: SparkSession, folder: str) -> dict:
+    """The table, and where its clustered layout is kept: by what its files are, so that other files have another."""
+    path = f"{folder}/window_wordforms.parquet"
+    return {"df": table(spark, folder, "window_wordforms"), "keep": f"{shared_dir(spark)}/window_wordforms-{fingerprint(spark, path, *map(str, _FIRST.values()))}"}
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    first = top_items(
-        table(spark, folder, "window_wordforms"), ["run_name", "time_window_id"], "wordform_id", "token_count_in_window",
-        ["first_observed_year_in_window", "token", "vowel_seq"], TOP_WORDFORMS, "frequency_rank_in_window",
-    )
+    first = top_items(**_windows(spark, folder), **_FIRST, rank_name="frequency_rank_in_window")
     return first.select("run_name", "time_window_id", "frequency_rank_in_window", "wordform_id")
 
 
+def p2_row_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return row_group_report(**_windows(spark, folder), **_FIRST)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     texts = lookalike_pairs(table(spark, folder, "raw_documents"), "id", "text")
     vowels = inconsistent_vowels(table(spark, folder, "token_rows"), "token_row_id", "vowels")
@@ -93,7 +103,7 @@ def p5_consistent_vowels(spark: SparkSession, folder: str) -> DataFrame:
     return with_form(rows, "vowels", "vowels_consistent", vowel_table(), compose=False)
 
 
-QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p2_row_groups": p2_row_groups, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (
