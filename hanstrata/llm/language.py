@@ -1,17 +1,20 @@
-"""Language of documents and of their lines, by a linear-chain conditional random field.
+"""Language of documents, of their lines, and of parts of lines, by a linear-chain conditional random field.
 
 Words are labelled in the order of their line. What a word says follows from its affixes, letter
 n-grams, scripts and its entry in the lexicon, all hashed to one weight table; how languages follow
 each other within a line is a learned matrix of transitions. Forward-backward gives each word's
 distribution. A line is in the language of most of its letters, those of brackets aside; a
-document in that of most of its letters.
+document in that of most of its letters; runs of words of one language are the parts of a line.
 
 The model is fitted on a bounded sample of labelled rows (SampleBounds); labels may be wrong in
-part: lines that a first fit contradicts are left out of the second.
+part: lines that a first fit contradicts are left out of the second. Labels of documents tell nothing
+of switches within a line, so trusted lines of different languages are joined to sequences that have
+them: transitions are learned from these. Fits of different folds run as tasks of their own.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,20 +33,24 @@ from hanstrata.runtime import require_columns
 FEATURES = 1 << 17
 #: Weight of words in brackets and quotation marks for the language of a line.
 BRACKETED = 0.05
-#: Trusted lines of a language from which they are judged a second time.
-FEW_LINES = 100
+#: Of neighbouring sample lines in different languages, one in so many is joined to the one before.
+JOINED = 3
 _OPEN, _CLOSE = "(（「『《〈[【［“‘{<", ")）」』》〉]】］”’}>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class SampleBounds:
-    """How many labelled documents the model is fitted on, and how long they may be."""
+    """How many labelled documents the model is fitted on, how long they may be, and how they are used.
+
+    Of a language with fewer trusted sample lines than `few_lines`, they are not judged a second time.
+    """
 
     documents_per_language: int = 300
     characters: int = 4000
     rounds: tuple[int, int] = (20, 40)
     folds: int = 3
+    few_lines: int = 100
 
 
 def _hash(*parts) -> np.ndarray:
@@ -99,27 +106,35 @@ class Words:
             place = np.arange(len(word)) - np.append(0, ends[:-1] + 1)[word]
             power = np.cumprod(np.full(max(1, int(place.max()) + 1), 0x100000001B3, np.uint64))
             lexicon = np.add.reduceat(p * power[place], np.append(0, ends[:-1] + 1))
-        w = np.arange(self.n)
-        last, last2 = p[ends], before[ends]
+        #: equal words are one kind, and only kinds have features
+        _, of_kind, self.kind = np.unique(lexicon, return_index=True, return_inverse=True)
+        self.kinds = len(of_kind)
+        renumber = np.full(self.n, -1)
+        renumber[of_kind] = np.arange(self.kinds)
+        w, own = np.arange(self.kinds), renumber[word] >= 0
+        last, last2 = p[ends][of_kind], before[ends][of_kind]
+        letter_of = renumber[word[own]]
         features = [
-            (word, _hash(1, p)), (word, _hash(2, before, p)), (word, _hash(3, before2, before, p)),
-            (w, _hash(4, last)), (w, _hash(5, last2, last)), (w, _hash(7, lexicon)), (w, _hash(8, before2[ends], last2, last)),
+            (letter_of, _hash(1, p[own])), (letter_of, _hash(2, before[own], p[own])), (letter_of, _hash(3, before2[own], before[own], p[own])),
+            (w, _hash(4, last)), (w, _hash(5, last2, last)), (w, _hash(7, lexicon[of_kind])), (w, _hash(8, before2[ends][of_kind], last2, last)),
         ]
         row, column = np.concatenate([f[0] for f in features]), np.concatenate([f[1] for f in features])
         order = np.argsort(row, kind="stable")
         self.row, self.feature = row[order], column[order]
-        self.scale = (1 / np.sqrt(np.maximum(1, np.bincount(self.row, minlength=self.n)))).astype(np.float32)
-        self.begin = np.searchsorted(self.row, np.arange(self.n)) if self.n else np.zeros(0, np.int64)
+        self.scale = (1 / np.sqrt(np.maximum(1, np.bincount(self.row, minlength=self.kinds)))).astype(np.float32)
+        self.begin = np.searchsorted(self.row, np.arange(self.kinds))
+        self.at, self.end = np.flatnonzero(start), inside[ends] + 1
+        self.first_of_text = offsets
 
     def emissions(self, weights: np.ndarray, scripts: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.zeros((0, weights.shape[1]), np.float32)
-        out = np.empty((self.n, weights.shape[1]), np.float32)
-        for a in range(0, self.n, 1 << 14):
-            z = min(self.n, a + (1 << 14))
-            lo, hi = self.begin[a], self.begin[z] if z < self.n else len(self.row)
+        out = np.empty((self.kinds, weights.shape[1]), np.float32)
+        for a in range(0, self.kinds, 1 << 14):
+            z = min(self.kinds, a + (1 << 14))
+            lo, hi = self.begin[a], self.begin[z] if z < self.kinds else len(self.row)
             out[a:z] = np.add.reduceat(weights[self.feature[lo:hi]], self.begin[a:z] - lo, axis=0)
-        return out * self.scale[:, None] + scripts[self.scripts]
+        return (out * self.scale[:, None])[self.kind] + scripts[self.scripts]
 
 
 def _shares(x: np.ndarray) -> np.ndarray:
@@ -174,9 +189,24 @@ class Model:
     start: np.ndarray
     transition: np.ndarray
 
+    def words(self, words: Words) -> np.ndarray:
+        """The distribution of each word."""
+        return forward_backward(words.emissions(self.weights, self.scripts), words.line, self.start, self.transition)[0]
+
+    def parts(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last word, language and confidence of each run of words of one language within a line."""
+        marginal = self.words(words)
+        if not words.n:
+            return (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+        best = marginal.argmax(axis=1)
+        first = np.flatnonzero(np.append(True, (words.line[1:] != words.line[:-1]) | (best[1:] != best[:-1])))
+        last = np.append(first[1:], words.n) - 1
+        sure = np.add.reduceat(marginal[np.arange(words.n), best] * words.letters, first) / np.maximum(np.add.reduceat(words.letters, first), 1)
+        return first, last, best[first], sure
+
     def lines(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language, confidence and letters of each line; language -1 for lines without letters."""
-        marginal, *_ = forward_backward(words.emissions(self.weights, self.scripts), words.line, self.start, self.transition)
+        marginal = self.words(words)
         weight = words.letters * np.where(words.bracketed, BRACKETED, 1.0)
         mass = np.stack([np.bincount(words.line, weights=weight * marginal[:, k], minlength=words.n_lines) for k in range(len(self.languages))], axis=1)
         letters = np.bincount(words.line, weights=words.letters, minlength=words.n_lines)
@@ -192,15 +222,25 @@ def _fit(words: Words, label: np.ndarray, model: Model, rounds: int, use: np.nda
     if not keep.any():
         return
     line, gold = words.line[keep], label[words.line[keep]]
-    # rows of the kept words, features sorted for the gradient
-    mask = keep[words.row]
-    renumber = np.cumsum(keep) - 1
+    # kinds of the kept words, their features sorted for the gradient
+    kinds, kind = np.unique(words.kind[keep], return_inverse=True)
+    renumber = np.full(words.kinds, -1)
+    renumber[kinds] = np.arange(len(kinds))
+    mask = renumber[words.row] >= 0
     row, feature = renumber[words.row[mask]], words.feature[mask]
-    scale, scripts = words.scale[keep], words.scripts[keep]
+    scale, scripts = words.scale[kinds], words.scripts[keep]
     by_feature = np.argsort(feature, kind="stable")
     used, cut = np.unique(feature[by_feature], return_index=True)
-    begin = np.searchsorted(row, np.arange(len(line)))
-    first = np.append(True, line[1:] != line[:-1])
+    begin = np.searchsorted(row, np.arange(len(kinds)))
+    by_kind, kind_cut = np.argsort(kind, kind="stable"), np.searchsorted(np.sort(kind), np.arange(len(kinds)))
+    # sequences: lines, some of them joined to the one before, which is in another language
+    begins = np.append(True, line[1:] != line[:-1])
+    at = np.flatnonzero(begins)
+    other = np.append(False, gold[at[1:]] != gold[at[:-1]])
+    at = at[~(other & (_hash(9, line[at]) % JOINED == 0))]
+    first = np.zeros(len(line), bool)
+    first[at] = True
+    line = np.cumsum(first)
     gold_next = np.zeros((k, k))
     np.add.at(gold_next, (gold[:-1][~first[1:]], gold[1:][~first[1:]]), 1)
     gold_start = np.bincount(gold[first], minlength=k)
@@ -210,12 +250,12 @@ def _fit(words: Words, label: np.ndarray, model: Model, rounds: int, use: np.nda
     size = np.bincount(gold, minlength=k)
     balance = np.clip(np.sqrt(size[size > 0].mean() / np.maximum(size, 1)), 0.5, 4).astype(np.float32)  # rare languages are learned as well
     for step in range(1, rounds + 1):
-        emission = np.add.reduceat(model.weights[feature], begin, axis=0) * scale[:, None] + model.scripts[scripts]
+        emission = (np.add.reduceat(model.weights[feature], begin, axis=0) * scale[:, None])[kind] + model.scripts[scripts]
         marginal, expected, starts = forward_backward(emission, line, model.start, model.transition, pairs=True)
         miss = (onehot - marginal) * balance[gold][:, None]
         by_scripts = np.zeros_like(model.scripts)
         np.add.at(by_scripts, scripts, miss)
-        miss *= scale[:, None]
+        miss = np.add.reduceat(miss[by_kind], kind_cut, axis=0) * scale[:, None]
         gradient = {"w": np.add.reduceat(miss[row[by_feature]], cut, axis=0) / n - decay / 50 * model.weights[used], "x": by_scripts / n - decay / 50 * model.scripts, "s": (gold_start - starts) / n - decay * model.start, "t": (gold_next - expected) / n - decay * model.transition}
         for name, g in gradient.items():
             m, v = state[name]
@@ -237,38 +277,86 @@ def _empty(names: list[str]) -> Model:
     return Model(names, np.zeros((FEATURES, k), np.float32), np.zeros((64, k), np.float32), np.zeros(k, np.float32), np.zeros((k, k), np.float32))
 
 
-def train(texts: list[str], languages: list[str], to: np.ndarray, rounds: tuple[int, int], folds: int) -> Model:
+class Sample:
+    """Labelled texts, in an order in which languages alternate, so that neighbouring lines are in different ones."""
+
+    def __init__(self, texts: list[str], languages: list[str], to: np.ndarray):
+        order = np.argsort([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], kind="stable")
+        self.names = sorted(set(languages))
+        self.words = Words([texts[i] for i in order], to)
+        self.given = np.array([self.names.index(languages[i]) for i in order], np.int64)
+        self.label = self.given[self.words.line_text]
+
+    def fold(self, folds: int) -> np.ndarray:
+        return (self.words.text_key % folds)[self.words.line_text]
+
+    def judge(self, fold: int, folds: int, rounds: int, trusted: np.ndarray) -> np.ndarray:
+        """The lines of a fold whose label a model of the other folds' trusted lines agrees with."""
+        model, mine = _empty(self.names), self.fold(folds) == fold
+        _fit(self.words, self.label, model, rounds, ~mine & trusted)
+        found, _, letters = model.lines(self.words)
+        mass = np.zeros((len(self.given), len(self.names)))
+        np.add.at(mass, (self.words.line_text[found >= 0], found[found >= 0]), letters[found >= 0])
+        return mine & (found == self.label) & (mass.argmax(axis=1) == self.given)[self.words.line_text]
+
+    def trust(self, agreed: np.ndarray, trusted: np.ndarray, again: bool, few_lines: int) -> np.ndarray:
+        """The lines that are trusted from now on.
+
+        Labels of a rare language are mostly wrong ones at first; later, one that loses half of what
+        was trusted, or has few lines left, is not judged by the others once more.
+        """
+        count = lambda m: np.bincount(self.label[m], minlength=len(self.names))
+        judged = (count(agreed) * 2 >= count(trusted)) & (count(trusted) >= few_lines) if again else np.full(len(self.names), agreed.any())
+        return np.where(judged[self.label], agreed, trusted)
+
+
+def _in_tasks(spark, jobs: list[int], work) -> dict[int, bytes]:
+    """work(job) of each job, all at once, in a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job in batch["job"].to_pylist():
+                yield pa.RecordBatch.from_pydict({"job": pa.array([job], pa.int32()), "result": pa.array([work(job)], pa.binary())})
+
+    rows = spark.range(0, len(jobs), 1, len(jobs)).selectExpr("cast(id as int) as job")
+    return {r["job"]: bytes(r["result"]) for r in rows.mapInArrow(run, "job int, result binary").collect()}
+
+
+def train(spark, texts: list[str], languages: list[str], to: np.ndarray, bounds: SampleBounds) -> Model:
     """Fits a model on texts and their languages, some of them wrong.
 
     Each fold of the texts is labelled by a model of the others, which cannot know its wrong
-    labels by heart. The last fit leaves out texts and lines that were labelled otherwise.
+    labels by heart. The last fit leaves out texts and lines that were labelled otherwise. What goes
+    to the tasks is the sample, what comes back a model: both of a bounded size.
     """
     names = sorted(set(languages))
-    words = Words(texts, to)
-    if not words.n:
+    if not names:
         return _empty(names)
-    index = {name: i for i, name in enumerate(names)}
-    given = np.array([index[x] for x in languages])
-    label = given[words.line_text]
-    fold = (words.text_key % folds)[words.line_text]
-    trusted = np.ones(words.n_lines, bool)
+    shared = spark.sparkContext.broadcast((texts, languages, to, bounds))
+    trusted = None
     for again in (False, True):  # the second time, the judges have learned from trusted lines only
-        agreed = np.zeros(words.n_lines, bool)
-        for f in range(folds):
-            model = _empty(names)
-            _fit(words, label, model, rounds[0], (fold != f) & trusted)
-            found, _, letters = model.lines(words)
-            mass = np.zeros((len(texts), len(names)))
-            np.add.at(mass, (words.line_text[found >= 0], found[found >= 0]), letters[found >= 0])
-            agreed |= (fold == f) & (found == label) & (mass.argmax(axis=1) == given)[words.line_text]
-        # labels of a rare language are mostly wrong ones at first; later, one that loses half of what was
-        # trusted, or has few lines left, is not judged by the others once more
-        count = lambda m: np.bincount(label[m], minlength=len(names))
-        judged = (count(agreed) * 2 >= count(trusted)) & (count(trusted) >= FEW_LINES) if again else np.full(len(names), agreed.any())
-        trusted = np.where(judged[label], agreed, trusted)
-    model = _empty(names)
-    _fit(words, label, model, rounds[1], trusted)
-    return model
+        before = spark.sparkContext.broadcast(trusted)
+
+        def judge(fold: int, before=before) -> bytes:
+            texts, languages, to, bounds = shared.value
+            sample = Sample(texts, languages, to)
+            start = before.value if before.value is not None else np.ones(sample.words.n_lines, bool)
+            return sample.judge(fold, bounds.folds, bounds.rounds[0], start).tobytes()
+
+        parts = _in_tasks(spark, list(range(bounds.folds)), judge)
+        agreed = np.logical_or.reduce([np.frombuffer(p, bool) for p in parts.values()])
+        if trusted is None:
+            sample, trusted = Sample(texts, languages, to), np.ones(len(agreed), bool)
+        trusted = sample.trust(agreed, trusted, again, bounds.few_lines)
+    last = spark.sparkContext.broadcast(trusted)
+
+    def fit_all(_: int) -> bytes:
+        texts, languages, to, bounds = shared.value
+        sample, model = Sample(texts, languages, to), _empty(names)
+        _fit(sample.words, sample.label, model, bounds.rounds[1], last.value)
+        return pickle.dumps(model)
+
+    return pickle.loads(_in_tasks(spark, [0], fit_all)[0])
 
 
 def language_labels(names: DataFrame) -> DataFrame:
@@ -289,8 +377,7 @@ def fit(docs: DataFrame, key: str, text: str, label: str, names: DataFrame, boun
     chosen = known.select("named", "id", F.xxhash64("id").alias("order")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= bounds.documents_per_language)
     sample = known.join(F.broadcast(chosen.select("id", "named")), ["id", "named"]).select("named", "id", "text")
     rows = sample.distinct().toPandas().sort_values(["named", "id", "text"]).drop_duplicates(["named", "id"])
-    to = _line_table(docs.sparkSession)
-    return train(rows["text"].tolist(), rows["named"].tolist(), to, bounds.rounds, bounds.folds)
+    return train(docs.sparkSession, rows["text"].tolist(), rows["named"].tolist(), _line_table(docs.sparkSession), bounds)
 
 
 def _line_table(spark) -> np.ndarray:
@@ -304,7 +391,8 @@ def document_languages(docs: DataFrame, key: str, text: str, label: str, names:
 
     Rows (id, segment_no, language, confidence, label, mixed): segment_no 0 is the document, k its
     line k, blank lines counted; lines come only for documents in two or more languages, and only
-    those with letters. A document that is delivered again counts once. Documents with a null
+    those with letters. A document that is delivered again counts once; of several texts of one id,
+    the one with the least hash counts, and of several labels the first. Documents with a null
     text or without letters are left out. Ties go to the first language by name. `label` is the
     language that the row's label names, null if it names none. `names`
     (language_label, language) is a fixed table of spellings. Without any labelled document no
@@ -314,11 +402,11 @@ def document_languages(docs: DataFrame, key: str, text: str, label: str, names:
     require_columns(names, "language_label", "language")
     spark = docs.sparkSession
     model = fit(docs, key, text, label, names, bounds)
-    out = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("label_text", T.StringType()), T.StructField("segment_no", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("mixed", T.BooleanType())])
+    out = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("label_text", T.StringType()), T.StructField("segment_no", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("mixed", T.BooleanType()), T.StructField("text_hash", T.LongType())])
     if not model.languages:
         return spark.createDataFrame([], out).select("id", "segment_no", "language", "confidence", F.lit(None).cast("string").alias("label"), "mixed")
     shared = spark.sparkContext.broadcast((model, _line_table(spark)))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), _label(label).alias("label_text")).where(F.length("text") > 0)
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), _label(label).alias("label_text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash")).where(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, to = shared.value
@@ -342,11 +430,51 @@ def document_languages(docs: DataFrame, key: str, text: str, label: str, names:
                 pa.array(np.concatenate([np.zeros(len(doc)), words.line_no[in_mixed]]).astype(np.int32)),
                 pa.array(np.array(model.languages, object)[named], pa.string()),
                 pa.array(np.concatenate([sure[doc, best[doc]] / mass[doc].sum(axis=1), confidence[in_mixed]])),
-                pa.array(mixed[at]),
+                pa.array(mixed[at]), batch["text_hash"].take(take),
+            ], names=out.names)
+
+    return _with_label(_one_delivery(rows.mapInArrow(run, out), "segment_no"), names)
+
+
+def _one_delivery(found: DataFrame, *part: str) -> DataFrame:
+    """The rows of one delivery of each id, each once; one shuffle, by id."""
+    first = W.partitionBy("id").orderBy(F.col("text_hash"), F.col("label_text").asc_nulls_last())
+    return found.withColumn("_d", F.dense_rank().over(first)).where("_d = 1").dropDuplicates(["id", *part]).drop("_d")
+
+
+def line_parts(docs: DataFrame, key: str, text: str, label: str, names: DataFrame, bounds: SampleBounds = SampleBounds()) -> DataFrame:
+    """Languages within lines: (id, segment_no, part_no, from_char, to_char, language, confidence).
+
+    Rows come for each run of words of one language, in lines of two or more languages; from_char and
+    to_char are places in the consistent form of the text, which has as many lines as the text. What
+    is left out and what counts once is as in document_languages().
+    """
+    require_columns(docs, key, text, label)
+    spark = docs.sparkSession
+    model = fit(docs, key, text, label, names, bounds)
+    out = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("label_text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("segment_no", "part_no", "from_char", "to_char")), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("text_hash", T.LongType())])
+    if not model.languages:
+        return spark.createDataFrame([], out).drop("label_text", "text_hash")
+    shared = spark.sparkContext.broadcast((model, _line_table(spark)))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), _label(label).alias("label_text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash")).where(F.length("text") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, to = shared.value
+        for batch in cp.slices(batches):
+            words = Words(batch["text"].to_pylist(), to)
+            first, last, language, sure = model.parts(words)
+            line = words.line[first]
+            several = np.bincount(line, minlength=words.n_lines)[line] > 1 if len(line) else np.zeros(0, bool)
+            number = np.arange(len(line)) - np.searchsorted(line, line) + 1
+            owner = words.line_text[line[several]]
+            take, base = pa.array(owner), words.first_of_text[owner]
+            yield pa.RecordBatch.from_arrays([
+                batch["id"].take(take), batch["label_text"].take(take), pa.array(words.line_no[line[several]].astype(np.int32)), pa.array(number[several].astype(np.int32)),
+                pa.array((words.at[first[several]] - base).astype(np.int32)), pa.array((words.end[last[several]] - base).astype(np.int32)),
+                pa.array(np.array(model.languages, object)[language[several]], pa.string()), pa.array(sure[several]), batch["text_hash"].take(take),
             ], names=out.names)
 
-    found = rows.mapInArrow(run, out).dropDuplicates(["id", "segment_no"])
-    return _with_label(found, names)
+    return _one_delivery(rows.mapInArrow(run, out), "segment_no", "part_no").drop("label_text", "text_hash")
 
 
 def _with_label(found: DataFrame, names: DataFrame) -> DataFrame:

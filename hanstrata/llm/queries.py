@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanstrata.llm.heavy_hitters import top_values
-from hanstrata.llm.language import document_languages, label_repairs
+from hanstrata.llm.language import document_languages, label_repairs, line_parts
 from hanstrata.llm.leakage import leaked_items
 from hanstrata.llm.mixing import mix, mix_records, mix_report
 from hanstrata.llm.residue import residue_documents
@@ -77,6 +77,11 @@ def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "segment_no", "language", F.round("confidence", 4).alias("confidence"), "label", "mixed")
 
 
+def p1_line_parts(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_parts(table(spark, folder, "raw_documents"), "id", "text", "language", table(spark, folder, "language_names"))
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     found = label_repairs(table(spark, folder, "raw_documents"), "id", "text", "language", table(spark, folder, "language_names"))
     return found.select("id", "segment_no", "language")
@@ -103,7 +108,7 @@ def p5_consistent_vowels(spark: SparkSession, folder: str) -> DataFrame:
     return with_form(rows, "vowels", "vowels_consistent", vowel_table(), compose=False)
 
 
-QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p2_row_groups": p2_row_groups, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p1_line_parts": p1_line_parts, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p2_row_groups": p2_row_groups, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (

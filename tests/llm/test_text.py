@@ -238,6 +238,25 @@ def test_languages_of_mixed_documents(spark):
     assert language.label_repairs(df.limit(0), "id", "text", "language", names).count() == 0
 
 
+SPANISH = ["El escribano de la villa fue enviado por la mañana.", "Una puerta del viejo templo se cerró junto al río.", "La carta se copió en primavera y llegó al consejo."]
+
+
+def test_three_languages_in_one_line(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"{x}{i}", " ".join(rng.permutation(texts)), x) for x, texts in (("en", ENGLISH), ("kor", KOREAN), ("es", SPANISH)) for i in range(30)]
+    rows += [("mix", "앞줄이다.\n" + ENGLISH[1] + " " + KOREAN[0] + " " + SPANISH[2], "en"), ("mix", "앞줄이다.\n" + ENGLISH[1] + " " + KOREAN[0] + " " + SPANISH[2], "en"), ("null", None, None), ("empty", "", "en")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "id string, text string, language string, part_no int")
+    names = spark.createDataFrame([("en", "eng_Latn"), ("kor", "kor_Hang"), ("es", "spa_Latn")], "language_label string, language string")
+    found = [r for r in language.line_parts(df, "id", "text", "language", names).orderBy("id", "segment_no", "part_no").collect() if r["id"] == "mix"]
+    assert [(r["segment_no"], r["part_no"], r["language"]) for r in found] == [(2, 1, "eng_Latn"), (2, 2, "kor_Hang"), (2, 3, "spa_Latn")]
+    whole = "앞줄이다.\n" + ENGLISH[1] + " " + KOREAN[0] + " " + SPANISH[2]
+    assert [whole[r["from_char"] : r["to_char"]] for r in found] == [t[:-1] for t in (ENGLISH[1], KOREAN[0], SPANISH[2])] and all(r["confidence"] > 0.5 for r in found)
+    model = language.fit(df, "id", "text", "language", names)
+    # a language follows itself most readily, and others can follow
+    assert (model.transition.argmax(axis=1) == np.arange(3)).all() and np.abs(model.transition - np.diag(np.diag(model.transition))).max() > 0
+    assert language.line_parts(df.limit(0), "id", "text", "language", names).count() == 0
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
