@@ -249,13 +249,14 @@ def _fit(words: Words, label: np.ndarray, model: Model, rounds: int, use: np.nda
     n = len(line)
     size = np.bincount(gold, minlength=k)
     balance = np.clip(np.sqrt(size[size > 0].mean() / np.maximum(size, 1)), 0.5, 4).astype(np.float32)  # rare languages are learned as well
+    worth, words_of = balance[gold][:, None], np.flatnonzero(keep)[by_kind[kind_cut]]
     for step in range(1, rounds + 1):
         emission = (np.add.reduceat(model.weights[feature], begin, axis=0) * scale[:, None])[kind] + model.scripts[scripts]
         marginal, expected, starts = forward_backward(emission, line, model.start, model.transition, pairs=True)
-        miss = (onehot - marginal) * balance[gold][:, None]
+        miss = np.add.reduceat(((onehot - marginal.astype(np.float32)) * worth)[by_kind], kind_cut, axis=0)
         by_scripts = np.zeros_like(model.scripts)
-        np.add.at(by_scripts, scripts, miss)
-        miss = np.add.reduceat(miss[by_kind], kind_cut, axis=0) * scale[:, None]
+        np.add.at(by_scripts, words.scripts[words_of], miss)
+        miss *= scale[:, None]
         gradient = {"w": np.add.reduceat(miss[row[by_feature]], cut, axis=0) / n - decay / 50 * model.weights[used], "x": by_scripts / n - decay / 50 * model.scripts, "s": (gold_start - starts) / n - decay * model.start, "t": (gold_next - expected) / n - decay * model.transition}
         for name, g in gradient.items():
             m, v = state[name]
@@ -332,27 +333,22 @@ def train(spark, texts: list[str], languages: list[str], to: np.ndarray, bounds:
     names = sorted(set(languages))
     if not names:
         return _empty(names)
-    shared = spark.sparkContext.broadcast((texts, languages, to, bounds))
-    trusted = None
+    sample = Sample(texts, languages, to)
+    shared, trusted = spark.sparkContext.broadcast((sample, bounds)), np.ones(sample.words.n_lines, bool)
     for again in (False, True):  # the second time, the judges have learned from trusted lines only
         before = spark.sparkContext.broadcast(trusted)
 
         def judge(fold: int, before=before) -> bytes:
-            texts, languages, to, bounds = shared.value
-            sample = Sample(texts, languages, to)
-            start = before.value if before.value is not None else np.ones(sample.words.n_lines, bool)
-            return sample.judge(fold, bounds.folds, bounds.rounds[0], start).tobytes()
+            sample, bounds = shared.value
+            return sample.judge(fold, bounds.folds, bounds.rounds[0], before.value).tobytes()
 
         parts = _in_tasks(spark, list(range(bounds.folds)), judge)
         agreed = np.logical_or.reduce([np.frombuffer(p, bool) for p in parts.values()])
-        if trusted is None:
-            sample, trusted = Sample(texts, languages, to), np.ones(len(agreed), bool)
         trusted = sample.trust(agreed, trusted, again, bounds.few_lines)
     last = spark.sparkContext.broadcast(trusted)
 
     def fit_all(_: int) -> bytes:
-        texts, languages, to, bounds = shared.value
-        sample, model = Sample(texts, languages, to), _empty(names)
+        (sample, bounds), model = shared.value, _empty(names)
         _fit(sample.words, sample.label, model, bounds.rounds[1], last.value)
         return pickle.dumps(model)
 
