@@ -303,13 +303,28 @@ def verified(points: np.ndarray, offsets: np.ndarray, items: Items, min_share: f
         holds[i] = False
         for item in those.tolist():
             own = items.grams[item]
-            mine = own[np.minimum(np.searchsorted(own, i), len(own) - 1)] == i
+            mine = np.flatnonzero(own[np.minimum(np.searchsorted(own, i), len(own) - 1)] == i)
+            mine = mine[within_reach(a[mine], i[mine], items.length[item])]
             share = held_share(a[mine], i[mine], items.places[item], items.length[item], items.latin[item], min_share)
             if share >= min_share:
                 found.append((text, item, share))
     return found
 
 
+def within_reach(at: np.ndarray, index: np.ndarray, length: int) -> np.ndarray:
+    """Where one letter is repeated far beyond the passage's length, only the ends of the repetition; all other places.
+
+    No stretch is longer than the passage, and none reaches from one end to the other.
+    """
+    if not len(at):
+        return np.zeros(0, bool)
+    new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(index) != 0)))
+    n = np.diff(np.append(new, len(at)))
+    place = np.arange(len(at)) - np.repeat(new, n)
+    size = np.repeat(n, n)
+    return (size <= 2 * length + 64) | (place < length) | (size - place <= length)
+
+
 def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]], length: int, latin: bool, needed: float = 0.0) -> float:
     """Share of a passage's letters that lie, in order, in long stretches of a text.
 
