@@ -227,8 +227,10 @@ class Index:
         if len(self.alphabets) > 64:
             raise ValueError("at most 64 exemplars of letters can be told apart")
         self.masks = np.zeros(cp.N, np.uint64)
-        for k, form in enumerate(canonical(self.alphabets, to)):
-            self.masks[[ord(c) for c in form]] |= np.uint64(1 << k)
+        for k, letters in enumerate(self.alphabets):
+            # letters that follow each other may be composed, as a consonant and a vowel are; each also stands alone
+            for form in canonical([*letters, *(a + b for a in letters for b in letters)], to):
+                self.masks[[ord(c) for c in form]] |= np.uint64(1 << k)
         mine = [(LABELS.index(label), text) for label, text in exemplars if label in LABELS]
         self.exemplars, label = [text for _, text in mine], np.array([k for k, _ in mine], np.int64)
         w = Windows([re.sub(r"[.。!?！？]", " ", e) for e in self.exemplars], to)

@@ -172,12 +172,31 @@ def test_passages_held_in_scattered_pieces(spark):
         assert found_pairs(spark, docs, [long, short, fine, latin, *many], rank=rank) == {(0, 0), (1, 1), (2, 2), (3, 3)}
 
 
+def test_recall_with_five_times_as_many_passages_as_the_rank(spark):
+    rng = np.random.default_rng(13)
+    passages = [ideographs(rng, int(n)) for n in rng.integers(60, 120, 200)]
+    docs, truth = [], set()
+    for d in range(120):
+        item = int(rng.integers(200))
+        docs.append(ideographs(rng, 80) + replaced(passages[item], 20, 3, rng)[: int(len(passages[item]) * 0.75)] + ideographs(rng, 80) if d % 2 else ideographs(rng, 240))
+        truth |= {(d, item)} if d % 2 else set()
+    found = found_pairs(spark, docs, passages, rank=40)
+    assert len(found & truth) >= 0.9 * len(truth) and found <= truth
+
+
+def test_one_letter_repeated_for_ever(spark):
+    rng = np.random.default_rng(14)
+    passage = ideographs(rng, 40) + "ㅋ" * 60 + ideographs(rng, 40)
+    docs = ["ㅋ" * 300_000 + passage + "ㅋ" * 300_000, "ㅋ" * 400_000, passage[:30] + "ㅋ" * 200_000 + passage[-30:], passage[:30] + "ㅋ" * 200_000]
+    assert found_pairs(spark, docs, [passage]) == {(0, 0), (2, 0), (3, 0)}
+
+
 REAL = "흔한 홍수는 대눈터의 점흐진을 헤아려 졍어하에서 많았다. 담비가 해벙을 적고 현구고의 시장부터 돌아왔다. "
 
 
 @pytest.mark.parametrize("text", [
     REAL + "{{ title }}", REAL + "${author}", "제목: [INSERT TITLE HERE]\n" + REAL, REAL + "［저자를 기입할 것］", REAL + "<제목을(를) 여기에 쓰시오>", REAL + "%(year)s園", REAL + "__PAGE_NO__",
-    "Lorem ipsum dolor sit amet aliqua dolor tempor", "zxcvb zxcv zzvvb", "가나다라 가나다 다라마바", "원문 뷰어\n오류가 발생하였습니다 (410)\n이전 화면으로", "Document viewer\nPlease enable JavaScript to continue.",
+    "Lorem ipsum dolor sit amet aliqua dolor tempor", "zxcvb zxcv zzvvb", "ㅁㄴㄴㄹㅇ ㅁㄴㅇㅁㅎㅁ ㅁㄴㅎㄹㅎㅁㅇ", "ㅁㄴㅇㄹ ㅁㄴㅇ로 ㅎㅗㅇㄹ", "가나다라 가나다 다라마바", "원문 뷰어\n오류가 발생하였습니다 (410)\n이전 화면으로", "Document viewer\nPlease enable JavaScript to continue.",
 ])
 def test_residue_is_found(spark, text):
     df = spark.createDataFrame([(1, text)] + [(i, REAL) for i in range(2, 8)], "doc_id int, text string")
