@@ -99,30 +99,39 @@ class Lexicon:
         read = lambda p: read_resource(p) if p and Path(p).exists() else []
         return cls.build(read_resource(dictionary), read(general), read(nouns), **options)
 
-    def pattern(self) -> re.Pattern | None:
-        """Longest entry first, so that a search gives leftmost longest matches."""
-        keys = sorted(self.entries, key=lambda k: (-len(k), k))
-        return re.compile("|".join(map(re.escape, keys))) if keys else None
+    def automaton(self):
+        """Of all entries; None if there are none. It reads a text once, however many entries there are."""
+        if not self.entries:
+            return None
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for word in self.entries:
+            out.add_word(word, len(word))
+        out.make_automaton()
+        return out
 
-    def matches(self, text: str, pattern: re.Pattern | None = None) -> list[tuple[int, int, str]]:
+    def matches(self, text: str, automaton=None) -> list[tuple[int, int, str]]:
         """(start, end, matched) of leftmost longest matches that don't overlap; places are those of the given text.
 
         A character whose compatibility form has several letters is one place: after a match, all
         of its letters count as used.
         """
-        pattern = pattern or self.pattern()
-        if pattern is None or not text:
+        automaton = automaton or self.automaton()
+        if automaton is None or not text:
             return []
         forms = [unicodedata.normalize("NFKC", c) for c in text]
         owner = [i for i, f in enumerate(forms) for _ in f]
         whole = "".join(forms)
-        out, at = [], 0
-        while m := pattern.search(whole, at):
-            start, end = owner[m.start()], owner[m.end() - 1] + 1
-            out.append((start, end, m.group()))
-            at = m.end()
-            while at < len(whole) and owner[at] < end:
-                at += 1
+        longest: dict[int, int] = {}
+        for last, n in automaton.iter(whole):
+            longest[last + 1 - n] = max(n, longest.get(last + 1 - n, 0))
+        out, at, end = [], 0, 0
+        for a in sorted(longest):
+            if a >= at and owner[a] >= end:
+                at = a + longest[a]
+                end = owner[at - 1] + 1
+                out.append((owner[a], end, whole[a:at]))
         return out
 
 
@@ -136,9 +145,9 @@ def match_column(lexicon: Lexicon, spark: SparkSession) -> Callable[[Column], Co
     @F.pandas_udf(MATCH)
     def matched(text: pd.Series) -> pd.Series:
         own = shared.value
-        pattern = own.pattern()
+        automaton = own.automaton()
         rows = {k: [vars(e) for e in entries] for k, entries in own.entries.items()}
-        return text.map(lambda t: [{"start": a, "end": b, "match_text": m, "entries": rows[m]} for a, b, m in own.matches(t or "", pattern)])
+        return text.map(lambda t: [{"start": a, "end": b, "match_text": m, "entries": rows[m]} for a, b, m in own.matches(t or "", automaton)])
 
     return matched
 

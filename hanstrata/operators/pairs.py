@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hanstrata.functions import inventory as V
@@ -57,8 +59,12 @@ def convert(sample: DataFrame, window: str = "time_window_id", sequence: str = "
     eligible = eligible.withColumns({
         "d2l_pair_key": F.concat_ws("\t", "d2l_ur", "d2l_sr"), "d2l_initial_rtr_class": _rtr(F.col("d2l_initial_vowel")),
         "d2l_contains_noninitial_i": F.col("d2l_num_noninitial_i") > 0, "d2l_has_prediction_target": F.col("d2l_num_targets") > 0,
-        "lexical_type_weight": F.count("*").over(W.partitionBy(window, "d2l_ur", "d2l_sr")).cast("int"),
     })
+    # counts of pairs are few and are added up before they travel; a window over a pair would bring all its rows to one task
+    pair = [window, "d2l_ur", "d2l_sr"]
+    counts = eligible.groupBy(*pair).agg(F.count("*").cast("int").alias("lexical_type_weight")).withColumnsRenamed({c: f"_{i}" for i, c in enumerate(pair)})
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(pair)]
+    eligible = eligible.join(counts, reduce(and_, same)).drop("_0", "_1", "_2")
     eligible = eligible.withColumn("d2l_pair_is_shared_by_multiple_wordforms", F.col("lexical_type_weight") > 1)
     return eligible.drop("_v", "d2l_exclusion_reason"), work.where(F.col("d2l_exclusion_reason").isNotNull()).drop("_v")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hanstrata.functions.text import WHITE, strip
-from hanstrata.runtime import require_columns
+from hanstrata.runtime import checkpoint, require_columns
 
 
 @dataclass(frozen=True)
@@ -167,8 +167,19 @@ def excluded_windows(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.where("not time_window_is_eligible_for_sampling")
 
 
+#: Sampled word forms up to which a sample is sent to every task: some ten megabytes.
+SENT_WORDFORMS = 200_000
+
+
 def selected_token_rows(rows: DataFrame, selected: DataFrame, settings: Sampling = Sampling(), anchor: int | None = None) -> DataFrame:
-    """The token rows behind a sample, once for each window that they are sampled in."""
+    """The token rows behind a sample, once for each window that they are sampled in.
+
+    A sample holds some word forms of each window. It is counted: up to SENT_WORDFORMS of them go to
+    every task, and rows of other word forms leave before they are repeated for their windows. A
+    larger sample is joined by shuffle, where the engine splits the word forms that own most rows.
+    """
     anchor = anchor_year(rows, settings) if anchor is None else anchor
-    windowed = _windowed(clean_rows(rows, settings), settings, anchor)
-    return windowed.join(selected.select("time_window_id", "wordform_id"), ["time_window_id", "wordform_id"], "left_semi")
+    keys = checkpoint(selected.select("time_window_id", "wordform_id"))
+    send = F.broadcast if keys.count() <= SENT_WORDFORMS else (lambda df: df)
+    kept = clean_rows(rows, settings).join(send(keys.select("wordform_id").distinct()), "wordform_id", "left_semi")
+    return _windowed(kept, settings, anchor).join(send(keys), ["time_window_id", "wordform_id"], "left_semi")

@@ -126,15 +126,20 @@ def hangul_rows(docs: DataFrame, settings: Extraction = Extraction()) -> DataFra
     return _rows(found, settings)
 
 
-def idu_rows(docs: DataFrame, lexicon, settings: Extraction = Extraction()) -> DataFrame:
-    """A row for each reading of each dictionary match; none if readings are excluded."""
+def idu_candidates(docs: DataFrame, lexicon, settings: Extraction = Extraction()) -> DataFrame:
+    """A row for each reading of each dictionary match that has enough vowels, whether or not readings are excluded."""
     from hanstrata.operators.lexicon import match_column, reading_column
 
     found = keep_documents(docs, settings).where(F.col("text").isNotNull())
     found = found.withColumn("_m", F.explode(match_column(lexicon, docs.sparkSession)(F.col("text"))))
     entries = F.col("_m.entries") if settings.emit_all_idu_reading_variants else F.slice("_m.entries", 1, 1)
     found = found.withColumn("_e", F.explode(entries)).withColumn("_r", F.explode(reading_column(F.col("_e.hangul_text"))))
-    found = found.withColumn("v", H.vowels(F.col("_r.reading"), settings.map_araea_i)).where((F.size("v") >= settings.min_vowels) & F.lit(not settings.exclude_idu_derived_wordforms))
+    return found.withColumn("v", H.vowels(F.col("_r.reading"), settings.map_araea_i)).where(F.size("v") >= settings.min_vowels)
+
+
+def idu_rows(docs: DataFrame, lexicon, settings: Extraction = Extraction()) -> DataFrame:
+    """Token rows of idu_candidates(); none if readings are excluded."""
+    found = idu_candidates(docs, lexicon, settings).where(F.lit(not settings.exclude_idu_derived_wordforms))
     found = found.withColumns({
         "token": F.col("_r.reading"), "token_source": F.lit("idu_dictionary_hangul_correspondence"), "token_context": F.lit("idu_dictionary_match"),
         "idu_match_text": F.col("_m.match_text"), "idu_match_start": F.col("_m.start"), "idu_match_end": F.col("_m.end"), "idu_dictionary_sequence": F.col("_e.sequence"),
@@ -144,6 +149,22 @@ def idu_rows(docs: DataFrame, lexicon, settings: Extraction = Extraction()) -> D
     return _rows(found, settings)
 
 
+def counts(docs: DataFrame, settings: Extraction = Extraction(), lexicon=None) -> DataFrame:
+    """One row: documents_used, hangul_rows, idu_matches, idu_rows_emitted and idu_rows_suppressed of an extraction."""
+    from hanstrata.operators.lexicon import match_column
+
+    kept = keep_documents(docs, settings).where(F.col("text").isNotNull())
+    enough = F.size(F.filter(hangul_tokens(F.col("text")), lambda t: F.size(H.vowels(t, settings.map_araea_i)) >= settings.min_vowels))
+    zero = F.lit(0).cast("bigint")
+    out = kept.agg(F.count("*").alias("documents_used"), F.coalesce(F.sum(enough), zero).alias("hangul_rows"), zero.alias("idu_matches"), zero.alias("idu_rows"))
+    if lexicon is not None:
+        matched = kept.agg(zero.alias("documents_used"), zero.alias("hangul_rows"), F.coalesce(F.sum(F.size(match_column(lexicon, docs.sparkSession)(F.col("text")))), zero).alias("idu_matches"), zero.alias("idu_rows"))
+        out = out.unionByName(matched).unionByName(idu_candidates(docs, lexicon, settings).agg(zero.alias("documents_used"), zero.alias("hangul_rows"), zero.alias("idu_matches"), F.count("*").alias("idu_rows")))
+    out = out.agg(*(F.sum(c).alias(c) for c in ("documents_used", "hangul_rows", "idu_matches", "idu_rows")))
+    emitted = F.lit(0 if settings.exclude_idu_derived_wordforms else 1)
+    return out.select("documents_used", "hangul_rows", "idu_matches", (F.col("idu_rows") * emitted).alias("idu_rows_emitted"), (F.col("idu_rows") * (1 - emitted)).alias("idu_rows_suppressed"))
+
+
 def token_rows(docs: DataFrame, settings: Extraction = Extraction(), lexicon=None) -> DataFrame:
     """All token rows of classified documents."""
     rows = hangul_rows(docs, settings)

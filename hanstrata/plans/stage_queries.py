@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanstrata.functions import harmony as H
+from hanstrata.functions import inventory as V
 from hanstrata.functions import text as X
 from hanstrata.operators import documents as D
-from hanstrata.operators import learning, lexicon, pairs, sampling, tokens
-from hanstrata.runtime import checkpoint, table
+from hanstrata.operators import language_id, learning, lexicon, pairs, sampling, tokens
+from hanstrata.runtime import checkpoint, remove, table, work_path
+from hanstrata.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,10 +63,17 @@ def control_strip(spark, folder):
 _OLD = r"\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{302E}-\x{302F}\x{E0BC}-\x{EFFF}\x{F100}-\x{F66E}\x{F784}-\x{F800}\x{F806}-\x{F864}\x{F86A}-\x{F8F7}\x{E001}-\x{E0A0}"
 _CLASS = {"kor": rf"\p{{Hangul}}\x{{3130}}-\x{{318F}}{_OLD}", "oko": _OLD, "jpn": r"\p{Hiragana}\p{Katakana}", "han": r"\p{Han}", "lat": r"\p{Latin}"}
 _CLEANED = _replace("text", rf"[\p{{P}}\p{{Z}}{_WS}\p{{Nd}}\x{{119E}}\x{{318D}}]+")
-_PROFILE = f"""
+
+
+def _profile_sql(source: str) -> str:
+    total = "n_kor + n_jpn + n_han + n_lat"
+    return f"""
     counted AS (SELECT *, {', '.join(f"length({_replace('cleaned', f'[^{c}]')}) AS n_{k}" for k, c in _CLASS.items())}
-                FROM (SELECT *, {_CLEANED} AS cleaned FROM raw_documents)),
-    profiled AS (SELECT * EXCLUDE (cleaned), {', '.join(f"CASE WHEN n_kor + n_jpn + n_han + n_lat > 0 THEN n_{k} / (n_kor + n_jpn + n_han + n_lat)::DOUBLE ELSE 0 END AS {k}" for k in _CLASS)} FROM counted)"""
+                FROM (SELECT *, {_CLEANED} AS cleaned FROM {source})),
+    profiled AS (SELECT * EXCLUDE (cleaned), {', '.join(f"CASE WHEN {total} > 0 THEN n_{k} / ({total})::DOUBLE ELSE 0 END AS {k}" for k in _CLASS)} FROM counted)"""
+
+
+_PROFILE = _profile_sql("raw_documents")
 
 
 @query(f"WITH {_PROFILE} SELECT id, {', '.join(f'round({k}, 9) AS {k}' for k in _CLASS)} FROM profiled")
@@ -81,12 +92,34 @@ def valid_script_counts(spark, folder):
     return table(spark, folder, "raw_documents").select("id", X.valid_script_counts(F.col("text")).alias("n")).select("id", *(F.col(f"n.{k}").cast("bigint").alias(k) for k in ("n_all", "n_valid", "n_other")))
 
 
-@query()
+_NO_LETTER = r"[^\p{L}]"
+
+
+def _compatible() -> str:
+    """VALUES of all characters with a compatibility decomposition, and what each becomes; DuckDB itself does the canonical part."""
+    tagged = (c for c in map(chr, (*range(0xA0, 0xD800), *range(0xE000, 0x1FBFA))) if unicodedata.decomposition(c).startswith("<") or unicodedata.normalize("NFKD", c) != unicodedata.normalize("NFD", c))
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(c)}, {quoted(unicodedata.normalize('NFKD', c))})" for c in tagged)
+
+
+def _normal_sql(source: str) -> str:
+    """CTEs up to `composed` (the compatibility composition) and `normal` (the stored form) of the texts of a table; `rid` numbers its rows."""
+    return f"""
+    numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM {source}),
+    spelled AS (SELECT rid, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM numbered WHERE text <> ''),
+    forms AS (SELECT rid, nfc_normalize(string_agg(coalesce(form, c), '' ORDER BY i)) AS form FROM spelled LEFT JOIN (VALUES {_compatible()}) AS k(given, form) ON c = given GROUP BY rid),
+    composed AS (SELECT numbered.* REPLACE (coalesce(form, text) AS text) FROM numbered LEFT JOIN forms USING (rid)),
+    squeezed AS (SELECT * REPLACE ({_SQUEEZED} AS text) FROM composed),
+    normal AS MATERIALIZED (SELECT * REPLACE ({_UNCONTROLLED} AS text) FROM squeezed)"""
+
+
+@query(f"WITH {_normal_sql('raw_documents')} SELECT id, text FROM normal")
 def normalized_texts(spark, folder):
-    return table(spark, folder, "raw_documents").select("id", X.normalize(F.col("text")).alias("text"))
+    """The texts that stage 01 stores, by its own pass over them."""
+    return X.with_normal_text(table(spark, folder, "raw_documents")).select("id", "text")
 
 
-@query()
+@query(f"WITH {_normal_sql('raw_documents')} SELECT id, {_replace('text', _NO_LETTER)} AS letters FROM composed")
 def letters_only(spark, folder):
     return table(spark, folder, "raw_documents").select("id", X.letters_only(F.col("text")).alias("letters"))
 
@@ -136,23 +169,45 @@ def document_categories(spark, folder):
     return _category(table(spark, folder, "raw_documents")).select("id", "category")
 
 
-@query(f"""
-    WITH {_PROFILE}, {_CATEGORY}, kept AS (
-      SELECT *, CASE WHEN contains(category, 'ko') AND year < 1446 THEN replace(replace(category, '+oko', ''), '+ko', '') ELSE category END AS c FROM ruled WHERE category IS NULL OR category NOT IN ('empty', 'num', 'zxx'))
-    SELECT id, c AS category,
+_KEPT = """
+    kept AS (SELECT *, CASE WHEN contains(category, 'ko') AND year < 1446 THEN replace(replace(category, '+oko', ''), '+ko', '') ELSE category END AS c FROM ruled WHERE category IS NULL OR category NOT IN ('empty', 'num', 'zxx'))"""
+_PERIOD_LANGUAGE = """
       CASE WHEN c IN ('oko', 'hj+oko', 'hj+ko', 'ko') THEN CASE WHEN year IS NULL THEN 'Korean' WHEN year >= 918 AND year < 1600 THEN CASE WHEN han > 0.8 THEN 'Hanmun' ELSE 'Middle Korean' END
              WHEN year >= 1600 AND year < 1894 THEN 'Early Modern Korean' WHEN year >= 1894 THEN 'Modern Korean' END
-           ELSE CASE c WHEN 'hj' THEN 'Hanmun' WHEN 'hj+en' THEN 'Hanmun' WHEN 'nko' THEN 'North Korean' WHEN 'en' THEN 'English' WHEN 'ja' THEN 'Japanese' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' END END AS language,
+           ELSE CASE c WHEN 'hj' THEN 'Hanmun' WHEN 'hj+en' THEN 'Hanmun' WHEN 'nko' THEN 'North Korean' WHEN 'en' THEN 'English' WHEN 'ja' THEN 'Japanese' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' END END"""
+_CATEGORY_SCRIPT = """
       CASE c WHEN 'hj' THEN 'Hanja' WHEN 'hj+oko' THEN 'Hanja, Old Hangeul' WHEN 'hj+ko' THEN 'Hanja, Hangeul' WHEN 'nko' THEN 'Hangeul' WHEN 'ko' THEN 'Hangeul' WHEN 'en' THEN 'Latin' WHEN 'ja' THEN 'Kanji, Kana'
-             WHEN 'es' THEN 'Latin' WHEN 'hj+en' THEN 'Hanja, Latin' WHEN 'oko' THEN 'Old Hangeul' WHEN 'fr' THEN 'Latin' END AS script
-    FROM kept""")
+             WHEN 'es' THEN 'Latin' WHEN 'hj+en' THEN 'Hanja, Latin' WHEN 'oko' THEN 'Old Hangeul' WHEN 'fr' THEN 'Latin' END"""
+
+
+@query(f"WITH {_PROFILE}, {_CATEGORY}, {_KEPT} SELECT id, c AS category, {_PERIOD_LANGUAGE} AS language, {_CATEGORY_SCRIPT} AS script FROM kept")
 def classified_documents(spark, folder):
     df = _category(table(spark, folder, "raw_documents")).where(~F.coalesce(F.col("category").isin(*D.DROPPED), F.lit(False)))
     df = df.withColumn("category", D.before_hangul(F.col("category"), F.col("year")))
     return df.select("id", "category", D.period_language(F.col("category"), F.col("year"), F.col("script_han")).alias("language"), D.category_script(F.col("category")).alias("script"))
 
 
-@query()
+def _words_sql(language: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in X.FREQUENT_WORDS[language])
+    return f"len(list_filter(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+'), lambda x: lower(x) IN ({listed})))"
+
+
+def _processed_sql(source: str) -> str:
+    """CTEs up to `kept`: stage 01 as a whole, told by scripts and frequent words."""
+    return f"""{_normal_sql(source)}, {_profile_sql('normal')},
+    worded AS (SELECT *, {', '.join(f"{_words_sql(x)} AS {x[:3]}" for x in X.FREQUENT_WORDS)}, greatest(kor, jpn, han, lat) AS best FROM profiled),
+    told AS (SELECT *, CASE WHEN best <= 0 THEN NULL WHEN kor = best THEN 'kor_Hang' WHEN jpn = best THEN 'jpn_Jpan' WHEN han = best THEN 'cmn_Hani' WHEN eng >= fra AND eng >= spa THEN 'eng_Latn' WHEN fra >= spa THEN 'fra_Latn' ELSE 'spa_Latn' END AS first_language,
+                    CASE WHEN lat = best AND kor < best AND jpn < best AND han < best THEN best * ((greatest(eng, fra, spa) + 1) / (eng + fra + spa + 3)::DOUBLE) ELSE best END AS first_score,
+                    CASE WHEN lat <= 0 AND jpn <= 0 THEN NULL WHEN lat >= jpn THEN CASE WHEN eng >= fra THEN 'eng_Latn' ELSE 'fra_Latn' END ELSE 'jpn_Jpan' END AS record_language,
+                    CASE WHEN lat >= jpn THEN lat * ((greatest(eng, fra) + 1) / (eng + fra + 2)::DOUBLE) ELSE jpn END AS record_score, split_part(id, ':', 1) = 'jpn_records' AND length(text) > 0 AS again FROM worded),
+    identified AS (SELECT * REPLACE (CASE WHEN again THEN coalesce(record_language, first_language) ELSE first_language END AS language), CASE WHEN again THEN record_score ELSE first_score END AS language_score FROM told),
+    {_CATEGORY.replace('FROM profiled', 'FROM identified')}, {_KEPT}"""
+
+
+_SCRIPT_COLUMNS = ", ".join(f"{k} AS script_{k}" for k in _CLASS)
+
+
+@query(f"WITH {_processed_sql('raw_documents')} SELECT id, text, year, {_PERIOD_LANGUAGE} AS language, {_CATEGORY_SCRIPT} AS script, source, corpus, received_at, {_SCRIPT_COLUMNS}, language_score, c AS category FROM kept")
 def processed_documents(spark, folder):
     """Stage 01 as a whole: normal texts, profiles, languages and categories."""
     return D.classify(D.profile(table(spark, folder, "raw_documents")))
@@ -167,9 +222,25 @@ def hangul_tokens(spark, folder):
     return found.groupBy("token").agg(F.count("*").alias("n_tokens"))
 
 
-@query()
+_HANGUL_CHAR, _HAN_CHAR = r"regexp_full_match(c, '\p{Hangul}')", r"regexp_full_match(c, '\p{Han}')"
+
+
+def _tokens_sql(source: str) -> str:
+    """CTE `tokens` (rid, n, token, token_context): runs of Hangul by the places of their characters in `source` (rid, text)."""
+    return f"""
+    placed AS (SELECT rid, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM {source} WHERE text <> ''),
+    flagged AS (SELECT *, {_HANGUL_CHAR} AS hangul, {_HAN_CHAR} AS hanja FROM placed),
+    around AS (SELECT *, lag(hangul, 1, false) OVER o AS within, lag(c) OVER o AS before, lag(hanja, 2, false) OVER o AS hanja_before, lead(c) OVER o AS after,
+                      bool_or(hanja) OVER (o ROWS BETWEEN {tokens.CONTEXT} PRECEDING AND 1 PRECEDING) AS left_hanja, bool_or(hanja) OVER (o ROWS BETWEEN 1 FOLLOWING AND {tokens.CONTEXT} FOLLOWING) AS right_hanja
+               FROM flagged WINDOW o AS (PARTITION BY rid ORDER BY i)),
+    runs AS (SELECT *, sum(CASE WHEN hangul AND NOT within THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS n FROM around),
+    ends AS (SELECT rid, n, string_agg(c, '' ORDER BY i) AS token, arg_min(before, i) = '(' AND arg_max(coalesce(after, ''), i) = ')' AS bracketed, arg_min(hanja_before, i) AS hanja_before,
+                    coalesce(arg_min(coalesce(left_hanja, false), i), false) OR coalesce(arg_max(coalesce(right_hanja, false), i), false) AS near FROM runs WHERE hangul GROUP BY rid, n),
+    tokens AS (SELECT rid, n, token, CASE WHEN bracketed AND hanja_before THEN 'parenthetical_hanja_reading' WHEN bracketed THEN 'parenthetical_hangul' WHEN near THEN 'near_hanja' ELSE 'plain_hangul' END AS token_context FROM ends)"""
+
+
+@query(f"WITH numbered AS MATERIALIZED (SELECT id, text, row_number() OVER () AS rid FROM raw_documents), {_tokens_sql('numbered')} SELECT id, token_context, count(*) AS n_tokens FROM tokens JOIN numbered USING (rid) GROUP BY id, token_context")
 def token_contexts(spark, folder):
-    """Tokens by context; look-around has no SQL, so this one is tested against brute force."""
     found = table(spark, folder, "raw_documents").select("id", F.explode(tokens.tokens_in_context(F.col("text"))).alias("t"))
     return found.groupBy("id", "t.token_context").agg(F.count("*").alias("n_tokens"))
 
@@ -241,11 +312,37 @@ def sino_proxy(spark, folder):
 
 
 def _token_rows(spark, folder) -> DataFrame:
-    docs = D.classify(D.profile(table(spark, folder, "raw_documents").dropDuplicates(["id"])))
+    docs = D.classify(D.profile(table(spark, folder, "raw_documents").drop("received_at").distinct()))
     return tokens.token_rows(docs)
 
 
-@query()
+def _class_sql(inventory: str) -> str:
+    of = {kind: ", ".join(f"'{v}'" for v, k in V.INVENTORIES[inventory].items() if k == kind) for kind in (V.PLUS, V.MINUS, V.NEUTRAL)}
+    cases = " ".join(f"WHEN x IN ({listed}) THEN '{kind}'" for kind, listed in of.items())
+    return f"list_transform(v, lambda x: CASE {cases} ELSE 'OTHER' END)"
+
+
+def _status_sql(c: str) -> str:
+    plus, minus = f"list_contains({c}, '+RTR')", f"list_contains({c}, '-RTR')"
+    return f"CASE WHEN list_contains({c}, 'OTHER') THEN 'unclassifiable_due_to_other' WHEN NOT {plus} AND NOT {minus} THEN 'neutral_only' WHEN {plus} AND {minus} THEN 'disharmonic' WHEN list_contains({c}, 'NEUTRAL') THEN 'harmonic_with_neutral' ELSE 'harmonic' END"
+
+
+_EXTRACTED = f"""
+    voiced AS (SELECT *, list_transform(list_filter(string_split(token, ''), lambda c: c <> '' AND {_IS_VOWEL}), lambda c: {_ONE_VOWEL}) AS v FROM tokens),
+    classed AS (SELECT *, {_class_sql('core')} AS core, {_class_sql('expanded')} AS expanded FROM voiced WHERE len(v) >= 2),
+    documents_kept AS (SELECT rid, id, year, source, corpus, language_score, {_SCRIPT_COLUMNS}, c, {_PERIOD_LANGUAGE} AS period, {_CATEGORY_SCRIPT} AS written FROM kept)"""
+
+
+@query(f"""
+    WITH {_processed_sql('(SELECT DISTINCT * EXCLUDE (received_at) FROM raw_documents)')}, {_tokens_sql('kept')}, {_EXTRACTED}
+    SELECT NULL::VARCHAR AS input_file, id AS doc_id, year, {_phase_sql(1500, 1599)} AS arae_noninitial_phase, {_phase_sql(1700, 1750)} AS arae_initial_phase, {_phase_sql(1590, 1650)} AS lmk_emk_transition_phase, source, corpus,
+      period AS language, language_score, c AS category, written AS script, script_kor, script_oko, script_han, token, 'original_hangul_token' AS token_source, token_context,
+      CASE WHEN token_context = 'parenthetical_hanja_reading' OR period = 'Hanmun' OR c IN ('hj', 'hj+ko', 'hj+oko') OR script_han > 0 THEN 1 ELSE 0 END AS sino_proxy,
+      array_to_string(v, ',') AS vowels, array_to_string(core, ',') AS vowel_classes_core, {_status_sql('core')} AS harmony_status_core, array_to_string(expanded, ',') AS vowel_classes_expanded, {_status_sql('expanded')} AS harmony_status_expanded,
+      array_to_string(expanded, ',') AS vowel_classes, CAST(len(v) AS INTEGER) AS num_vowels, {_status_sql('expanded')} AS harmony_status, CAST(list_contains(v, 'ㆍ') AS INTEGER) AS has_arae_a, CAST(list_contains(v, 'ㅏ') AS INTEGER) AS has_a,
+      CAST(list_contains(v, 'ㅡ') AS INTEGER) AS has_eu, CAST(v[1] = 'ㅏ' AS INTEGER) AS has_initial_a, CAST(list_contains(v[2:], 'ㅡ') AS INTEGER) AS has_noninitial_eu, CAST(list_contains(v, 'ㆍ') OR list_contains(v, 'ㅏ') OR list_contains(v, 'ㅡ') AS INTEGER) AS has_any_arae_related,
+      {', '.join(f"NULL::{'INTEGER' if c.endswith(('start', 'end')) else 'VARCHAR'} AS {c}" for c in tokens.COLUMNS if c.startswith('idu_') and not c.startswith('idu_is_'))}, 0 AS idu_is_general_exclusion, 0 AS idu_is_noun_exclusion
+    FROM classed JOIN documents_kept USING (rid)""")
 def extracted_token_rows(spark, folder):
     """Stages 01 and 02: token rows of raw documents, all columns."""
     return _token_rows(spark, folder)
@@ -368,11 +465,14 @@ def selected_token_rows(spark, folder):
 # ---- pairs and baseline ----
 
 _KEY = "run_name || '/' || time_window_id"
+#: A word form counts once in a window, however often it was delivered.
+_SAMPLED_ONCE = ["run_name", "time_window_id", "wordform_id", "token", "vowel_seq", "frequency_rank_in_window"]
+_PAIRED_ONCE = ["run_name", "time_window_id", "time_window_start", "time_window_end", "wordform_id", "d2l_ur", "d2l_sr"]
 _V = "list_filter(string_split(trim(vowel_seq), ' '), lambda v: v <> '')"
 _HARMONIC_SQL = "('ㆍ', 'ㅏ', 'ㅗ', 'ㅡ', 'ㅓ', 'ㅜ')"
 _UR = "[CASE WHEN i = 1 THEN v[i] ELSE CASE v[i] WHEN 'ㅏ' THEN 'A' WHEN 'ㅓ' THEN 'EO' WHEN 'ㅗ' THEN 'O' WHEN 'ㅜ' THEN 'U' WHEN 'ㆍ' THEN 'ARAE' WHEN 'ㅡ' THEN 'EU' ELSE v[i] END END for i in range(1, len(v) + 1)]"
 _CONVERTED = f"""
-    parsed AS (SELECT *, {_KEY} AS w, {_V} AS v FROM window_wordforms),
+    parsed AS (SELECT *, {_KEY} AS w, {_V} AS v FROM (SELECT DISTINCT {', '.join(_SAMPLED_ONCE)} FROM window_wordforms)),
     reasoned AS (SELECT *, list_sort(list_distinct(list_filter(v, lambda x: x NOT IN ('ㆍ', 'ㅏ', 'ㅗ', 'ㅡ', 'ㅓ', 'ㅜ', 'ㅣ')))) AS other FROM parsed),
     judged AS (SELECT *, CASE WHEN len(v) < 2 THEN 'BELOW_MIN_VOWELS' WHEN len(other) > 0 THEN 'NONCORE_VOWEL:' || array_to_string(other, ',') END AS reason FROM reasoned),
     eligible AS (SELECT w, wordform_id, token, v, array_to_string({_UR}, ' ') AS d2l_ur, array_to_string(v, ' ') AS d2l_sr,
@@ -381,7 +481,7 @@ _CONVERTED = f"""
 
 
 def _sampled(spark, folder) -> DataFrame:
-    return table(spark, folder, "window_wordforms").withColumn("w", F.concat_ws("/", "run_name", "time_window_id"))
+    return table(spark, folder, "window_wordforms").select(*_SAMPLED_ONCE).distinct().withColumn("w", F.concat_ws("/", "run_name", "time_window_id"))
 
 
 @query(f"""
@@ -422,7 +522,7 @@ def pair_window_diagnostics(spark, folder):
 _DETAIL = "w, d2l_sr, baseline_status, baseline_trigger, baseline_trigger_rtr, prediction_N, prediction_exceptions, wordform_exception"
 _RTR_SQL = "CASE WHEN {0} = 'ㅣ' THEN '-RTR' WHEN {0} IN ('ㆍ', 'ㅏ', 'ㅗ') THEN '+RTR' WHEN {0} IN ('ㅡ', 'ㅓ', 'ㅜ') THEN '-RTR' END"
 _SCORED = f"""
-    split AS (SELECT *, {_KEY} AS w, coalesce(list_filter(string_split(trim(d2l_sr), ' '), lambda x: x <> ''), []) AS v FROM d2l_wordforms),
+    split AS (SELECT *, {_KEY} AS w, coalesce(list_filter(string_split(trim(d2l_sr), ' '), lambda x: x <> ''), []) AS v FROM (SELECT DISTINCT {', '.join(_PAIRED_ONCE)} FROM d2l_wordforms)),
     aimed AS (SELECT *, list_sort(list_distinct(list_filter(v, lambda x: x NOT IN ('ㆍ', 'ㅏ', 'ㅗ', 'ㅡ', 'ㅓ', 'ㅜ', 'ㅣ')))) AS other, list_filter(v[2:], lambda x: x IN {_HARMONIC_SQL}) AS later, {_RTR_SQL.format('v[1]')} AS rtr FROM split),
     stated AS (SELECT *, CASE WHEN len(v) = 0 THEN 'EMPTY_SEQUENCE' WHEN len(other) > 0 THEN 'NONCORE_VOWEL:' || array_to_string(other, ',') WHEN v[1] = 'ㅣ' THEN 'INITIAL_I_UNSCORED'
                  WHEN len(later) = 0 THEN 'NO_LATER_HARMONIC_TARGET' ELSE 'SCORABLE' END AS baseline_status FROM aimed),
@@ -432,8 +532,12 @@ _SCORED = f"""
     details AS (SELECT *, baseline_status = 'SCORABLE' AND prediction_exceptions > 0 AS wordform_exception FROM scored)"""
 
 
+def _paired(spark, folder) -> DataFrame:
+    return table(spark, folder, "d2l_wordforms").select(*_PAIRED_ONCE).distinct().withColumn("w", F.concat_ws("/", "run_name", "time_window_id"))
+
+
 def _details(spark, folder) -> DataFrame:
-    return pairs.baseline_details(table(spark, folder, "d2l_wordforms").withColumn("w", F.concat_ws("/", "run_name", "time_window_id")))
+    return pairs.baseline_details(_paired(spark, folder))
 
 
 @query(f"WITH {_SCORED} SELECT {_DETAIL} FROM details")
@@ -464,11 +568,20 @@ def tolerance_threshold(spark, folder):
     return counts.select("n", F.round(pairs.theta(n), 9).alias("theta_N"), pairs.tolerance_pass(n, F.expr("n div 5")).alias("TP_pass"))
 
 
+_MINUS = _SCORED.replace("WHEN v[1] = 'ㅣ' THEN 'INITIAL_I_UNSCORED'\n", "\n")
+
+
+@query(f"WITH {_MINUS} SELECT {_DETAIL} FROM details")
+def baseline_wordforms_minus_rtr(spark, folder):
+    """The scores where an initial ㅣ counts as -RTR."""
+    return pairs.baseline_details(_paired(spark, folder), initial_i="minus-rtr").select(*_DETAIL.split(", "))
+
+
 # ---- learner ----
 
 
 def _learned(spark, folder, mode: str = "progressive") -> DataFrame:
-    rows = table(spark, folder, "d2l_wordforms").where("d2l_ur is not null and d2l_sr is not null").withColumn("w", F.concat_ws("/", "run_name", "time_window_id"))
+    rows = _paired(spark, folder).where("d2l_ur is not null and d2l_sr is not null")
     found = rows.groupBy("w", "d2l_ur", "d2l_sr").agg(F.count("*").cast("int").alias("lexical_type_weight"))
     return learning.learn(found, "w", mode)
 
@@ -508,19 +621,132 @@ def failure_target_summary(spark, folder):
     return learning.failure_targets(learning.exploded(_learned(spark, folder), "events", "w"), "w")
 
 
-@query()
+_RTR_OF = "CASE WHEN {0} IN ('ㆍ', 'ㅏ', 'ㅗ') THEN '+' WHEN {0} IN ('ㅡ', 'ㅓ', 'ㅜ', 'ㅣ') THEN '-' END"
+_SURFACE_OF = "CASE WHEN {value} IS NULL THEN {symbol} WHEN {symbol} IN ('A', 'EO') THEN CASE {value} WHEN '+' THEN 'ㅏ' ELSE 'ㅓ' END WHEN {symbol} IN ('O', 'U') THEN CASE {value} WHEN '+' THEN 'ㅗ' ELSE 'ㅜ' END ELSE CASE {value} WHEN '+' THEN 'ㆍ' ELSE 'ㅡ' END END"
+
+
+def _walk_sql(name: str, default: str) -> str:
+    """A recursive CTE: the pairs read from left to right, each target predicted from the symbol before, as it was predicted."""
+    symbol, context = "u[i]", "before"
+    value = f"CASE WHEN list_contains(contexts, {context}) THEN {_RTR_OF.format(context)} ELSE {default} END"
+    target = f"list_contains(targets, {symbol})"
+    predicted = f"CASE WHEN {target} THEN {_SURFACE_OF.format(value=value, symbol=symbol)} ELSE {symbol} END"
+    row = f"w, ur, sr, weight, u, s, targets, contexts, preset, i, {context} AS context, {target} AS is_target, {predicted} AS predicted, s[i] AS actual, solved AS resolved, ok AS before_right"
+    return f"""
+    {name} AS (
+      SELECT {row} FROM (SELECT *, 1 AS i, '⋊' AS before, false AS solved, NULL::BOOLEAN AS ok FROM ruled)
+      UNION ALL
+      SELECT {row} FROM (SELECT * EXCLUDE (i, context, is_target, predicted, actual, resolved, before_right), i + 1 AS i, predicted AS before, is_target AS solved, predicted = actual AS ok FROM {name} WHERE i < len(u)))"""
+
+
+#: The learner's first step: a rule without a tier, from left to right, with the default that follows from what the rule leaves open.
+_FIRST_STEP = f"""
+    pairs AS (SELECT {_KEY} AS w, d2l_ur AS ur, d2l_sr AS sr, count(*) AS weight, string_split(d2l_ur, ' ') AS u, string_split(d2l_sr, ' ') AS s FROM (SELECT DISTINCT {', '.join(_PAIRED_ONCE)} FROM d2l_wordforms) WHERE d2l_ur IS NOT NULL AND d2l_sr IS NOT NULL GROUP BY ALL),
+    symbols AS (SELECT w, unnest(u) AS symbol, unnest(s) AS surface FROM pairs),
+    changed AS (SELECT w, list(DISTINCT symbol) AS targets FROM symbols WHERE symbol <> surface GROUP BY w),
+    next_to AS (SELECT w, list(DISTINCT before) AS contexts FROM (SELECT w, targets, unnest(u[1:len(u) - 1]) AS before, unnest(u[2:]) AS symbol FROM pairs JOIN changed USING (w)) WHERE list_contains(targets, symbol) GROUP BY w),
+    ruled AS (SELECT pairs.*, targets, coalesce(contexts, []) AS contexts, NULL::VARCHAR AS preset FROM pairs JOIN changed USING (w) LEFT JOIN next_to USING (w)),
+    {_walk_sql('undecided', 'NULL')},
+    open_targets AS (SELECT w, actual, sum(weight) AS n FROM undecided WHERE list_contains(targets, predicted) GROUP BY w, actual),
+    presets AS (SELECT w, {_RTR_OF.format('best')} AS preset FROM (SELECT w, first(actual ORDER BY n DESC, actual) AS best FROM open_targets GROUP BY w))"""
+_FIRST_STEP += f""",
+    {_walk_sql('decided', 'preset').replace('FROM ruled)', 'FROM (SELECT ruled.* REPLACE (presets.preset AS preset) FROM ruled LEFT JOIN presets USING (w)))')},
+    predictions AS (SELECT * FROM decided WHERE is_target),
+    misses AS (SELECT w, weight, context, CASE WHEN i = 1 THEN 'BOUNDARY' WHEN resolved THEN 'RESOLVED_TARGET_CONTEXT' ELSE 'ORIGINAL_SPECIFIED_CONTEXT' END AS source, list_contains(contexts, context) AS used, resolved AND NOT before_right AS again,
+                      i = 2 AS protected, list_contains(contexts, context) AND i > 2 AND NOT list_contains(targets, context) AS eligible FROM predictions WHERE predicted <> actual),
+    summed AS (SELECT w, 'harmony' AS branch, 0 AS attempt_depth, 'left_to_right' AS candidate_direction, true AS selected_candidate, context AS context_segment, source AS context_source, count(*) AS structural_failed_predictions,
+                      CAST(sum(weight) AS BIGINT) AS weighted_failed_predictions, {', '.join(f"CAST(sum(CASE WHEN {c} THEN weight ELSE 0 END) AS BIGINT) AS {n}" for n, c in (('weighted_eligible_for_delset', 'eligible'), ('weighted_ineligible_for_delset', 'NOT eligible'), ('weighted_errors_after_prior_misprediction', 'again'), ('weighted_default_errors', 'NOT used'), ('weighted_protected_initial_context_errors', 'protected')))}
+               FROM misses GROUP BY w, context, source)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_FIRST_STEP}
+    SELECT w, CAST(sum(weight) AS BIGINT) AS prediction_n, CAST(sum(CASE WHEN predicted = actual THEN weight ELSE 0 END) AS BIGINT) AS prediction_correct, round(CASE WHEN sum(weight) > 1 THEN sum(weight) / ln(sum(weight)) END, 9) AS theta_n,
+      any_value(array_to_string(list_sort(targets), ' ')) AS target_segments, any_value(array_to_string(list_sort(contexts), ' ')) AS left_contexts, coalesce('RTR ' || any_value(preset), '') AS default_value FROM predictions GROUP BY w""")
+def learner_first_step(spark, folder):
+    """What the learner's first rule of each window predicts."""
+    first = learning.exploded(_learned(spark, folder), "trace", "w").where("attempt_depth = 0")
+    return first.select("w", F.col("selected_prediction_N").alias("prediction_n"), F.col("selected_prediction_correct").alias("prediction_correct"), F.round("theta_N", 9).alias("theta_n"), "target_segments", "left_contexts", F.col("default").alias("default_value"))
+
+
+@query(f"""
+    WITH RECURSIVE {_FIRST_STEP}
+    SELECT *, round(weighted_failed_predictions / nullif(sum(weighted_failed_predictions) OVER (PARTITION BY w), 0)::DOUBLE, 9) AS share_of_weighted_failures,
+      CAST(dense_rank() OVER (PARTITION BY w ORDER BY weighted_failed_predictions DESC) AS INTEGER) AS failure_rank_within_candidate FROM summed""")
 def initial_harmony_failures(spark, folder):
-    return learning.initial_harmony(failure_context_summary(spark, folder))
+    return learning.initial_harmony(failure_context_summary(spark, folder)).withColumn("share_of_weighted_failures", F.round("share_of_weighted_failures", 9))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_FIRST_STEP}, placed AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY weighted_failed_predictions DESC, context_segment, context_source) AS place FROM summed)
+    SELECT w, string_agg(context_segment || ':' || weighted_failed_predictions, '; ' ORDER BY place) AS initial_harmony_top_error_contexts FROM placed WHERE place <= 5 GROUP BY w""")
 def top_failure_contexts(spark, folder):
     return learning.top_contexts(failure_context_summary(spark, folder), "w")
 
 
 @query()
 def merged_baseline(spark, folder):
-    return learning.with_baseline(learning.results(_learned(spark, folder)), pairs.baseline_by_window(_details(spark, folder), "w"), "w")
+    # the learner's result is a row for each window; written once, it is not made again for the check of its windows
+    return learning.with_baseline(checkpoint(learning.results(_learned(spark, folder))), pairs.baseline_by_window(_details(spark, folder), "w"), "w")
+
+
+# ---- files ----
+
+
+def _there_and_back(spark, write, read) -> DataFrame:
+    """What `read` finds of what `write` has left in the shared folder; the files go when it is there."""
+    path = work_path(spark, "files")
+    write(path)
+    found = checkpoint(read(path))
+    remove(spark, path)
+    return found
+
+
+@query("SELECT id, text, year, language, script, source, corpus FROM raw_documents WHERE text IS NOT NULL")
+def documents_by_json_lines(spark, folder):
+    """Documents written as JSON lines, which a second run leaves alone, and read with a count of what is no text."""
+    docs = table(spark, folder, "raw_documents").select(*D.OPTIONAL)
+
+    def write(path):
+        files.write_documents(docs, path)
+        files.write_documents(docs.limit(0), path)
+
+    return _there_and_back(spark, write, lambda path: files.read_documents(spark, path, glob="*.json")[0].select(*D.OPTIONAL))
+
+
+_CSV_COLUMNS = ["run_name", "time_window_id", "wordform_id", "token_count_in_window", "contains_idu_derived_observation"]
+
+
+@query(f"SELECT {', '.join(_CSV_COLUMNS)} FROM window_wordforms")
+def wordforms_by_csv(spark, folder):
+    """Word forms written as CSV with a byte order mark and a fixed order of columns, and read by their header."""
+    rows = table(spark, folder, "window_wordforms")
+    typed = [F.col(c).cast(rows.schema[c].dataType).alias(c) for c in _CSV_COLUMNS]
+    return _there_and_back(spark, lambda path: files.write_csv(rows, path, _CSV_COLUMNS), lambda path: files.read_csv(spark, path, _CSV_COLUMNS).select(*typed))
+
+
+@query(f"WITH {_CONVERTED} SELECT replace(w, '/', '_') AS w, d2l_ur, d2l_sr, CAST(count(*) AS INTEGER) AS lexical_type_weight FROM eligible GROUP BY w, d2l_ur, d2l_sr")
+def pairs_by_window_files(spark, folder):
+    """Weighted pairs written as one headerless table for each window, and read with the window from the folder's name."""
+    found = pairs.weighted_pairs(pairs.convert(_sampled(spark, folder), "w")[0], "w")
+    back = _there_and_back(spark, lambda path: files.write_window_pairs(found, path, "w"), lambda path: files.read_window_pairs(spark, path))
+    return back.withColumnRenamed("time_window_id", "w")
+
+
+@query()
+def identified_documents(spark, folder):
+    """Stage 01 with a model that is trained here: a letter n-gram identifier, from a bounded sample of labelled documents."""
+    docs = table(spark, folder, "raw_documents")
+    texts, labels = language_id.labelled_sample(docs, table(spark, folder, "language_names"))
+    model = spark.sparkContext.broadcast(language_id.Letters.train(texts, labels)) if texts else None
+    load = partial(_value_of, model)
+    known = [x for x in D.ALL_LABELS if x in labels]
+    among = lambda wanted: language_id.identify(load, tuple(x for x in wanted if x in known)) if known else None
+    return D.classify(D.profile(docs, among(D.ALL_LABELS)), among(D.RECORD_LABELS)).select("id", "language", "language_score", "category", "script")
+
+
+def _value_of(shared):
+    return shared.value
 
 
 # ---- dictionary ----
@@ -555,8 +781,59 @@ def idu_readings_all_rows(spark, folder):
     return made.select("token", F.explode(lexicon.reading_column(F.col("h"))).alias("r")).select("token", "r.reading")
 
 
-@query()
+_READINGS = "('不可不察', '불가불찰'), ('不可', '불가'), ('奏請', '주청'), ('奏請', '주쳥'), ('啓曰', '계왈'), ('從之以', '종지이')"
+_FOUND = f"{_processed_sql('raw_documents')}, found AS (SELECT id, unnest(regexp_extract_all(text, '不可不察|從之以|不可|奏請|啓曰')) AS match_text FROM kept)"
+
+
+def _idu_settings(excluded: bool) -> tokens.Extraction:
+    return tokens.Extraction(exclude_idu_derived_wordforms=excluded)
+
+
+@query(f"WITH {_FOUND} SELECT id AS doc_id, match_text AS idu_match_text, reading AS token, count(*) AS n_rows FROM found JOIN (VALUES {_READINGS}) AS r(word, reading) ON match_text = word GROUP BY ALL")
+def idu_token_rows(spark, folder):
+    """The token rows of dictionary matches: all readings of each."""
+    docs = D.classify(D.profile(table(spark, folder, "raw_documents")))
+    rows = tokens.idu_rows(docs, lexicon.Lexicon.build(_DICTIONARY), _idu_settings(False))
+    return rows.groupBy("doc_id", "idu_match_text", "token").agg(F.count("*").alias("n_rows"))
+
+
+@query(f"""
+    WITH {_FOUND}, {_tokens_sql('kept')}, {_EXTRACTED}
+    SELECT (SELECT count(*) FROM kept WHERE text IS NOT NULL) AS documents_used, (SELECT count(*) FROM classed) AS hangul_rows, (SELECT count(*) FROM found) AS idu_matches, 0::BIGINT AS idu_rows_emitted,
+      (SELECT count(*) FROM found JOIN (VALUES {_READINGS}) AS r(word, reading) ON match_text = word) AS idu_rows_suppressed""")
+def extraction_counts(spark, folder):
+    """What an extraction that excludes dictionary readings has seen, made and left out."""
+    docs = D.classify(D.profile(table(spark, folder, "raw_documents")))
+    found = tokens.counts(docs, _idu_settings(True), lexicon.Lexicon.build(_DICTIONARY))
+    return found.select(*(F.col(c).cast("bigint").alias(c) for c in found.columns))
+
+
+_HANJA_CHAR = "(" + " OR ".join(f"unicode(c) BETWEEN {a} AND {z}" for a, z in lexicon.HANJA) + ")"
+_HANGUL_LETTER = "(" + " OR ".join(f"unicode(c) BETWEEN {a} AND {z}" for a, z in lexicon.HANGUL) + ")"
+
+
+def _letters_of(c: str) -> str:
+    return f"coalesce(len(list_filter(string_split(letters, ''), lambda c: c <> '' AND {c})), 0)"
+
+
+#: The words of the small dictionary share no letter, so that none can stand where another does.
+@query(f"""
+    WITH {_normal_sql('raw_documents')},
+    lettered AS (SELECT numbered.id, numbered.text AS given, {_replace('composed.text', _NO_LETTER)} AS letters FROM composed JOIN numbered USING (rid)),
+    measured AS (SELECT *, length(coalesce(letters, '')) AS n, {_letters_of(_HANJA_CHAR)} AS hanja, {_letters_of(_HANGUL_LETTER)} AS hangul, regexp_extract_all(letters, '不可不察|啓曰|從之以') AS grammar, regexp_extract_all(letters, '奏請') AS nouns,
+                        len(regexp_extract_all(letters || '。', '[爲去]乙[^丑卯巳未酉亥子寅辰午申戌]')) AS guards FROM lettered),
+    scored AS (SELECT *, n > 0 AND hanja / n >= 0.88 AS open, len(grammar) AS hits, CASE WHEN n <= 100 THEN 0.0104 WHEN n <= 300 THEN 0.008622 ELSE 0.003813 END AS least, len(grammar) / greatest(hanja, 1)::DOUBLE AS score FROM measured)
+    SELECT id, CASE WHEN NOT open OR given IS NULL OR given = '' THEN 'other' WHEN hits > 0 AND score >= least + CASE WHEN n <= 100 AND hits = 1 THEN 0.001 ELSE 0 END THEN 'kr' ELSE 'cc' END AS pred,
+      CASE WHEN given IS NULL OR given = '' THEN 'no_text' WHEN n = 0 THEN 'no_valid_letters' WHEN NOT open THEN printf('low_hanja_%d(%.3f)', hanja, hanja / n) END AS reason,
+      CASE WHEN open THEN CAST(hits AS INTEGER) ELSE 0 END AS raw, round(CAST(CASE WHEN n = 0 THEN 0 WHEN open THEN score ELSE hanja / n END AS DOUBLE), 9) AS ratio, CAST(CASE WHEN n = 0 THEN NULL WHEN open THEN least ELSE 0.88 END AS DOUBLE) AS threshold,
+      CASE WHEN open THEN array_to_string(list_sort(list_distinct(grammar)), ' ') ELSE '' END AS matched, CASE WHEN open THEN array_to_string(nouns, ' ') ELSE '' END AS lex_only,
+      CAST(length(coalesce(given, '')) AS INTEGER) AS orig_len, CAST(n AS INTEGER) AS norm_len, CAST(hanja AS INTEGER) AS hanja, CAST(hangul AS INTEGER) AS hangul, CASE WHEN open THEN CAST(hits + len(nouns) + guards AS INTEGER) ELSE 0 END AS n_spans FROM scored""")
 def idu_classification(spark, folder):
     words = {d["idu_text"] for d in _DICTIONARY}
     classified = lexicon.classifier_column(lexicon.IduClassifier(words, ["爲", "去"], {"不可"}, {"奏請"}), spark)
-    return table(spark, folder, "raw_documents").select("id", classified(F.col("text")).alias("c")).select("id", "c.*")
+    found = table(spark, folder, "raw_documents").select("id", classified(F.col("text")).alias("c"))
+    listed = lambda c: F.array_join(c, " ")
+    return found.select(
+        "id", "c.pred", "c.reason", "c.raw", F.round("c.ratio", 9).alias("ratio"), F.round("c.threshold", 9).alias("threshold"), listed(F.array_sort("c.matched")).alias("matched"), listed("c.lex_only").alias("lex_only"),
+        "c.orig_len", "c.norm_len", "c.hanja", "c.hangul", F.size("c.spans").alias("n_spans"),
+    )

@@ -35,3 +35,29 @@ def test_profile_with_a_model(spark):
     got = documents.profile(df, language_id.identify(load, ("kor_Hang", "eng_Latn"))).select("language", F.col("language_score") > 0.5).collect()
     assert [tuple(r) for r in got] == [("kor_Hang", True), ("eng_Latn", True), (None, None)]
     assert [r[0] for r in df.select(language_id.all_labels(load)(F.col("text"))).collect()] == ["kor_Hang", "eng_Latn", "UNK"]
+
+
+TEXTS = {
+    "eng_Latn": ["The clerk of the town was sent away.", "A gate of the temple was closed.", "The letter was copied in the spring."], "fra_Latn": ["Le greffier de la ville fut renvoyé.", "Une porte du temple était fermée.", "La lettre fut copiée au printemps."],
+    "spa_Latn": ["El escribano de la villa fue enviado.", "Una puerta del templo se cerró.", "La carta se copió en primavera."], "kor_Hang": ["마을의 노인이 편지를 읽었다.", "시장에서 소금을 팔았다."], "jpn_Jpan": ["これは村の手紙です。", "市場で塩を売りました。"],
+}
+
+
+def test_a_trained_model_reaches_all_languages(spark, tmp_path):
+    names = spark.createDataFrame([(f" {x.upper()} ", x) for x in TEXTS], "language_label string, language string")
+    docs = spark.createDataFrame([(t, x) for x, texts in TEXTS.items() for t in texts] + [(None, "eng_Latn"), ("", "eng_Latn"), ("x", None)], "text string, language string")
+    texts, labels = language_id.labelled_sample(docs, names, per_label=2)
+    assert len(texts) == 10 and set(labels) == set(TEXTS)
+    path = str(tmp_path / "model")
+    language_id.Letters.train([t for x in TEXTS.values() for t in x], [x for x, t in TEXTS.items() for _ in t]).save(path)
+    identify = language_id.identify(language_id.saved(path), tuple(TEXTS))
+    raw = spark.createDataFrame([("kcna_jp:1", "La carta de la villa se cerró."), ("kcna_jp:2", "The letter of the clerk was closed."), ("jpn_records:1", "La porte de la ville était fermée au printemps."), ("jpn_records:2", "市場の手紙です。")], "id string, text string")
+    done = documents.classify(documents.profile(raw, identify), language_id.identify(language_id.saved(path), documents.RECORD_LABELS))
+    assert {r["id"]: (r["category"], r["language"]) for r in done.collect()} == {"kcna_jp:1": ("es", "Spanish"), "kcna_jp:2": ("en", "English"), "jpn_records:1": ("fr", "French"), "jpn_records:2": ("ja", "Japanese")}
+
+
+def test_without_a_model_words_tell_languages_in_latin_letters(spark):
+    raw = spark.createDataFrame([("kcna_jp:1", "La carta de los hombres se cerró por el río."), ("kcna_jp:2", "The letter of the clerk was closed."), ("jpn_records:1", "Les portes de la ville et du temple."), ("magazine:1", "XYZ")], "id string, text string")
+    profiled = documents.profile(raw)
+    assert {r["id"]: r["language"] for r in profiled.collect()} == {"kcna_jp:1": "spa_Latn", "kcna_jp:2": "eng_Latn", "jpn_records:1": "fra_Latn", "magazine:1": "eng_Latn"}
+    assert {r["id"]: r["category"] for r in documents.classify(profiled).collect()} == {"kcna_jp:1": "es", "kcna_jp:2": "en", "jpn_records:1": "fr", "magazine:1": "en"}

@@ -143,7 +143,7 @@ def test_before_hangul(spark):
 def test_matches_and_readings(spark):
     own = lexicon.Lexicon.build([{"idu_text": "A", "hangul_text": "가"}, {"idu_text": "AB", "hangul_text": "가나, 다라"}, {"idu_text": "AB", "hangul_text": "가나, 다라"}, {"idu_text": "", "hangul_text": "x"}, {"idu_text": "Z"}])
     assert own.matches("xＡB y") == [(1, 3, "AB")] and len(own.entries["AB"]) == 1
-    assert lexicon.Lexicon.load(None).matches("x") == [] and lexicon.Lexicon().pattern() is None
+    assert lexicon.Lexicon.load(None).matches("x") == [] and lexicon.Lexicon().automaton() is None
     assert [r["reading"] for r in one(spark, lexicon.reading_column(F.lit("가나, 다라")))] == ["가나", "다라"]
     assert one(spark, lexicon.reading_column(F.lit("가나다라마바사")))[0]["note"].endswith("concatenated_variants") and one(spark, lexicon.reading_column(F.lit(None).cast("string"))) == []
     docs = documents.classify(documents.profile(spark.createDataFrame([("gaksa:1", "xＡB y", 1700.0)], "id string, text string, year double")))
@@ -151,6 +151,20 @@ def test_matches_and_readings(spark):
     assert sorted(r["token"] for r in rows) == ["가나", "다라"] and list(rows[0].asDict()) == list(tokens.COLUMNS)
 
 
+def test_matches_against_an_alternation():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        words = {"".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(6)}
+        own = lexicon.Lexicon.build([{"idu_text": w, "hangul_text": "가"} for w in words])
+        text = "".join(rng.choices("abcd", k=30))
+        pattern = re.compile("|".join(sorted(words, key=lambda w: -len(w))))
+        assert own.matches(text) == [(m.start(), m.end(), m.group()) for m in pattern.finditer(text)]
+    own = lexicon.Lexicon.build([{"idu_text": "k", "hangul_text": "가"}, {"idu_text": "gx", "hangul_text": "나"}])
+    assert own.matches("㎏x") == [(0, 1, "k")]  # the rest of a character that a match has used is used as well
+
+
 def test_classifier():
     c = lexicon.IduClassifier({"等乙", "去乙", "爲去乎", "水刺"}, ["爲", "去"], {"不得"}, {"水刺"})
     assert c.classify(None)["reason"] == "no_text" and c.classify("12")["reason"] == "no_valid_letters" and c.classify("한글 글월")["pred"] == "other"
@@ -297,6 +311,31 @@ def test_baseline_belongs_one_to_one(spark):
             learning.with_baseline(left, right).collect()
 
 
+def test_commands_from_files_to_results(spark, tmp_path):
+    from hanstrata.plans import commands
+
+    (tmp_path / "in/a").mkdir(parents=True)
+    docs = [{"id": f"newslibrary:{i}", "text": "가나 다라마 고노 구누디 가니다 奏請 漢字(한자) " * 3, "year": 1900 + i} for i in range(6)]
+    (tmp_path / "in/a/x.jsonl").write_text("\n".join(json.dumps(d, ensure_ascii=False) for d in docs) + "\nnot json\n", encoding="utf-8")
+    (tmp_path / "words.json").write_text(json.dumps([{"sequence": 1, "idu_text": "奏請", "hangul_text": "주청, 주쳥"}], ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "s.json").write_text('{"min_window_wordforms": 1, "target_wordforms_per_window": 5}', encoding="utf-8")
+    done, rows, run = (str(tmp_path / x) for x in ("done", "rows", "run"))
+    assert commands.main(["preprocess", str(tmp_path / "in"), done], spark)["bad_lines"] == 1
+    counts = commands.main(["extract", done, rows, "--dictionary", str(tmp_path / "words.json"), "--min-vowels", "2"], spark)
+    assert counts == {"documents_used": 6, "hangul_rows": 6 * 3 * 6, "idu_matches": 18, "idu_rows_emitted": 0, "idu_rows_suppressed": 36}
+    assert commands.main(["sample", rows, run, "--config", str(tmp_path / "s.json"), "--max-word-vowels", "4"], spark)["sampled_wordforms"] == 10
+    assert commands.main(["pair", run, run], spark)["eligible_wordforms"] == 10
+    assert commands.main(["baseline", run, run, "--initial-i-policy", "minus-rtr"], spark)["windows"] == 2 == commands.main(["learn", run, run], spark)["windows"]
+    assert json.loads((tmp_path / "run/sampling_config.json").read_text())["target_wordforms_per_window"] == 5 and json.loads((tmp_path / "run/baseline/baseline_analysis_config.json").read_text())["initial_i_policy"] == "minus-rtr"
+    for name in ("sampled_time_window_wordforms", "sampled_time_window_original_token_rows", "time_window_diagnostics", "excluded_time_windows", "d2l_core/d2l_weighted_pairs", "baseline/baseline_exception_rate_by_window", "d2l_results/d2l_results_by_window"):
+        first = next((tmp_path / "run" / name).glob("part-*.csv")).read_bytes()
+        assert first.startswith(b"\xef\xbb\xbf"), name  # also without rows
+    found = files.read_csv(spark, f"{run}/d2l_results/d2l_results_by_window", ["time_window_id", "baseline_prediction_N", "initial_harmony_top_error_contexts"])
+    assert found.count() == 2
+    with pytest.raises(ValueError, match="usage"):
+        commands.main(["nope"], spark)
+
+
 def test_a_run_writes_token_rows_details_and_settings(spark, tmp_path):
     docs = [(f"newslibrary:{i}", "가나 다라마 고노 구누디 가니다 " * 3, 1900.0 + i) for i in range(6)]
     run = Analysis(spark.createDataFrame(docs, "id string, text string, year double"), sampling=sampling.Sampling(min_window_wordforms=1))
