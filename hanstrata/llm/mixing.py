@@ -244,28 +244,39 @@ def _slots(spark, plans: dict[str, pd.DataFrame], block: int, seed: int, slots_p
     for m, own in enumerate(draws.slots):
         excess[m] = np.maximum(got[m] - own, 0)
 
+    lacking = [np.maximum(own - g, 0) for own, g in zip(draws.slots, got, strict=True)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for m, k, n, s, at, count, start in frame.itertuples(index=False):
-                ordinal, source = start + np.arange(count), np.full(count, s)
-                over = ordinal >= draws.slots[m][s]
-                if over.any():  # these go to the sources that were drawn too seldom, in order
-                    lacking = np.maximum(draws.slots[m] - got[m], 0)
-                    number = (np.cumsum(excess[m]) - excess[m])[s] + ordinal[over] - draws.slots[m][s]
-                    source[over] = np.searchsorted(np.cumsum(lacking), number, side="right")
-                    ordinal[over] = got[m][source[over]] + number - (np.cumsum(lacking) - lacking)[source[over]]
-                blocks, tokens = draws.blocks[m][source], draws.tokens[m][source]
-                repeat, index = np.divmod(ordinal, blocks)
-                where, due = index.copy(), np.full(count, block)
-                for t in np.unique(source):
-                    whole = int(draws.tokens[m][t]) // block  # a shorter block is the last of each round
-                    for r in np.unique(repeat[source == t]):
-                        mine = (source == t) & (repeat == r) & (index < whole)
-                        where[mine] = permuted(index[mine], whole, hash((seed, m, int(t), int(r))) & 0x7FFFFFFF)
-                last = ordinal == draws.slots[m][source] - 1
-                due[last] = (draws.planned[m][source] - repeat * tokens - index * block)[last]
-                slot = np.random.default_rng([seed, m, k, 1]).permutation(n)[at : at + count]
-                yield pd.DataFrame({"mix_name": draws.names[m], "shard": k, "slot": slot, "source": np.array(draws.sources[m], object)[source], "block": where, "repeat": repeat, "due": due})
+            for m, rows in frame.groupby("mix", sort=False):
+                yield of_mix(int(m), rows)
+
+    def of_mix(m: int, rows: pd.DataFrame) -> pd.DataFrame:
+        n = rows["n"].to_numpy()
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        source, ordinal, shard = (np.repeat(x, n) for x in (rows["source"].to_numpy(), rows["first"].to_numpy(), rows["shard"].to_numpy()))
+        ordinal = ordinal + within
+        over = np.flatnonzero(ordinal >= draws.slots[m][source])
+        if len(over):  # these go to the sources that were drawn too seldom, in order
+            number = (np.cumsum(excess[m]) - excess[m])[source[over]] + ordinal[over] - draws.slots[m][source[over]]
+            source[over] = np.searchsorted(np.cumsum(lacking[m]), number, side="right")
+            ordinal[over] = got[m][source[over]] + number - (np.cumsum(lacking[m]) - lacking[m])[source[over]]
+        repeat, index = np.divmod(ordinal, draws.blocks[m][source])
+        # rounds of a source, one after the other
+        rounds = source * (repeat.max() + 1) + repeat
+        order = np.argsort(rounds, kind="stable")
+        where = index.copy()
+        for mine in np.split(order, np.flatnonzero(np.diff(rounds[order])) + 1):
+            s, r = int(source[mine[0]]), int(repeat[mine[0]])
+            whole = int(draws.tokens[m][s]) // block  # a shorter block is the last of each round
+            mine = mine[index[mine] < whole]
+            where[mine] = permuted(index[mine], whole, hash((seed, m, s, r)) & 0x7FFFFFFF)
+        due = np.full(len(ordinal), block)
+        last = ordinal == draws.slots[m][source] - 1
+        due[last] = (draws.planned[m][source] - repeat * draws.tokens[m][source] - index * block)[last]
+        shuffled = {k: np.random.default_rng([seed, m, k, 1]).permutation(size) for k, size in dict(zip(rows["shard"].tolist(), rows["slots"].tolist(), strict=True)).items()}
+        slot = np.concatenate([shuffled[k][at : at + c] for k, at, c in zip(rows["shard"].tolist(), rows["at"].tolist(), n.tolist(), strict=True)])
+        return pd.DataFrame({"mix_name": draws.names[m], "shard": shard, "slot": slot, "source": np.array(draws.sources[m], object)[source], "block": where, "repeat": repeat, "due": due})
 
     # few bytes for much work, so these must not be put together by size
     spread = max(1, min(n_shards, 8 * spark.sparkContext.defaultParallelism))
