@@ -25,7 +25,7 @@ _LOW, _HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
 def _accumulate(keys: pa.Array, counts, low, high):
-    """Dictionary-encodes keys and reduces the arrays by code; keys in order of first occurrence."""
+    """Dictionary-encodes keys and reduces the arrays by code: keys in order of first occurrence, the arrays, and the code of each row."""
     encoded = keys.dictionary_encode()
     code = encoded.indices.to_numpy(zero_copy_only=False)
     n = len(encoded.dictionary)
@@ -37,7 +37,7 @@ def _accumulate(keys: pa.Array, counts, low, high):
     lowest, highest = np.full(n, _LOW), np.full(n, _HIGH)
     np.minimum.at(lowest, code, low)
     np.maximum.at(highest, code, high)
-    return encoded.dictionary, total, lowest, highest
+    return encoded.dictionary, total, lowest, highest, code
 
 
 def _filled(column: pa.ChunkedArray | pa.Array, empty: int) -> np.ndarray:
@@ -53,10 +53,9 @@ def _split_arrays(n_blocks: int):
             t = pa.Table.from_batches(held).combine_chunks()
             block_of = t["block"].combine_chunks() if t["block"].num_chunks != 1 else t["block"].chunk(0)
             keys = t["key"].chunk(0) if t["key"].num_chunks == 1 else t["key"].combine_chunks()
-            names, total, low, high = _accumulate(keys, None, _filled(t["low"].chunk(0), _LOW), _filled(t["high"].chunk(0), _HIGH))
-            encoded = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            names, total, low, high, code = _accumulate(keys, None, _filled(t["low"].chunk(0), _LOW), _filled(t["high"].chunk(0), _HIGH))
             block = np.zeros(len(names), np.int32)
-            block[encoded] = block_of.to_numpy(zero_copy_only=False)
+            block[code] = block_of.to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(n_blocks + 1)).astype(np.int32)
             used = np.flatnonzero(np.diff(cuts))
@@ -85,7 +84,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def reduce() -> None:
         nonlocal parts, waiting, held
         keys = pa.concat_arrays([p[0] for p in parts])
-        parts = [_accumulate(keys, *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))]
+        parts = [_accumulate(keys, *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))[:4]]
         waiting, held = 0, len(parts[0][0])
 
     for batch in batches:

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from hanstrata.operators import language_id, learning, pairs, sampling, tokens
 from hanstrata.operators.documents import ALL_LABELS, RECORD_LABELS
 from hanstrata.operators.lexicon import Lexicon, find_resource
+from hanstrata.plans.pipeline import write_in_order
 from hanstrata.plans.pipeline import preprocess as preprocess_files
 from hanstrata.runtime import checkpoint, ship
-from hanstrata.sources import config, files
+from hanstrata.sources import config, files, layout
 
 SAMPLE, SAMPLE_ROWS = "sampled_time_window_wordforms", "sampled_time_window_original_token_rows"
 
@@ -63,8 +64,8 @@ def sample(spark: SparkSession, source: str, target: str, settings: sampling.Sam
     diagnostics = sampling.window_diagnostics(counted, settings)
     chosen = checkpoint(sampling.select_wordforms(counted, diagnostics, settings))
     files.write_csv(chosen, f"{target}/{SAMPLE}", order=["time_window_start", "frequency_rank_in_window"])
-    files.write_csv(sampling.with_sample_sizes(diagnostics, settings), f"{target}/time_window_diagnostics", order=["time_window_start"])
-    files.write_csv(sampling.with_sample_sizes(diagnostics, settings).where("not time_window_is_eligible_for_sampling"), f"{target}/excluded_time_windows", order=["time_window_start"])
+    write_in_order(sampling.with_sample_sizes(diagnostics, settings), f"{target}/time_window_diagnostics", layout.DIAGNOSTICS, order=["time_window_start"])
+    write_in_order(sampling.with_sample_sizes(diagnostics, settings).where("not time_window_is_eligible_for_sampling"), f"{target}/excluded_time_windows", layout.DIAGNOSTICS, order=["time_window_start"])
     if write_token_rows:
         files.write_csv(sampling.selected_token_rows(rows, chosen, settings, anchor), f"{target}/{SAMPLE_ROWS}")
     _echo(spark, settings, f"{target}/sampling_config.json", anchor_year=anchor)
@@ -86,7 +87,7 @@ def pair(spark: SparkSession, source: str, target: str, settings: config.Pairs)
     files.write_csv(eligible, f"{folder}/d2l_wordforms")
     files.write_csv(excluded, f"{folder}/d2l_excluded_wordforms")
     files.write_csv(weighted, f"{folder}/d2l_weighted_pairs")
-    files.write_csv(pairs.pair_diagnostics(rows, settings.window_id_col, settings.vowel_seq_col, settings.min_vowels), f"{folder}/d2l_window_diagnostics")
+    write_in_order(pairs.pair_diagnostics(rows, settings.window_id_col, settings.vowel_seq_col, settings.min_vowels), f"{folder}/d2l_window_diagnostics", layout.PAIR_DIAGNOSTICS)
     if settings.write_window_pair_files:
         files.write_window_pairs(weighted, f"{folder}/window_pairs", settings.window_id_col)
     _echo(spark, settings, f"{folder}/d2l_input_config.json", eligible_wordforms=n)
@@ -102,7 +103,7 @@ def baseline(spark: SparkSession, source: str, target: str, settings: config.Bas
     rows = _typed(files.read_csv(spark, f"{source}/d2l_core/d2l_wordforms", [settings.window_id_col, settings.vowel_seq_col]), time_window_start="int", time_window_end="int")
     details = pairs.baseline_details(rows, settings.vowel_seq_col, settings.initial_i_policy)
     summary, folder = checkpoint(pairs.baseline_by_window(details, settings.window_id_col)), f"{target}/baseline"
-    files.write_csv(summary, f"{folder}/baseline_exception_rate_by_window", order=["time_window_start", settings.window_id_col])
+    write_in_order(summary, f"{folder}/baseline_exception_rate_by_window", layout.BASELINE, order=["time_window_start", settings.window_id_col])
     if settings.write_wordform_details:
         files.write_csv(details, f"{folder}/baseline_wordform_details")
     drawn = files.line_charts(summary, folder, BASELINE_CHARTS) if "://" not in target else []
@@ -119,8 +120,8 @@ def learn(spark: SparkSession, source: str, target: str, settings: config.Learni
     there = f"{source}/baseline/baseline_exception_rate_by_window"
     base = files.read_csv(spark, there, [window]) if files.exists(spark, f"{there}/_SUCCESS") else None
     summary = learning.with_baseline(learning.results(learned), base, window).join(learning.top_contexts(contexts, window), window, "left")
-    files.write_csv(summary, f"{folder}/d2l_results_by_window", order=["time_window_start", window])
-    files.write_csv(learning.exploded(learned, "trace", window), f"{folder}/d2l_learning_trace")
+    write_in_order(summary, f"{folder}/d2l_results_by_window", layout.RESULTS, order=["time_window_start", window])
+    write_in_order(learning.exploded(learned, "trace", window), f"{folder}/d2l_learning_trace", layout.TRACE)
     files.write_csv(learning.exploded(learned, "events", window), f"{folder}/d2l_failed_predictions")
     if settings.write_pair_predictions:
         files.write_csv(learning.exploded(learned, "predictions", window), f"{folder}/d2l_pair_predictions")

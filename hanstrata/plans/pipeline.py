@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from hanstrata.operators import documents, learning, pairs, sampling, tokens
 from hanstrata.operators.lexicon import Lexicon
 from hanstrata.runtime import checkpoint
-from hanstrata.sources import config, files
+from hanstrata.sources import config, files, layout
+
+
+def write_in_order(df: DataFrame, path: str, names: tuple[str, ...], order=()) -> None:
+    files.write_csv(df, path, layout.in_order(df, names), order)
 
 
 @dataclass
@@ -91,16 +95,16 @@ class Analysis:
         """All results and settings of a run below `folder`, with the names and columns of the stages' files."""
         files.write_csv(self.sample, f"{folder}/sampled_time_window_wordforms", order=["time_window_start", "frequency_rank_in_window"])
         files.write_csv(self.selected_token_rows, f"{folder}/sampled_time_window_original_token_rows")
-        files.write_csv(sampling.with_sample_sizes(self.diagnostics, self.sampling), f"{folder}/time_window_diagnostics", order=["time_window_start"])
-        files.write_csv(self.excluded_windows, f"{folder}/excluded_time_windows")
+        write_in_order(sampling.with_sample_sizes(self.diagnostics, self.sampling), f"{folder}/time_window_diagnostics", layout.DIAGNOSTICS, order=["time_window_start"])
+        write_in_order(self.excluded_windows, f"{folder}/excluded_time_windows", layout.DIAGNOSTICS)
         files.write_csv(self.converted[0], f"{folder}/d2l_core/d2l_wordforms")
         files.write_csv(self.converted[1], f"{folder}/d2l_core/d2l_excluded_wordforms")
         files.write_csv(self.weighted_pairs, f"{folder}/d2l_core/d2l_weighted_pairs")
-        files.write_csv(self.pair_diagnostics, f"{folder}/d2l_core/d2l_window_diagnostics")
+        write_in_order(self.pair_diagnostics, f"{folder}/d2l_core/d2l_window_diagnostics", layout.PAIR_DIAGNOSTICS)
         files.write_window_pairs(self.weighted_pairs, f"{folder}/d2l_core/window_pairs")
-        files.write_csv(self.baseline, f"{folder}/baseline/baseline_exception_rate_by_window", order=["time_window_start"])
+        write_in_order(self.baseline, f"{folder}/baseline/baseline_exception_rate_by_window", layout.BASELINE, order=["time_window_start"])
         files.write_csv(self.baseline_details, f"{folder}/baseline/baseline_wordform_details")
-        files.write_csv(self.results, f"{folder}/d2l_results/d2l_results_by_window", order=["time_window_start"])
+        write_in_order(self.results, f"{folder}/d2l_results/d2l_results_by_window", layout.RESULTS, order=["time_window_start"])
         for what, name in (("trace", "d2l_learning_trace"), ("events", "d2l_failed_predictions"), ("predictions", "d2l_pair_predictions")):
             files.write_csv(learning.exploded(self.learned, what), f"{folder}/d2l_results/{name}")
         contexts = learning.failure_contexts(learning.exploded(self.learned, "events"))

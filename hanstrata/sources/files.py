@@ -110,7 +110,10 @@ def write_documents_by_file(df: DataFrame, targets: dict[str, str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: Iterable[str] | None = None, order: Iterable = ()) -> None:
-    """CSV files with a byte order mark, a header and the columns in the given order; without rows, a file with the header only."""
+    """CSV files with a byte order mark and a header; without rows, a file with the header only.
+
+    With `columns` these and no others are written, in this order.
+    """
     df = df.select(*(F.col(f"`{c}`") for c in columns)) if columns else df
     df = df.orderBy(*order) if order else df
     first = df.columns[0]
