@@ -34,6 +34,11 @@ def p4_top_counts(spark: SparkSession, folder: str) -> DataFrame:
 _FIRST = dict(group=["run_name", "time_window_id"], item="wordform_id", score="token_count_in_window", ties=["first_observed_year_in_window", "token", "vowel_seq"], n=TOP_WORDFORMS)
 
 
+def p4_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketch's upper bound of each count beside the exact one."""
+    return _top(spark, folder).select("field_name", "item_value", "estimate", "n_rows")
+
+
 def _windows(spark: SparkSession, folder: str) -> dict:
     """The table, and where its clustered layout is kept: by what its files are, so that other files have another."""
     path = f"{folder}/window_wordforms.parquet"
@@ -108,7 +113,7 @@ def p5_consistent_vowels(spark: SparkSession, folder: str) -> DataFrame:
     return with_form(rows, "vowels", "vowels_consistent", vowel_table(), compose=False)
 
 
-QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p1_line_parts": p1_line_parts, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p2_row_groups": p2_row_groups, "p4_found": p4_found, "p4_top_counts": p4_top_counts}
+QUERIES = {"p5_classes": p5_classes, "p5_consistent_vowels": p5_consistent_vowels, "p7_mix_records": p7_mix_records, "p7_mix_report": p7_mix_report, "p1_found": p1_found, "p1_languages": p1_languages, "p1_line_parts": p1_line_parts, "p8_found": p8_found, "p8_residue": p8_residue, "p5_found": p5_found, "p6_found": p6_found, "p6_leak_report": p6_leak_report, "p2_found": p2_found, "p2_row_groups": p2_row_groups, "p4_found": p4_found, "p4_top_counts": p4_top_counts, "p4_estimates": p4_estimates}
 
 _TOP_SQL = """
     SELECT field_name, item_value, n_rows, CAST(place AS INTEGER) AS place FROM (
