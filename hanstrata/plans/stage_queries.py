@@ -561,11 +561,11 @@ def baseline_by_window(spark, folder):
     return found.withColumns({c: F.round(c, 9) for c in found.columns if c.endswith(("_rate", "_theta_N"))})
 
 
-@query('SELECT n, round(CASE WHEN n > 1 THEN n / ln(n) END, 9) AS "theta_N", coalesce(n > 1 AND n - n // 5 > 1 AND n - n // 5 >= n / 2 AND n // 5 <= CASE WHEN n > 1 THEN n / ln(n) END, false) AS "TP_pass" FROM (SELECT DISTINCT token_count_in_window AS n FROM window_wordforms WHERE token_count_in_window > 0)')
+@query('SELECT n, round(CASE WHEN n > 1 THEN n / ln(n) END, 6) AS "theta_N", coalesce(n > 1 AND n - n // 5 > 1 AND n - n // 5 >= n / 2 AND n // 5 <= CASE WHEN n > 1 THEN n / ln(n) END, false) AS "TP_pass" FROM (SELECT DISTINCT token_count_in_window AS n FROM window_wordforms WHERE token_count_in_window > 0)')
 def tolerance_threshold(spark, folder):
     n = F.col("n")
     counts = table(spark, folder, "window_wordforms").where("token_count_in_window > 0").select(F.col("token_count_in_window").alias("n")).distinct()
-    return counts.select("n", F.round(pairs.theta(n), 9).alias("theta_N"), pairs.tolerance_pass(n, F.expr("n div 5")).alias("TP_pass"))
+    return counts.select("n", F.round(pairs.theta(n), 6).alias("theta_N"), pairs.tolerance_pass(n, F.expr("n div 5")).alias("TP_pass"))
 
 
 _MINUS = _SCORED.replace("WHEN v[1] = 'ㅣ' THEN 'INITIAL_I_UNSCORED'\n", "\n")
@@ -661,12 +661,12 @@ _FIRST_STEP += f""",
 
 @query(f"""
     WITH RECURSIVE {_FIRST_STEP}
-    SELECT w, CAST(sum(weight) AS BIGINT) AS prediction_n, CAST(sum(CASE WHEN predicted = actual THEN weight ELSE 0 END) AS BIGINT) AS prediction_correct, round(CASE WHEN sum(weight) > 1 THEN sum(weight) / ln(sum(weight)) END, 9) AS theta_n,
+    SELECT w, CAST(sum(weight) AS BIGINT) AS prediction_n, CAST(sum(CASE WHEN predicted = actual THEN weight ELSE 0 END) AS BIGINT) AS prediction_correct, round(CASE WHEN sum(weight) > 1 THEN sum(weight) / ln(sum(weight)) END, 6) AS theta_n,
       any_value(array_to_string(list_sort(targets), ' ')) AS target_segments, any_value(array_to_string(list_sort(contexts), ' ')) AS left_contexts, coalesce('RTR ' || any_value(preset), '') AS default_value FROM predictions GROUP BY w""")
 def learner_first_step(spark, folder):
     """What the learner's first rule of each window predicts."""
     first = learning.exploded(_learned(spark, folder), "trace", "w").where("attempt_depth = 0")
-    return first.select("w", F.col("selected_prediction_N").alias("prediction_n"), F.col("selected_prediction_correct").alias("prediction_correct"), F.round("theta_N", 9).alias("theta_n"), "target_segments", "left_contexts", F.col("default").alias("default_value"))
+    return first.select("w", F.col("selected_prediction_N").alias("prediction_n"), F.col("selected_prediction_correct").alias("prediction_correct"), F.round("theta_N", 6).alias("theta_n"), "target_segments", "left_contexts", F.col("default").alias("default_value"))
 
 
 @query(f"""
