@@ -48,3 +48,37 @@ def test_scores_stay_in_the_engine(spark):
     text = plan(pairs.baseline_by_window(pairs.baseline_details(df)))
     assert "EvalPython" not in text and "InPandas" not in text and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_small_samples_are_sent_and_large_ones_are_joined(rows, monkeypatch):
+    settings = sampling.Sampling(min_window_wordforms=1, target_wordforms_per_window=5)
+    counts = sampling.count_wordforms(rows, settings)
+    selected = sampling.select_wordforms(counts, sampling.window_diagnostics(counts, settings), settings)
+    sent = sampling.selected_token_rows(rows, selected, settings)
+    text = plan(sent)
+    assert text.index("BroadcastHashJoin") and "SortMergeJoin" not in text
+    monkeypatch.setattr(sampling, "SENT_WORDFORMS", 0)
+    joined = sampling.selected_token_rows(rows, selected, settings)
+    key = lambda df: sorted((r["time_window_id"], r["wordform_id"], r["year"]) for r in df.collect())
+    assert key(joined) == key(sent) != []
+
+
+def test_weights_of_pairs_need_no_window(spark):
+    df = spark.createDataFrame([("w", "a", "ㅏ ㅓ"), ("w", "b", "ㅏ ㅓ"), (None, "c", "ㅏ ㅓ"), ("w", "d", "ㅏ ㅑ")], "time_window_id string, wordform_id string, vowel_seq string")
+    eligible, excluded = pairs.convert(df)
+    assert "Window" not in re.sub("time_window_id", "", plan(eligible)) and {(r["time_window_id"], r["wordform_id"], r["lexical_type_weight"]) for r in eligible.collect()} == {("w", "a", 2), ("w", "b", 2), (None, "c", 1)}
+    assert [r["wordform_id"] for r in excluded.collect()] == ["d"]
+
+
+def test_a_csv_without_line_breaks_is_split(spark, tmp_path):
+    from hanstrata.sources import files
+
+    (tmp_path / "x.csv").write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(200_000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        df = files.read_csv(spark, str(tmp_path / "x.csv"), ["a"])
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 200_000
+        assert files.read_csv(spark, str(tmp_path / "x.csv"), line_breaks=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
