@@ -11,7 +11,6 @@ so paraphrases by replaced words or characters still count, and the question and
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,6 +38,8 @@ MIN_RUN = {True: 10, False: 7}
 HELD_SHARE = 0.5
 #: Scores of a step of the comparison with passages.
 _SCORES = 1 << 22
+#: Places of a step of the exact check: n-grams of texts in passages, or cells of its tables.
+_PLACES = 1 << 21
 #: Characters of passages that are searched for in one pass over the corpus: they go to every task.
 ITEM_CHARACTERS = 1_000_000
 _FILTER_BITS = 22
@@ -98,10 +99,7 @@ def document_frequencies(docs: DataFrame, vocabulary, to) -> tuple[np.ndarray, i
         count, n = np.zeros(len(v.hashes), np.int64), 0
         for batch in cp.slices(batches):
             texts = _texts(batch)
-            points, offsets = letters(texts, to.value)
-            index, at = v.find(*grams(points, offsets))
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            count += np.bincount(np.unique(doc * len(v.hashes) + index) % max(1, len(v.hashes)), minlength=len(v.hashes))
+            count += np.bincount(Held(*letters(texts, to.value), v).gram, minlength=len(v.hashes))
             n += len(texts)
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_pydict({"gram": pa.array([*used.tolist(), -1], pa.int32()), "n": pa.array([*count[used].tolist(), n], pa.int64())})
@@ -203,19 +201,17 @@ class Items:
         self.latin = [bool((points[a:b] < 0x250).mean() > 0.5) if b > a else False for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         index, at = v.find(*grams(points, offsets))
         cut = np.searchsorted(at, offsets)
-        self.grams, self.places, self.lightest = [], [], []
-        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            places = defaultdict(list)
-            for gram, j in zip(index[a:b].tolist(), (at[a:b] - offsets[k]).tolist(), strict=True):
-                places[gram].append(j)
-            self.places.append(dict(places))
-            self.grams.append(np.unique(index[a:b]) if b > a else np.array([-1]))
-            self.lightest.append(np.cumsum(np.sort(idf[index[a:b]] ** 2)))
-        self.index, self.at, self.cut = index, at, cut
-        # passages of each n-gram, and its places in them
-        cell, self.holder_places = np.unique(index * len(ids) + np.searchsorted(offsets, at, side="right") - 1, return_counts=True)
-        gram, self.holder = np.divmod(cell, max(1, len(ids)))
-        self.holders_from = np.searchsorted(gram, np.arange(len(v.hashes) + 1))
+        self.lightest = [np.cumsum(np.sort(idf[index[a:b]] ** 2)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        self.index, self.at, self.cut, self.offsets = index, at, cut, offsets
+        # cells: passages of each n-gram, and its places in them
+        cell = index * len(ids) + np.searchsorted(offsets, at, side="right") - 1
+        self.places = at[np.argsort(cell, kind="stable")]
+        cell, self.n_places = np.unique(cell, return_counts=True)
+        self.first_place = np.cumsum(self.n_places) - self.n_places
+        self.gram, self.holder = np.divmod(cell, max(1, len(ids)))
+        self.holders_from = np.searchsorted(self.gram, np.arange(len(v.hashes) + 1))
+        self.cells = np.argsort(self.holder, kind="stable")  # of each passage, by n-gram
+        self.cells_from = np.searchsorted(self.holder[self.cells], np.arange(len(ids) + 1))
 
     def least(self, min_share: float) -> tuple[np.ndarray, np.ndarray]:
         """For each passage the fewest places of n-grams that a text has in common with it if it holds min_share, and their least score.
@@ -231,22 +227,21 @@ class Items:
                 score[k] = lightest[places[k] - 1] * (1 - 1e-3)  # for rounding
         return places, score
 
-    def places_in(self, held: np.ndarray) -> np.ndarray:
-        """For each passage its places whose n-grams are among `held`."""
-        start, n = self.holders_from[held], self.holders_from[held + 1] - self.holders_from[held]
-        each = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.holder[each], weights=self.holder_places[each], minlength=len(self.ids))
+    def places_in(self, text: np.ndarray, gram: np.ndarray, n_texts: int) -> np.ndarray:
+        """For each text and passage the passage's places whose n-grams the text has; `text` and `gram` have each pair once."""
+        start, n = self.holders_from[gram], self.holders_from[gram + 1] - self.holders_from[gram]
+        each = spread(start, n)
+        return np.bincount(np.repeat(text * len(self.ids), n) + self.holder[each], weights=self.n_places[each], minlength=n_texts * len(self.ids)).reshape(n_texts, -1)
 
-    def most_held(self, those: np.ndarray, holds: np.ndarray) -> np.ndarray:
-        """Letters of each of those passages that a text can hold at most, if it holds the n-grams under the mask.
+    def most_held(self, text: np.ndarray, those: np.ndarray, holds: np.ndarray) -> np.ndarray:
+        """Letters that each text can hold at most of the passage beside it, if it holds the n-grams under its row of the mask.
 
         These are runs of MIN_RUN letters and the gaps of MAX_GAP between them, wherever the text has them.
         """
         n = self.cut[those + 1] - self.cut[those]
-        k = np.repeat(self.cut[those] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        of = np.repeat(np.arange(len(those)), n)
-        held = holds[self.index[k]]
-        of, at = of[held], self.at[k[held]]
+        k = spread(self.cut[those], n)
+        held = np.flatnonzero(holds.ravel()[np.repeat(text * holds.shape[1], n) + self.index[k]])
+        of, at = np.repeat(np.arange(len(those)), n)[held], self.at[k[held]]
         if not len(at):
             return np.zeros(len(those))
         new = np.append(True, (np.diff(at) != 1) | (np.diff(of) != 0))
@@ -266,16 +261,56 @@ def missed(row: np.ndarray, column: np.ndarray, weight: np.ndarray, latent: np.n
     return np.sqrt(np.maximum(square - (latent.astype(np.float64) ** 2).sum(axis=1), 0)).astype(np.float32)
 
 
-def candidates(points: np.ndarray, offsets: np.ndarray, items: Items, min_share: float = HELD_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n whole numbers from each start on, one start after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def steps(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes add up to `most` at most; a larger one comes alone."""
+    total, a, done = np.cumsum(sizes), 0, 0
+    while a < len(total):
+        z = max(a + 1, int(np.searchsorted(total, done + most, side="right")))
+        yield a, z
+        a, done = z, int(total[z - 1])
+
+
+class Held:
+    """The n-grams of the vocabulary that texts hold: each text with each of its n-grams once, and the places of both."""
+
+    def __init__(self, points: np.ndarray, offsets: np.ndarray, v: Vocabulary):
+        index, at = v.find(*grams(points, offsets))
+        self.cell = (np.searchsorted(offsets, at, side="right") - 1) * len(v.hashes) + index
+        order = np.argsort(self.cell, kind="stable")
+        self.cell, self.places = self.cell[order], at[order]
+        self.first_place = np.flatnonzero(np.append(True, np.diff(self.cell) != 0)[: len(at)])
+        self.n_places = np.diff(np.append(self.first_place, len(at)))
+        # how often a letter is repeated from place to place, and which of the repetitions a place is
+        new = np.flatnonzero(np.append(True, (np.diff(self.places) != 1) | (np.diff(self.cell) != 0))[: len(at)])
+        n = np.diff(np.append(new, len(at)))
+        self.repeated, self.repetition = np.repeat(n, n), np.arange(len(at)) - np.repeat(new, n)
+        self.cell = self.cell[self.first_place]
+        self.text, self.gram = np.divmod(self.cell, max(1, len(v.hashes)))
+
+    def within_reach(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where one letter is repeated far beyond the passage's length, only the ends of the repetition; all other places.
+
+        No stretch is longer than the passage, and none reaches from one end to the other.
+        """
+        size, k = self.repeated[place], self.repetition[place]
+        return (size <= 2 * length + 64) | (k < length) | (size - k <= length)
+
+
+def candidates(points: np.ndarray, offsets: np.ndarray, items: Items, min_share: float = HELD_SHARE) -> tuple[np.ndarray, Held]:
     """Pairs (text, item) that may score what a text scores that holds min_share of the item's passage.
 
     A text's score adds up the n-grams that it has anywhere, each once. What the basis misses of
     both sides can add no more than the product of its lengths, which counts as score.
-    Also the n-grams of the vocabulary in all texts, and their positions.
+    Also what the texts hold.
     """
     n, v = len(offsets) - 1, items.vocabulary
-    index, at = v.find(*grams(points, offsets))
-    text, gram = np.divmod(np.unique((np.searchsorted(offsets, at, side="right") - 1) * len(v.hashes) + index), max(1, len(v.hashes)))
+    held = Held(points, offsets, v)
+    text, gram = held.text, held.gram
     column, weight = v.column[gram], items.idf[gram]
     latent = _times(text, column, weight, n, items.basis)
     beyond = missed(text, column, weight, latent)
@@ -284,106 +319,135 @@ def candidates(points: np.ndarray, offsets: np.ndarray, items: Items, min_share:
     for a in range(0, n, step):
         scores = latent[a : a + step] @ items.latent.T + beyond[a : a + step, None] * items.missed
         found.append(np.argwhere(scores >= least) + [a, 0])
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64), index, at
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64), held
 
 
 def verified(points: np.ndarray, offsets: np.ndarray, items: Items, min_share: float) -> list[tuple[int, int, float]]:
     """(text, item, held share) of the candidates that hold enough."""
-    pairs, index, at = candidates(points, offsets, items, min_share)
-    cut = np.searchsorted(at, offsets)
-    fewest, length = items.least(min_share)[0], np.array(items.length)
-    holds = np.zeros(len(items.vocabulary.hashes), bool)
-    texts, first = np.unique(pairs[:, 0], return_index=True)
+    pairs, held = candidates(points, offsets, items, min_share)
+    text, item = possible(pairs, held, items, min_share)
+    of_text = np.bincount(held.text, weights=held.n_places, minlength=len(offsets)).astype(np.int64)
+    n_cells, length = np.diff(items.cells_from), np.array(items.length)
     found = []
-    for text, those in zip(texts.tolist(), np.split(pairs[:, 1], first[1:]), strict=False):
-        i, a = index[cut[text] : cut[text + 1]], at[cut[text] : cut[text + 1]]
-        holds[i] = True
-        those = those[items.places_in(np.unique(i))[those] >= fewest[those]]
-        those = those[items.most_held(those, holds) >= min_share * length[those]]
-        holds[i] = False
-        for item in those.tolist():
-            own = items.grams[item]
-            mine = np.flatnonzero(own[np.minimum(np.searchsorted(own, i), len(own) - 1)] == i)
-            mine = mine[within_reach(a[mine], i[mine], items.length[item])]
-            share = held_share(a[mine], i[mine], items.places[item], items.length[item], items.latin[item], min_share)
-            if share >= min_share:
-                found.append((text, item, share))
+    for a, z in steps(of_text[text] + n_cells[item], _PLACES):
+        n = n_cells[item[a:z]]
+        of, cell = np.repeat(np.arange(a, z), n), items.cells[spread(items.cells_from[item[a:z]], n)]
+        wanted = text[of] * len(items.vocabulary.hashes) + items.gram[cell]
+        own = np.minimum(np.searchsorted(held.cell, wanted), len(held.cell) - 1)
+        both = np.flatnonzero(held.cell[own] == wanted)
+        own, n = own[both], held.n_places[own[both]]
+        place, of, cell = spread(held.first_place[own], n), np.repeat(of[both], n), np.repeat(cell[both], n)
+        near = np.flatnonzero(held.within_reach(place, length[item[of]]))
+        near = near[np.argsort(of[near] * len(points) + held.places[place[near]])]
+        cell = cell[near]
+        i, j, n = common_runs(held.places[place[near]], items.first_place[cell], items.n_places[cell], items.places, len(points))
+        found += held_shares(np.searchsorted(offsets, i, side="right") - 1, i, j, n, items, min_share)
     return found
 
 
-def within_reach(at: np.ndarray, index: np.ndarray, length: int) -> np.ndarray:
-    """Where one letter is repeated far beyond the passage's length, only the ends of the repetition; all other places.
-
-    No stretch is longer than the passage, and none reaches from one end to the other.
-    """
-    if not len(at):
-        return np.zeros(0, bool)
-    new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(index) != 0)))
-    n = np.diff(np.append(new, len(at)))
-    place = np.arange(len(at)) - np.repeat(new, n)
-    size = np.repeat(n, n)
-    return (size <= 2 * length + 64) | (place < length) | (size - place <= length)
-
-
-def held_share(at: np.ndarray, index: np.ndarray, places: dict[int, list[int]], length: int, latin: bool, needed: float = 0.0) -> float:
-    """Share of a passage's letters that lie, in order, in long stretches of a text.
-
-    `at` and `index` are the text's n-grams from the vocabulary, in order; `places` has the passage's
-    n-grams. A stretch is an unbroken common run, or several with single replaced words between
-    them, which then count as held. Stretches are chained to their longest common subsequence. The
-    result is 0 where it can't reach `needed`.
+def possible(pairs: np.ndarray, held: Held, items: Items, min_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs whose text has n-grams enough, wherever they are, to hold min_share of the passage."""
+    fewest, length, size = items.least(min_share)[0], np.array(items.length), len(items.vocabulary.hashes)
+    texts = np.unique(pairs[:, 0])
+    start, end = np.searchsorted(held.text, texts), np.searchsorted(held.text, texts, side="right")
+    holders = np.append(0, np.cumsum(items.holders_from[held.gram + 1] - items.holders_from[held.gram]))
+    kept = [np.zeros((0, 2), np.int64)]
+    for a, z in steps(holders[end] - holders[start] + size + len(items.ids), _PLACES):
+        those = pairs[np.searchsorted(pairs[:, 0], texts[a]) : np.searchsorted(pairs[:, 0], texts[z - 1], side="right")]
+        n = end[a:z] - start[a:z]
+        of, gram = np.repeat(np.arange(z - a), n), held.gram[spread(start[a:z], n)]
+        row = np.searchsorted(texts[a:z], those[:, 0])
+        enough = items.places_in(of, gram, z - a)[row, those[:, 1]] >= fewest[those[:, 1]]
+        those, row = those[enough], row[enough]
+        holds = np.zeros((z - a, size), bool)
+        holds[of, gram] = True
+        for b, y in steps(items.cut[those[:, 1] + 1] - items.cut[those[:, 1]], _PLACES):
+            part = those[b:y]
+            kept.append(part[items.most_held(row[b:y], part[:, 1], holds) >= min_share * length[part[:, 1]]])
+    text, item = np.concatenate(kept).T
+    return text, item
+
+
+def common_runs(at: np.ndarray, first: np.ndarray, count: np.ndarray, places: np.ndarray, n_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unbroken common runs of texts and passages: where each starts in the texts and in the passages, and its letters.
+
+    An n-gram of the texts starts at each of `at`, and in the passages at `count` of `places` from
+    `first` on. Places of a run have the same distance. No run reaches from one text or passage to
+    the next, as none of their last letters starts an n-gram.
     """
-    runs: list[list[int]] = []
-    open_runs: dict[int, list[int]] = {}
-    before = -2
-    for i, gram in zip(at.tolist(), index.tolist(), strict=True):
-        now = {}
-        follows = open_runs if i == before + 1 else {}
-        for j in places[gram]:
-            run = follows.get(j - 1)
-            if run is None:
-                run = [i, j, GRAM]
-                runs.append(run)
-            else:
-                run[2] += 1
-            now[j] = run
-        open_runs, before = now, i
-    least, gap, shortest = MIN_STRETCH[latin], MAX_GAP[latin], MIN_RUN[latin]
-    runs = [(i, j, n, i + n, j + n) for i, j, n in runs if n >= shortest]
+    far = int(places.max(initial=0))
+    start, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, z in steps(count, _PLACES):
+        i = np.repeat(at[a:z], count[a:z])
+        key = np.sort((i - places[spread(first[a:z], count[a:z])] + far) * n_points + i)
+        new = np.flatnonzero(np.append(True, np.diff(key) != 1))
+        start.append(key[new])
+        n.append(np.diff(np.append(new, len(key))))
+    start, n = np.concatenate(start), np.concatenate(n)
+    order = np.argsort(start)
+    start, n = start[order], n[order]
+    if len(start):  # runs that go on in the next step
+        new = np.flatnonzero(np.append(True, start[1:] != start[:-1] + n[:-1]))
+        start, n = start[new], np.add.reduceat(n, new)
+    distance, i = np.divmod(start, n_points)
+    return i, i - distance + far, n + GRAM - 1
+
+
+def held_shares(text: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, items: Items, min_share: float) -> list[tuple[int, int, float]]:
+    """(text, item, held share) of the pairs whose common runs hold min_share of the passage."""
+    item = np.searchsorted(items.offsets, j, side="right") - 1
+    latin = np.array(items.latin, bool)[item].astype(int)
+    long = n >= np.array([MIN_RUN[False], MIN_RUN[True]])[latin]
+    text, item, i, j, n = text[long], item[long], i[long], j[long], n[long]
+    if not len(n):
+        return []
+    order = np.lexsort((j + n, j, item, text))
+    text, item, i, j, n = text[order], item[order], i[order], j[order], n[order]
+    new = np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0))
+    pair, first = np.cumsum(new) - 1, np.flatnonzero(new)
     # no chain holds more than what all runs cover, with the gaps between them that may be bridged
-    most = end = 0
-    for j, z in sorted((r[1], r[4]) for r in runs):
-        if z > end:
-            most += z - (end if end and j - end <= gap else max(j, end))
-            end = z
-    if most < needed * length:
-        return 0.0
-    runs.sort()
-    score = [0] * len(runs)  # of the best chain that ends with a run; 0: no stretch of full length in it yet
-    best = 0
-    for x, (i, j, n, _, _) in enumerate(runs):
-        top = n if n >= least else 0
-        for y in range(x):
-            _, j2, n2, ei, ej = runs[y]
-            before, after = j - ej, i - ei
-            over = -before if before < after else -after
-            if over < 0:
-                over = 0
-            if over >= n or j2 > j:
-                continue
-            if before <= gap and after <= gap:
-                s = (score[y] or n2) + n - over + (before if before > 0 else 0)
-            elif score[y] and n - over >= least:
-                s = score[y] + n - over
-            else:
-                continue
-            if s > top:
-                top = s
-        if top >= least:
-            score[x] = top
-            if top > best:
-                best = top
-    return min(1.0, best / length)
+    gap = np.array([MAX_GAP[False], MAX_GAP[True]])[np.array(items.latin, bool)[item].astype(int)]
+    span = int(items.offsets[-1]) + 1
+    end = np.maximum.accumulate(pair * span + j + n) - pair * span
+    before = np.where(new, j, np.append(0, end[:-1]))
+    covers = np.where(j + n > before, j + n - np.where(j - before <= gap, before, j), 0)
+    enough = np.bincount(pair, weights=covers) >= min_share * np.array(items.length)[item[first]]
+    kept = np.flatnonzero(enough[pair])
+    kept = kept[np.lexsort((j[kept], i[kept], pair[kept]))]
+    first = np.flatnonzero(np.append(True, np.diff(pair[kept]) != 0)[: len(kept)])
+    text, item = text[kept[first]], item[kept[first]]
+    length = np.array(items.length)[item]
+    share = np.minimum(1.0, chained(i[kept], j[kept], n[kept], np.append(first, len(kept)), np.array(items.latin, bool)[item]) / length)
+    return [(t, own, s) for t, own, s in zip(text.tolist(), item.tolist(), share.tolist(), strict=True) if s >= min_share]
+
+
+def chained(i: np.ndarray, j: np.ndarray, n: np.ndarray, first: np.ndarray, latin: np.ndarray) -> np.ndarray:
+    """Letters of each pair's passage that lie, in order, in long stretches of its text.
+
+    `i`, `j` and `n` are the common runs, in order within each pair: place in the text, place in the
+    passage, letters; those of a pair are from `first` on. A stretch is an unbroken common run, or
+    several with single replaced words between them, which then count as held. Stretches are
+    chained to their longest common subsequence, a run of all pairs at once.
+    """
+    order = np.argsort(first[:-1] - first[1:], kind="stable")  # pairs of most runs first
+    start, size = first[:-1][order], np.diff(first)[order]
+    least, gap = (np.array([of[False], of[True]])[latin[order].astype(int)][:, None] for of in (MIN_STRETCH, MAX_GAP))
+    score = np.zeros(len(n), np.int64)  # of the best chain that ends with a run; 0: no stretch of full length in it yet
+    for x in range(int(size.max(initial=0))):
+        those = int(np.searchsorted(-size, -x))
+        own = start[:those, None] + x
+        top = np.where(n[own] >= least[:those], n[own], 0)
+        if x:
+            y = start[:those, None] + np.arange(x)
+            before, after = j[own] - j[y] - n[y], i[own] - i[y] - n[y]
+            new = n[own] - np.maximum(0, -np.minimum(before, after))
+            near = np.where(score[y] > 0, score[y], n[y]) + new + np.maximum(before, 0)
+            far = np.where((score[y] > 0) & (new >= least[:those]), score[y] + new, 0)
+            s = np.where((before <= gap[:those]) & (after <= gap[:those]), near, far)
+            s[(new <= 0) | (j[y] > j[own])] = 0
+            top = np.maximum(top, s.max(axis=1, keepdims=True))
+        score[own] = np.where(top >= least[:those], top, 0)
+    return np.maximum.reduceat(score, first[:-1]) if len(score) else np.zeros(0, np.int64)
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, answer: str | None = None, rank: int = RANK, min_share: float = HELD_SHARE) -> DataFrame:

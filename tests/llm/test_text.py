@@ -1,5 +1,7 @@
 """Text operators on small cases and edge cases."""
 
+import sys
+
 import numpy as np
 import pytest
 
@@ -191,6 +193,78 @@ def test_one_letter_repeated_for_ever(spark):
     assert found_pairs(spark, docs, [passage]) == {(0, 0), (2, 0), (3, 0)}
 
 
+def items_of(passages: list[str], table) -> leakage.Items:
+    p, o = leakage.letters(passages, table)
+    v = leakage.Vocabulary(leakage.grams(p, o)[0])
+    row, column, weight = leakage.tfidf_rows(p, o, v, np.ones(len(v.hashes)))
+    a = np.zeros((len(passages), leakage.COLUMNS), np.float32)
+    np.add.at(a, (row, column), weight)
+    return leakage.Items(np.arange(len(passages)), p, o, v, np.ones(len(v.hashes)), 1.0, np.linalg.svd(a, full_matrices=False)[2].T.astype(np.float32))
+
+
+def held_by_force(text: str, passage: str) -> float:
+    """Share of an ideographic or Latin passage that a text holds, from all pairs of their letters."""
+    latin = passage[0] < "\u0250"
+    least, gap, shortest = leakage.MIN_STRETCH[latin], leakage.MAX_GAP[latin], leakage.MIN_RUN[latin]
+    runs, best = [], {}
+    for i in range(len(text)):
+        for j in range(len(passage)):
+            if text[i] == passage[j] and (i == 0 or j == 0 or text[i - 1] != passage[j - 1]):
+                n = next((k for k in range(min(len(text) - i, len(passage) - j)) if text[i + k] != passage[j + k]), min(len(text) - i, len(passage) - j))
+                runs += [(i, j, n)] if n >= shortest else []
+    for i, j, n in runs:
+        options = [n if n >= least else 0]
+        for (i2, j2, n2), s in best.items():
+            before, after = j - j2 - n2, i - i2 - n2
+            new = n - max(0, -before, -after)
+            if new > 0 and j2 <= j:
+                if max(before, after) <= gap:
+                    options.append((s or n2) + new + max(0, before))
+                elif s and new >= least:
+                    options.append(s + new)
+        best[i, j, n] = max(options) if max(options) >= least else 0
+    return min(1.0, max(best.values(), default=0) / len(passage))
+
+
+def template_texts(rng, n: int, latin: bool) -> list[str]:
+    """Texts of the same phrases in orders of their own, with other names between them."""
+    name = (lambda k: "".join(rng.choice(list("bcdfg"), k))) if latin else (lambda k: ideographs(rng, k))
+    phrases = [name(int(k)) for k in rng.integers(9, 30, 8)]
+    return ["".join(phrases[k] + name(int(rng.integers(1, 30))) for k in rng.integers(0, 8, 6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("places", [1 << 21, 60])
+def test_exact_check_against_brute_force(table, monkeypatch, places):
+    monkeypatch.setattr(leakage, "_PLACES", places)
+    rng = np.random.default_rng(15)
+    shared = [template_texts(rng, 14, latin) for latin in (True, False)]
+    passages = [*shared[0][:6], *shared[1][:6], "다라" * 30 + ideographs(rng, 30)]
+    texts = [*shared[0][6:], *shared[1][6:], "", "나다", passages[0][:80] + passages[7], passages[0][40:] + passages[0][:60], "라" + "다라" * 50, passages[12][20:] + "다" * 300]
+    for share in (0.1, 0.5):
+        want = {(d, k): s for d, t in enumerate(texts) for k, p in enumerate(passages) if (s := held_by_force(t, p)) >= share}
+        got = leakage.verified(*leakage.letters(texts, table), items_of(passages, table), share)
+        assert {(d, k): s for d, k, s in got} == want and len(got) == len(want) > 4
+
+
+def test_exact_check_takes_all_pairs_at_once(table):
+    """Texts made of the passages' phrases are candidates that don't hold them: the check may not work pair by pair."""
+    rng = np.random.default_rng(16)
+    texts = template_texts(rng, 420, True)
+    items, calls = items_of(texts[:20], table), []
+    for few in (texts[20:120], texts[20:420]):
+        p, o = leakage.letters(few, table)
+        n = [0]
+
+        def count(frame, event, arg, n=n):
+            n[0] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        leakage.verified(p, o, items, 0.5)
+        sys.setprofile(None)
+        calls.append(n[0])
+    assert calls[1] < 2 * calls[0]
+
+
 REAL = "흔한 홍수는 대눈터의 점흐진을 헤아려 졍어하에서 많았다. 담비가 해벙을 적고 현구고의 시장부터 돌아왔다. "
 
 
